@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import GEMINI_AGENT, LOCAL_AGENT_PREFIX, OPENROUTER_AGENT, SUPPRESS_MARKER
-from .functions.ranking import literal_array
+from .functions.arrays import literal_array
 
 EXTENSIONS = (".go", ".py", ".js", ".java", ".md", ".lock", ".min.js", "")
 TEMPLATES = (
@@ -131,3 +131,156 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + minutes).alias("scan_ts"),
         "raw",
     )
+
+
+# --- Recorded agent responses -------------------------------------------------------
+# The CASE texts below are plain SQL that Spark and the oracle both read; they shape the
+# input, not the operators.  ``n`` is scan_id + file_ord + agent_ord.
+
+
+def _cases(of: str, cases: dict[str, str], other: str) -> str:
+    return f"CASE {' '.join(f'WHEN {of} {k} THEN {v}' for k, v in cases.items())} ELSE {other} END"
+
+
+_CONFIDENCE = _cases(
+    "n % 6", {"= 0": "'0.5'", "= 1": "'0.6'", "= 2": "'0.7'", "= 3": "'0.75'", "= 4": "'0.8'"},
+    "'0.95'",
+)
+_SEVERITY = _cases(
+    "n % 5", {"= 1": "'CRITICAL'", "= 2": "'HIGH'", "= 3": "'ERROR'"}, "'WARNING'"
+)
+
+
+def _wire(k: int, line: str) -> str:
+    fixed = _cases("n % 4", {"= 0": "''", "= 1": "'  '"}, "'safe(' || n || ')'")
+    return (
+        f"""'{{"id":"f' || n || '-{k}","severity":"' || {_SEVERITY} || '","vuln_class":"CLASS_' || """
+        f"""(n % 7) || '","description":"finding {k}","line_number":' || {line} || """
+        f"""',"code_snippet":"snippet ' || (n % 3) || '","confidence":' || {_CONFIDENCE} || """
+        f"""',"cwe":"CWE-' || (n % 9) || '","fix":{{"fixed_line":"' || {fixed} || """
+        f"""'","explanation":"why","automated":' || """
+        """CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || '}}'"""
+    )
+
+
+_LINE = "(1 + n % added_count)"
+_ANSWER = (
+    "CASE WHEN n % 5 = 0 THEN '{\"findings\": []}' WHEN n % 23 = 5 THEN '{\"findings\": null}' "
+    "WHEN n % 29 = 6 THEN 'null' WHEN n % 31 = 7 THEN 'no json at all' "
+    "WHEN n % 37 = 8 THEN '{\"findings\": []} and more' WHEN n % 41 = 9 THEN '[]' "
+    f"WHEN n % 43 = 10 THEN '{{\"findings\":[' || {_wire(1, chr(39) + chr(34) + '7' + chr(34) + chr(39))} || ']}}' "
+    f"WHEN n % 3 = 0 THEN '{{\"findings\":[' || {_wire(1, _LINE)} || ',' || {_wire(2, '1')} || ']}}' "
+    f"ELSE '{{\"findings\":[' || {_wire(1, _LINE)} || ']}}' END"
+)
+_FENCED = (
+    f"CASE n % 3 WHEN 0 THEN {_ANSWER} WHEN 1 THEN '```json' || chr(10) || {_ANSWER} || chr(10) || '```' "
+    f"ELSE ' ```' || chr(10) || {_ANSWER} || '``` ' END"
+)
+_ESCAPED = f"replace(replace({_FENCED}, '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+RESPONSE_BODY = (
+    "CASE WHEN n % 47 = 11 THEN '{\"choices\":[]}' WHEN n % 53 = 12 THEN '{\"choices\": 5}' "
+    "WHEN n % 61 = 14 THEN '{\"choices\": [' ELSE "
+    f"'{{\"choices\":[{{\"message\":{{\"role\":\"assistant\",\"content\":\"' || {_ESCAPED} || '\"}}}}]}}' "
+    "|| CASE WHEN n % 59 = 13 THEN ' trailing' ELSE '' END END"
+)
+RESPONSE_STATUS = (
+    "CASE WHEN n % 7 = 0 THEN 403 WHEN n % 17 = 1 THEN 429 WHEN n % 11 = 2 THEN 503 "
+    "WHEN n % 17 = 3 THEN 401 WHEN n % 19 = 4 THEN 500 ELSE 200 END"
+)
+CODE_MODEL = "qwen-coder"
+
+
+def repo_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repository of the documents: which agents it may use."""
+    number = F.col("n")
+    return (
+        read(spark, sf_dir, "documents")
+        .select((F.floor(F.col("doc_id") / 5) % 10).alias("n"))
+        .distinct()
+        .select(
+            F.concat(F.lit("repo-"), number).alias("repo"),
+            (number % 2 == 0).alias("has_gemini"),
+            (number % 3 == 0).alias("has_openrouter"),
+            F.when(number % 5 == 0, F.lit(CODE_MODEL)).otherwise(F.lit("")).alias("local_model"),
+        )
+    )
+
+
+def agent_responses(requests: DataFrame, chain: DataFrame) -> DataFrame:
+    """A recorded response of every remote agent of the repository's chain per request."""
+    remote = chain.where(F.col("provider") != "builtin")
+    keyed = requests.withColumn("repo", F.concat(F.lit("repo-"), F.col("scan_id") % 10))
+    rows = keyed.join(remote, "repo").withColumn(
+        "n", F.col("scan_id") + F.col("file_ord") + F.col("agent_ord")
+    )
+    return rows.select(
+        "scan_id", "file_ord", "file_path", "agent_ord", "agent", "provider",
+        (F.col("n") % 13 != 0).alias("available"),
+        F.expr(RESPONSE_STATUS).alias("http_status"),
+        F.expr(RESPONSE_BODY).alias("body"),
+        (F.col("n") % 900 + 100).alias("latency_ms"),
+    )
+
+
+# --- Reports of an external scanner -------------------------------------------------
+
+_RESULT_LINE = "(1 + (scan_id * 7 + file_ord) % (n_added + 2))"
+SCANNER_RESULT = (
+    "'{\"check_id\":\"scanner.rule-' || (scan_id % 5) || '\",\"path\":\"/tmp/scan/' || "
+    "CASE WHEN file_ord % 4 = 3 THEN 'unknown.go' ELSE flat END || '\",\"start\":{\"line\":' || "
+    f"{_RESULT_LINE} || ',\"col\":1}},\"end\":{{\"line\":' || ({_RESULT_LINE} + 1) || "
+    "',\"col\":9},\"extra\":{\"message\":\"scanner finding\",\"severity\":\"' || "
+    + _cases("scan_id % 3", {"= 0": "'ERROR'", "= 1": "'WARNING'"}, "'HIGH'")
+    + " || '\",\"lines\":\"  call(' || (file_ord % 3) || ')  \"}}'"
+)
+SCANNER_REPORT = (
+    "CASE WHEN scan_id % 13 = 5 THEN '' WHEN scan_id % 17 = 6 THEN 'not json' "
+    "WHEN scan_id % 19 = 7 THEN '{\"results\": null, \"errors\": []}' "
+    "WHEN scan_id % 23 = 8 THEN '{\"results\": [{\"check_id\": 5}]}' "
+    "WHEN scan_id % 29 = 9 THEN '{\"results\": []} tail' "
+    "ELSE '{\"results\":[' || results || '],\"errors\":[]}' END"
+)
+
+
+def scanner_reports(files: DataFrame) -> DataFrame:
+    """One report per scan with one result per scanned file (at most five per scan)."""
+    from .operators.scanner import flat_name
+
+    results = (
+        files.select(
+            "scan_id", "file_ord", flat_name(F.col("path")).alias("flat"),
+            F.size("added").alias("n_added"),
+        )
+        .withColumn("result", F.expr(SCANNER_RESULT))
+        .groupBy("scan_id")
+        .agg(F.array_sort(F.collect_list(F.struct("file_ord", "result"))).alias("rs"))
+        .select(
+            "scan_id", F.array_join(F.transform("rs", lambda r: r["result"]), ",").alias("results")
+        )
+    )
+    scan = F.col("scan_id")
+    return results.select(
+        "scan_id",
+        (scan % 3 != 0).alias("available"),
+        F.when(scan % 11 == 4, 2).otherwise((scan % 2).cast("int")).alias("exit_code"),
+        F.expr(SCANNER_REPORT).alias("report"),
+    )
+
+
+def scan_token_issues(scans: DataFrame) -> DataFrame:
+    """A token request half a minute before every scan; most have no reason and fail."""
+    scan = F.col("scan_id")
+    return scans.select(
+        "repo",
+        F.when(scan % 7 == 2, F.concat(F.lit("hotfix "), scan)).otherwise(F.lit("")).alias("reason"),
+        (F.col("scan_ts") - F.make_interval(secs=F.lit(30))).alias("created_at"),
+        (scan % 3).cast("int").alias("ttl_hours"),
+    )
+
+
+def ignores(findings: DataFrame) -> DataFrame:
+    """One ignore entry per rule, with a glob chosen by the length of its id."""
+    globs = ("src/src0/**", "src/*/d?.py", "**.go", "none/*")
+    return findings.select("rule_id").distinct().select(
+        "rule_id", F.get(literal_array(globs), F.length("rule_id") % 4).alias("file_glob")
+    )

@@ -7,7 +7,7 @@ sub-groups contribute from a small per-sub-group summary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,3 @@ def add_rank(
         .withColumn(name, F.col("_offset") + F.col("_rank"))
         .drop("_offset", "_rank")
     )
-
-
-def literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])

@@ -8,10 +8,14 @@ asks for files, hunks or lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import add_wrapping, after, trim_space
+from ..catalogue import BLOCKED_EXTENSIONS, SUPPRESS_MARKER
+from ..functions.arrays import drop_first, let
+from ..functions.text import add_wrapping, after, path_ext, trim_space
 
 _RANGE = r"([+-]?[0-9]+)(?:,([+-]?[0-9]+))?"
 HUNK_HEADER = rf"(?s)\A@@ -?{_RANGE} \+?{_RANGE}(?: @@.*)?\z"
@@ -44,10 +48,6 @@ def has_bad_header(raw: Column) -> Column:
     return F.contains(raw, F.lit("@@ ")) & F.exists(_headers(raw), lambda h: ~_header_ok(h))
 
 
-def _drop_first(parts: Column) -> Column:
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-
-
 def _parts(raw: Column) -> Column:
     """Text before the first file header, then one element per file section."""
     return F.split(F.concat(F.lit("\n"), raw), _FILE_CUT)
@@ -62,49 +62,94 @@ def section_path(section: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
-def diff_status(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """Per diff: is it blank, is it unreadable."""
+def _parsed(diffs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Scan rows with their text cut into parts; only the first part of a lost diff."""
     raw = F.col("raw")
-    return diffs.select(
+    rated = diffs.select(
         *keys,
         is_blank(raw).alias("is_empty"),
         (~is_blank(raw) & has_bad_header(raw)).alias("is_error"),
+        _parts(raw).alias("_parts"),
+    )
+    lost = F.col("is_empty") | F.col("is_error")
+    return rated.withColumn(
+        "_parts", F.when(lost, F.slice("_parts", 1, 1)).otherwise(F.col("_parts"))
     )
 
 
-def file_sections(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """One row per file with its path and the texts of its hunks.
+def _scan_facts(parts: Column, blocked: Iterable[str]) -> list[Column]:
+    blocked = list(blocked)
+    paths = F.transform(drop_first(parts), section_path)
+    kept = F.filter(paths, lambda p: ~path_ext(p).isin(*blocked)) if blocked else paths
+    return [(F.size(parts) - 1).alias("n_files"), F.size(kept).alias("n_kept")]
+
+
+def _scan_keys(diffs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in ("scan_id", "repo", "scan_ts") if c in diffs.columns)
+
+
+def scan_files(diffs: DataFrame, blocked: Iterable[str] = BLOCKED_EXTENSIONS) -> DataFrame:
+    """Per scan: is its diff blank or unreadable, how many files, how many not blocked."""
+    keys = _scan_keys(diffs)
+    return _parsed(diffs, keys).select(
+        *keys, "is_empty", "is_error", *_scan_facts(F.col("_parts"), blocked)
+    )
+
+
+def _sections(parsed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per part of the text; part 0, before the first file header, has
+    ``file_ord`` 0.
 
     A hunk before the first file header is still open when that header comes, so the
     last such hunk, and whatever follows up to the next hunk header, belongs to the
     first file.
     """
-    raw = F.col("raw")
     mark = "\n@@ "
-    readable = diffs.where(
-        F.contains(raw, F.lit("diff --git ")) & ~is_blank(raw) & ~has_bad_header(raw)
-    )
     preamble = F.col("_parts")[0]
     orphan = F.when(
         F.contains(preamble, F.lit(mark)),
         F.concat(F.lit(mark), F.substring_index(preamble, mark, -1)),
     ).otherwise(F.lit(""))
-    files = readable.select(*keys, _parts(raw).alias("_parts")).select(
-        *keys,
-        orphan.alias("_orphan"),
-        F.posexplode(_drop_first(F.col("_parts"))).alias("_pos", "_section"),
+    rows = parsed.select(
+        *keys, orphan.alias("_orphan"), F.posexplode("_parts").alias("file_ord", "_section")
     )
     body = F.concat(
-        F.when(F.col("_pos") == 0, F.col("_orphan")).otherwise(F.lit("")),
+        F.when(F.col("file_ord") == 1, F.col("_orphan")).otherwise(F.lit("")),
         F.lit("\n"),
         F.col("_section"),
     )
-    return files.select(
+    return rows.select(
         *keys,
-        (F.col("_pos") + 1).alias("file_ord"),
-        section_path(F.col("_section")).alias("path"),
-        _drop_first(F.split(body, _HUNK_CUT)).alias("hunks"),
+        "file_ord",
+        F.when(F.col("file_ord") > 0, section_path(F.col("_section")))
+        .otherwise(F.lit(""))
+        .alias("path"),
+        F.when(F.col("file_ord") > 0, drop_first(F.split(body, _HUNK_CUT)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("hunks"),
+    )
+
+
+def file_sections(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """One row per file with its path and the texts of its hunks."""
+    return _sections(_parsed(diffs, keys), keys).where(F.col("file_ord") > 0)
+
+
+def sections_and_scans(
+    diffs: DataFrame, blocked: Iterable[str] = BLOCKED_EXTENSIONS
+) -> DataFrame:
+    """The file sections that are not blocked, plus one ``file_ord`` 0 row per scan; every
+    row carries the facts of its scan (see ``scan_files``).  One pass over the texts."""
+    blocked = list(blocked)
+    keys = _scan_keys(diffs)
+    facts = ("is_empty", "is_error", "n_files", "n_kept")
+    parsed = _parsed(diffs, keys).select(
+        *keys, "is_empty", "is_error", *_scan_facts(F.col("_parts"), blocked), "_parts"
     )
+    rows = _sections(parsed, (*keys, *facts))
+    if not blocked:
+        return rows
+    return rows.where((F.col("file_ord") == 0) | ~path_ext(F.col("path")).isin(*blocked))
 
 
 def _recorded(line: Column) -> Column:
@@ -119,7 +164,7 @@ def _recorded(line: Column) -> Column:
 
 def _marked(chunk: Column) -> Column:
     """Recorded lines of a hunk text with their position and mark."""
-    kept = F.filter(_drop_first(F.split(chunk, "\n")), _recorded)
+    kept = F.filter(drop_first(F.split(chunk, "\n")), _recorded)
     return F.transform(
         kept,
         lambda l, i: F.struct(
@@ -221,38 +266,47 @@ def lines_of(sections: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataF
     return lines_of_hunks(hunk_rows(sections, keys), keys)
 
 
-def added_lines_of(sections: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """Added line rows only, without building the other kinds first."""
-    place = [*keys, "file_ord", "path", "hunk_ord"]
-    marked = hunk_rows(sections, keys).select(
-        *place, "new_start", _marked(F.col("chunk")).alias("_m")
-    )
-    added = _with_mark(_numbered_side(F.col("_m"), "-", F.col("new_start")), "+")
-    return marked.select(*place, F.inline(added)).drop("mark")
+def _added(hunks: Column, marker: str) -> Column:
+    """Added lines of a file section in order, as
+    ``array<struct<hunk_ord,line_ord,content,number,suppressed>>``.
 
+    A line is suppressed when it holds the marker, or when the recorded line right
+    before it in its hunk is an added line that holds it.
+    """
 
-def added_contents(hunks: Column) -> Column:
-    """Texts of all added lines of a file section, in order, as an array."""
+    def holds(line: Column) -> Column:
+        return (line["mark"] == "+") & F.contains(line["content"], F.lit(marker))
 
-    def of_hunk(chunk: Column) -> Column:
-        added = F.filter(
-            _drop_first(F.split(chunk, "\n")),
-            lambda l: F.startswith(l, F.lit("+")) & ~F.startswith(l, F.lit("+++ b/")),
-        )
-        return F.transform(added, lambda l: after(l, 1))
+    def of_hunk(chunk: Column, pos: Column) -> Column:
+        start = _header_number(F.substring_index(chunk, "\n", 1), 3)
+
+        def lines(marked: Column) -> Column:
+            return F.transform(
+                _with_mark(_numbered_side(marked, "-", start), "+"),
+                lambda x: F.struct(
+                    (pos + 1).alias("hunk_ord"),
+                    x["line_ord"].alias("line_ord"),
+                    x["content"].alias("content"),
+                    x["number"].alias("number"),
+                    (
+                        holds(x) | F.coalesce(holds(F.get(marked, x["line_ord"] - 2)), F.lit(False))
+                    ).alias("suppressed"),
+                ),
+            )
+
+        return let(_marked(chunk), lines)
 
     return F.flatten(F.transform(hunks, of_hunk))
 
 
-def added_numbers(hunks: Column) -> Column:
-    """New-side numbers of all added lines of a file section, in order, as an array."""
+def with_added(sections: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
+    """File rows with their added lines nested in ``added``; replaces the hunk texts.
 
-    def of_hunk(chunk: Column) -> Column:
-        start = _header_number(F.substring_index(chunk, "\n", 1), 3)
-        added = _with_mark(_numbered_side(_marked(chunk), "-", start), "+")
-        return F.transform(added, lambda x: x["number"])
-
-    return F.flatten(F.transform(hunks, of_hunk))
+    Everything after parsing needs added lines only, so the scan operators take these
+    rows: one row per file, no shuffle behind them.
+    """
+    added = _added(F.col("hunks"), marker).alias("added")
+    return sections.select(*[c for c in sections.columns if c != "hunks"], added)
 
 
 def diff_lines(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:

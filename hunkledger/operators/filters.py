@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..catalogue import BLOCKED_EXTENSIONS
 from ..functions.text import path_ext
-from .diffs import added_contents, added_lines_of
 
 
 def filter_blocked(files: DataFrame, blocked: Iterable[str] = BLOCKED_EXTENSIONS) -> DataFrame:
@@ -20,13 +19,15 @@ def filter_blocked(files: DataFrame, blocked: Iterable[str] = BLOCKED_EXTENSIONS
     return files.where(~path_ext(F.col("path")).isin(*blocked))
 
 
-def added_lines(sections: DataFrame) -> DataFrame:
-    """Added lines of the given file sections, one row each."""
-    return added_lines_of(sections)
+def added_lines(files: DataFrame) -> DataFrame:
+    """Added lines of file rows (see ``diffs.with_added``), one row each."""
+    place = [c for c in ("scan_id", "file_ord", "path") if c in files.columns]
+    lines = files.select(*place, F.explode_outer("added").alias("_line"))
+    return (
+        lines.where(F.col("_line").isNotNull()).select(*place, "_line.*").drop("suppressed")
+    )
 
 
-def added_counts(sections: DataFrame) -> DataFrame:
+def added_counts(files: DataFrame) -> DataFrame:
     """Number of added lines per file; counted inside each file row."""
-    return sections.select(
-        "scan_id", "file_ord", "path", F.size(added_contents(F.col("hunks"))).alias("n_added")
-    )
+    return files.select("scan_id", "file_ord", "path", F.size("added").alias("n_added"))

@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import SUPPRESS_MARKER
 from ..functions.regex import glob_pattern
 from ..functions.text import SEVERITIES, severity_name
 from ..schemas import FINDING_ORDER
-from .diffs import hunk_rows, lines_of_hunks
 
-_PLACE = ["scan_id", "file_ord", "path", "hunk_ord"]
 
 
-def suppressed_lines(sections: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
+def suppressed_lines(files: DataFrame) -> DataFrame:
     """(path, line) pairs of added lines with the marker, and of the hunk line right
-    after each if that line is added too.
-
-    Only hunks whose text holds the marker are parsed into lines.
-    """
-    hunks = hunk_rows(sections).where(F.contains(F.col("chunk"), F.lit(marker)))
-    added = lines_of_hunks(hunks).where(F.col("kind") == "add")
-    marked = added.where(F.contains(F.col("content"), F.lit(marker))).select(
-        *_PLACE, F.explode(F.array("line_ord", F.col("line_ord") + 1)).alias("line_ord")
-    )
-    return (
-        added.select(*_PLACE, "line_ord", "number")
-        .join(marked.distinct(), [*_PLACE, "line_ord"], "left_semi")
-        .select("scan_id", "path", F.col("number").alias("line"))
-        .distinct()
-    )
+    after each if that line is added too; marked while parsing (``diffs.with_added``)."""
+    marked = F.filter("added", lambda x: x["suppressed"])
+    return files.select(
+        "scan_id", "path", F.explode(F.transform(marked, lambda x: x["number"])).alias("line")
+    ).distinct()
 
 
 def filter_suppressed(findings: DataFrame, suppressed: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from hunkledger import corpus
 from hunkledger.operators import diffs as D
-from hunkledger.operators import filters, post, rule_scan
+from hunkledger.operators import agents, bypass, filters, post, rule_scan, scanner
+from hunkledger.plans.scan import ScanInputs, run_scan
 from hunkledger.session import work_path
 from hunkledger.sources.diffs import read_diffs
+from hunkledger.sources.findings import write_findings
+from hunkledger.sources.rules import rule_catalogue as catalogue_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +29,8 @@ def text_time(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def kept_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.filter_blocked(D.file_sections(corpus.diffs(spark, sf_dir)))
+def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.with_added(filters.filter_blocked(D.file_sections(corpus.diffs(spark, sf_dir))))
 
 
 SHORT = (
@@ -76,12 +79,12 @@ def filter_blocked(spark, sf_dir):
 
 @query
 def added_lines(spark, sf_dir):
-    return filters.added_lines(kept_sections(spark, sf_dir))
+    return filters.added_lines(kept_files(spark, sf_dir))
 
 
 @query
 def rule_scan_(spark, sf_dir):
-    return rule_scan.rule_scan(filters.added_lines(kept_sections(spark, sf_dir))).select(*SHORT)
+    return rule_scan.rule_scan(kept_files(spark, sf_dir)).select(*SHORT)
 
 
 QUERIES["rule_scan"] = QUERIES.pop("rule_scan_")
@@ -89,4 +92,217 @@ QUERIES["rule_scan"] = QUERIES.pop("rule_scan_")
 
 @query
 def suppressed_lines(spark, sf_dir):
-    return post.suppressed_lines(kept_sections(spark, sf_dir))
+    return post.suppressed_lines(kept_files(spark, sf_dir))
+
+
+# --- Whole scans --------------------------------------------------------------------
+
+
+def requests_of(spark, sf_dir):
+    return agents.agent_requests(kept_files(spark, sf_dir))
+
+
+def responses_of(spark, sf_dir):
+    chain = agents.default_chain(corpus.repo_config(spark, sf_dir))
+    return corpus.agent_responses(requests_of(spark, sf_dir), chain)
+
+
+def remote_attempts(spark, sf_dir):
+    return agents.parse_responses(responses_of(spark, sf_dir))
+
+
+def full_winners(spark, sf_dir):
+    builtin = agents.regex_agent(requests_of(spark, sf_dir))
+    return agents.resolve_chain(agents.attempts(remote_attempts(spark, sf_dir), builtin))
+
+
+def wire_text(f):
+    """A wire finding as one comparable line."""
+    return F.concat_ws(
+        "|", f["id"], f["severity"], f["vuln_class"], f["description"],
+        f["line_number"].cast("string"), f["code_snippet"],
+        F.round(f["confidence"] * 100).cast("int").cast("string"), f["cwe"], f["fix.fixed_line"],
+        f["fix.explanation"], f["fix.automated"].cast("string"),
+    )
+
+
+def wire_column(name="findings"):
+    return F.array_join(F.transform(name, wire_text), "\n").alias("findings")
+
+
+@query
+def agent_requests(spark, sf_dir):
+    return requests_of(spark, sf_dir)
+
+
+@query
+def agent_messages(spark, sf_dir):
+    return agents.agent_messages(requests_of(spark, sf_dir), "gemini-2.0-flash")
+
+
+@query
+def regex_agent(spark, sf_dir):
+    return agents.regex_agent(requests_of(spark, sf_dir)).select(
+        "scan_id", "file_ord", "file_path", "agent", wire_column()
+    )
+
+
+@query
+def response_status(spark, sf_dir):
+    return agents.response_status(responses_of(spark, sf_dir)).select(
+        "scan_id", "file_ord", "agent_ord", "provider", "http_status", "status_error"
+    )
+
+
+@query
+def parse_responses(spark, sf_dir):
+    return remote_attempts(spark, sf_dir).select(
+        "scan_id", "file_ord", "agent_ord", "agent", "available", "error", wire_column(),
+        F.size("findings").alias("n_findings"),
+    )
+
+
+@query
+def resolve_chain(spark, sf_dir):
+    """Recorded attempts only, so that some requests exhaust their chain."""
+    return agents.resolve_chain(remote_attempts(spark, sf_dir)).select(
+        "scan_id", "file_ord", "exhausted", "agent_used", "latency_ms", wire_column()
+    )
+
+
+@query
+def phase2_cutoff(spark, sf_dir):
+    winners = agents.resolve_chain(remote_attempts(spark, sf_dir))
+    return agents.phase2_cutoff(winners).select("scan_id", "file_ord", "agent_used")
+
+
+@query
+def agent_findings(spark, sf_dir):
+    winners = agents.phase2_cutoff(full_winners(spark, sf_dir))
+    return agents.agent_findings(winners).select(
+        "scan_id", "file_ord", "line_ord", "rule_id", "path", "line", "message", "severity",
+        "content", "source", F.round(F.col("confidence") * 100).cast("int").alias("confidence_pct"),
+        "llm_id", "vuln_class", "cwe", "auto_fixable", "fixed_line", "fix_explain",
+    )
+
+
+@query
+def default_chain(spark, sf_dir):
+    return agents.default_chain(corpus.repo_config(spark, sf_dir))
+
+
+def scanner_inputs(spark, sf_dir):
+    files = kept_files(spark, sf_dir)
+    return files, scanner.scanner_report(corpus.scanner_reports(files))
+
+
+@query
+def scanner_report(spark, sf_dir):
+    _, parsed = scanner_inputs(spark, sf_dir)
+    return parsed.select(
+        "scan_id", "status", F.posexplode_outer("results").alias("_pos", "_r")
+    ).select(
+        "scan_id", "status", (F.col("_pos") + 1).alias("result_ord"), "_r.*"
+    )
+
+
+@query
+def scanner_line_map(spark, sf_dir):
+    return scanner.scanner_line_map(kept_files(spark, sf_dir))
+
+
+@query
+def scanner_remap(spark, sf_dir):
+    files, parsed = scanner_inputs(spark, sf_dir)
+    return scanner.scanner_remap(
+        scanner.report_results(parsed), scanner.scanned_files(files)
+    ).select(*SHORT, "column", "end_line", "end_column")
+
+
+def scan_result(spark, sf_dir):
+    """The whole pipeline over documents, with scanner reports, responses and bypasses."""
+    files = kept_files(spark, sf_dir)
+    return run_scan(
+        ScanInputs(
+            diffs=corpus.diffs(spark, sf_dir),
+            scanner_reports=corpus.scanner_reports(files),
+            agent_responses=responses_of(spark, sf_dir),
+            bypassed=scan_bypasses(spark, sf_dir),
+        )
+    )
+
+
+def scan_bypasses(spark, sf_dir):
+    """Scans of the documents corpus that consume a bypass token."""
+    scans = corpus.diffs(spark, sf_dir).select("scan_id", "repo", "scan_ts")
+    tokens = bypass.bypass_tokens(corpus.scan_token_issues(scans))
+    return bypass.bypass_match(tokens, scans)
+
+
+@query
+def phase1_source(spark, sf_dir):
+    return scan_result(spark, sf_dir).phase1.select(*SHORT)
+
+
+@query
+def union_findings(spark, sf_dir):
+    result = scan_result(spark, sf_dir)
+    return post.union_findings(result.phase1, result.phase2).select(*SHORT)
+
+
+@query
+def filter_suppressed(spark, sf_dir):
+    result = scan_result(spark, sf_dir)
+    findings = post.union_findings(result.phase1, result.phase2)
+    suppressed = post.suppressed_lines(kept_files(spark, sf_dir))
+    return post.filter_suppressed(findings, suppressed).select(*SHORT)
+
+
+@query
+def dedup_findings(spark, sf_dir):
+    return scan_result(spark, sf_dir).findings.select(*SHORT)
+
+
+@query
+def severity_counts(spark, sf_dir):
+    return scan_result(spark, sf_dir).counts
+
+
+@query
+def scan_verdict(spark, sf_dir):
+    return scan_result(spark, sf_dir).verdicts
+
+
+@query
+def scan_listing(spark, sf_dir):
+    result = scan_result(spark, sf_dir)
+    return post.scan_listing(result.findings, result.counts)
+
+
+@query
+def ignore_rules(spark, sf_dir):
+    """Ignore each rule below the source folders named after its length."""
+    result = scan_result(spark, sf_dir)
+    return post.ignore_rules(result.findings, corpus.ignores(result.findings)).select(*SHORT)
+
+
+@query
+def rule_catalogue(spark, sf_dir):
+    """The catalogue with the number of findings of each line rule."""
+    hits = rule_scan.rule_scan(kept_files(spark, sf_dir)).groupBy("rule_ord").count()
+    rules = catalogue_table(spark)
+    counted = hits.withColumn("rule_set", F.lit("line"))
+    return rules.join(counted, ["rule_set", "rule_ord"], "left").select(
+        "version", "rule_set", "rule_ord", "rule_id", "pattern", "message", "severity",
+        F.array_join("file_exts", ",").alias("file_exts"), "cwe",
+        F.round(F.col("confidence") * 100).cast("int").alias("confidence_pct"),
+        F.coalesce("count", F.lit(0)).alias("n_findings"),
+    )
+
+
+@query
+def findings_sink(spark, sf_dir):
+    """Findings written as JSON rows and read back as text."""
+    path = work_path(spark, "findings")
+    write_findings(rule_scan.rule_scan(kept_files(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("json"))
