@@ -284,3 +284,97 @@ def ignores(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id").distinct().select(
         "rule_id", F.get(literal_array(globs), F.length("rule_id") % 4).alias("file_glob")
     )
+
+
+# --- Audit log ----------------------------------------------------------------------
+# Plain SQL over the events table, read by Spark and by the oracle.
+
+AUDIT_ACTION = _cases(
+    "event_type",
+    {"= 'signup'": "'bypass'", "= 'view'": "'skip'", "= 'click'": "'apply'", "= 'purchase'": "'no-verify'"},
+    "'apply_failed'",
+)
+AUDIT_SEVERITY = _cases(
+    "(event_id * 7 + user_id) % 4", {"= 0": "'INFO'", "= 1": "'WARNING'", "= 2": "'ERROR'"},
+    "'CRITICAL'",
+)
+AUDIT_SOURCE = _cases(
+    "event_id % 4", {"= 0": "'semgrep'", "= 1": "'fallback'", "= 2": "'gemini-2.0-flash'"}, "''"
+)
+AUDIT_STAMP = (
+    "CASE WHEN event_id % 131 = 3 THEN left(stamp, 10) WHEN event_id % 137 = 4 THEN stamp || '+05:30' "
+    "WHEN event_id % 139 = 5 THEN stamp || '.123456Z' WHEN event_id % 149 = 6 THEN '' ELSE stamp || 'Z' END"
+)
+AUDIT_FIELDS: dict[str, str] = {
+    "repo": "'repo-' || (user_id % 20)",
+    "log_seq": "event_id",
+    "timestamp": AUDIT_STAMP,
+    "action": AUDIT_ACTION,
+    "rule_id": "'rule-' || (event_id % 17)",
+    "path": "'src/f' || (event_id % 50) || '.py'",
+    "line": "event_id % 300",
+    "severity": AUDIT_SEVERITY,
+    "source": AUDIT_SOURCE,
+    "message": "'event ' || event_id",
+    "reason": "CASE WHEN event_type = 'signup' THEN 'hotfix' ELSE '' END",
+    "patch_hash": "CASE WHEN event_type = 'click' THEN left(md5('' || event_id), 8) ELSE '' END",
+}
+_ENTRY = (
+    "'{\"timestamp\":\"' || timestamp || '\",\"action\":\"' || action || '\",\"rule_id\":\"' || rule_id || "
+    "'\",\"path\":\"' || path || '\",\"line\":' || line || ',\"severity\":\"' || severity || '\",\"source\":\"' || "
+    "source || '\",\"message\":\"' || message || '\",\"extra\":[1,{\"k\":null}],\"log_seq\":' || log_seq || '}'"
+)
+AUDIT_LINE = (
+    f"CASE WHEN log_seq % 101 = 7 THEN left({_ENTRY}, 40) "
+    f"WHEN log_seq % 103 = 9 THEN replace({_ENTRY}, '\"line\":' || line, '\"line\":\"' || line || '\"') "
+    "WHEN log_seq % 107 = 11 THEN 'null' "
+    f"WHEN log_seq % 109 = 13 THEN '[' || {_ENTRY} || ']' "
+    f"WHEN log_seq % 113 = 15 THEN {_ENTRY} || ' x' "
+    f"WHEN log_seq % 127 = 17 THEN replace({_ENTRY}, '\"severity\":\"' || severity || '\"', '\"severity\":null') "
+    f"WHEN log_seq % 151 = 19 THEN replace({_ENTRY}, '\"line\":' || line, '\"line\":1.0') "
+    f"WHEN log_seq % 157 = 21 THEN '  ' || {_ENTRY} || ' ' "
+    f"WHEN log_seq % 163 = 23 THEN '' ELSE {_ENTRY} END"
+)
+
+
+def audit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit entry per event."""
+    events = read(spark, sf_dir, "events").withColumn(
+        "stamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    )
+    return events.select(*[F.expr(sql).alias(name) for name, sql in AUDIT_FIELDS.items()])
+
+
+def audit_lines(entries: DataFrame) -> DataFrame:
+    """The entries as log lines, some of them damaged."""
+    return entries.select("repo", F.expr(AUDIT_LINE).alias("value"))
+
+
+def bypass_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as token requests."""
+    return read(spark, sf_dir, "events").where("event_type = 'signup'").select(
+        F.expr("'repo-' || (user_id % 20)").alias("repo"),
+        F.expr("CASE WHEN event_id % 5 = 0 THEN '' ELSE 'reason ' || (event_id % 3) END").alias("reason"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+        (F.col("user_id") % 3 + 1).cast("int").alias("ttl_hours"),
+    )
+
+
+def event_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All other events as scans; those that are no errors know their commit."""
+    commit = F.when(F.col("event_type") != "error", F.expr("left(md5('c' || event_id), 7)"))
+    return read(spark, sf_dir, "events").where("event_type <> 'signup'").select(
+        F.col("event_id").alias("scan_id"),
+        F.expr("'repo-' || (user_id % 20)").alias("repo"),
+        F.col("ts").cast("timestamp").alias("scan_ts"),
+        commit.alias("commit"),
+    )
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(
+        F.expr("'repo-' || (user_id % 20)").alias("repo"),
+        F.expr("left(md5('c' || event_id), 7)").alias("commit"),
+        F.expr("'user-' || user_id").alias("author"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )

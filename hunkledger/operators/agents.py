@@ -60,9 +60,9 @@ def agent_requests(files: DataFrame) -> DataFrame:
 
 
 def _escape_markup(json: Column) -> Column:
-    """Write ``<``, ``>``, ``&`` and the two line separators as escapes."""
-    for ch, code in (("<", "003c"), (">", "003e"), ("&", "0026"), (" ", "2028"), (" ", "2029")):
-        json = F.replace(json, F.lit(ch), F.lit("\\u" + code))
+    """Write ``<``, ``>``, ``&`` and U+2028, U+2029 as escapes."""
+    for code in ("003c", "003e", "0026", "2028", "2029"):
+        json = F.replace(json, F.lit(chr(int(code, 16))), F.lit("\\u" + code))
     return json
 
 

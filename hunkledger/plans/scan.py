@@ -2,16 +2,15 @@
 
 The raw text is read once.  One narrow pass turns each file section into a small digest
 row (rule hits, built-in agent answer, suppressed lines, line numbers); everything after
-it works on digests only.  The digest is persisted because several branches use it; a
-lost partition is rebuilt from the input.
+it works on digests only.  The digest is staged as a table, because several branches read
+different columns of it and because a lost executor must not make the pass run again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from ..catalogue import (
 from ..functions.text import last_dot_ext
 from ..operators import agents, post, rule_scan, scanner
 from ..operators.diffs import sections_and_scans, with_added
+from ..session import drop_stage, stage
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class ScanInputs:
 
 @dataclass
 class ScanResult:
-    """Result tables; ``release`` frees the persisted digest."""
+    """Result tables; call ``release`` when all of them have been used."""
 
     scans: DataFrame
     phase1: DataFrame
@@ -63,10 +63,11 @@ class ScanResult:
     findings: DataFrame
     counts: DataFrame
     verdicts: DataFrame
-    digest: DataFrame = field(repr=False)
+    stage_path: str
 
     def release(self) -> None:
-        self.digest.unpersist()
+        """Delete the staged digest the tables read from."""
+        drop_stage(self.scans.sparkSession, self.stage_path)
 
 
 def file_digest(diffs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -95,7 +96,7 @@ def file_digest(diffs: DataFrame, options: ScanOptions = ScanOptions()) -> DataF
 
 def run_scan(inputs: ScanInputs, options: ScanOptions = ScanOptions()) -> ScanResult:
     """Scan every diff of the input."""
-    digest = file_digest(inputs.diffs, options).persist(StorageLevel.MEMORY_AND_DISK)
+    digest, path = stage(file_digest(inputs.diffs, options), "digest")
     scans = digest.where(F.col("file_ord") == 0).select(
         *[c for c in ("scan_id", "repo", "scan_ts") if c in digest.columns],
         "is_empty", "is_error", "n_files", "n_kept",
@@ -140,4 +141,4 @@ def run_scan(inputs: ScanInputs, options: ScanOptions = ScanOptions()) -> ScanRe
     findings = post.dedup_findings(found)
     counts = post.severity_counts(findings)
     verdicts = post.scan_verdict(scans, counts, inputs.bypassed, inputs.config_errors)
-    return ScanResult(scans, phase1, phase2, findings, counts, verdicts, digest)
+    return ScanResult(scans, phase1, phase2, findings, counts, verdicts, path)

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkledger import corpus
 from hunkledger.operators import diffs as D
-from hunkledger.operators import agents, bypass, filters, post, rule_scan, scanner
+from hunkledger.operators import agents, bypass, filters, post, report, rule_scan, scanner
+from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, run_scan
 from hunkledger.session import work_path
+from hunkledger.sources.audit import read_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
 from hunkledger.sources.rules import rule_catalogue as catalogue_table
+from hunkledger.streaming.audit import audit_stream
+from hunkledger.streaming.scan import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,8 +34,26 @@ def text_time(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """An input table derived from the given ones, written once per session to the shared
+    folder, so that queries start from stored tables as they would in production."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = work_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def diffs_of(spark, sf_dir):
+    return derived(spark, sf_dir, "diffs", corpus.diffs)
+
+
 def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.with_added(filters.filter_blocked(D.file_sections(corpus.diffs(spark, sf_dir))))
+    return D.with_added(filters.filter_blocked(D.file_sections(diffs_of(spark, sf_dir))))
 
 
 SHORT = (
@@ -54,27 +77,27 @@ QUERIES["read_diffs"] = QUERIES.pop("read_diffs_")
 
 @query
 def diff_files(spark, sf_dir):
-    return D.diff_files(corpus.diffs(spark, sf_dir))
+    return D.diff_files(diffs_of(spark, sf_dir))
 
 
 @query
 def diff_hunks(spark, sf_dir):
-    return D.diff_hunks(corpus.diffs(spark, sf_dir))
+    return D.diff_hunks(diffs_of(spark, sf_dir))
 
 
 @query
 def diff_lines(spark, sf_dir):
-    return D.diff_lines(corpus.diffs(spark, sf_dir))
+    return D.diff_lines(diffs_of(spark, sf_dir))
 
 
 @query
 def diff_errors(spark, sf_dir):
-    return D.diff_errors(corpus.diffs(spark, sf_dir))
+    return D.diff_errors(diffs_of(spark, sf_dir))
 
 
 @query
 def filter_blocked(spark, sf_dir):
-    return filters.filter_blocked(D.diff_files(corpus.diffs(spark, sf_dir)))
+    return filters.filter_blocked(D.diff_files(diffs_of(spark, sf_dir)))
 
 
 @query
@@ -102,11 +125,22 @@ def requests_of(spark, sf_dir):
     return agents.agent_requests(kept_files(spark, sf_dir))
 
 
-def responses_of(spark, sf_dir):
+def build_responses(spark, sf_dir):
     chain = agents.default_chain(corpus.repo_config(spark, sf_dir))
     return corpus.agent_responses(requests_of(spark, sf_dir), chain)
 
 
+def responses_of(spark, sf_dir):
+    return derived(spark, sf_dir, "agent_responses", build_responses)
+
+
+def reports_of(spark, sf_dir):
+    return derived(
+        spark, sf_dir, "scanner_reports",
+        lambda sp, sf: corpus.scanner_reports(kept_files(sp, sf)),
+    )
+
+
 def remote_attempts(spark, sf_dir):
     return agents.parse_responses(responses_of(spark, sf_dir))
 
@@ -121,8 +155,8 @@ def wire_text(f):
     return F.concat_ws(
         "|", f["id"], f["severity"], f["vuln_class"], f["description"],
         f["line_number"].cast("string"), f["code_snippet"],
-        F.round(f["confidence"] * 100).cast("int").cast("string"), f["cwe"], f["fix.fixed_line"],
-        f["fix.explanation"], f["fix.automated"].cast("string"),
+        F.round(f["confidence"] * 100).cast("int").cast("string"), f["cwe"], f["fix"]["fixed_line"],
+        f["fix"]["explanation"], f["fix"]["automated"].cast("string"),
     )
 
 
@@ -193,7 +227,7 @@ def default_chain(spark, sf_dir):
 
 def scanner_inputs(spark, sf_dir):
     files = kept_files(spark, sf_dir)
-    return files, scanner.scanner_report(corpus.scanner_reports(files))
+    return files, scanner.scanner_report(reports_of(spark, sf_dir))
 
 
 @query
@@ -221,11 +255,10 @@ def scanner_remap(spark, sf_dir):
 
 def scan_result(spark, sf_dir):
     """The whole pipeline over documents, with scanner reports, responses and bypasses."""
-    files = kept_files(spark, sf_dir)
     return run_scan(
         ScanInputs(
-            diffs=corpus.diffs(spark, sf_dir),
-            scanner_reports=corpus.scanner_reports(files),
+            diffs=diffs_of(spark, sf_dir),
+            scanner_reports=reports_of(spark, sf_dir),
             agent_responses=responses_of(spark, sf_dir),
             bypassed=scan_bypasses(spark, sf_dir),
         )
@@ -234,7 +267,7 @@ def scan_result(spark, sf_dir):
 
 def scan_bypasses(spark, sf_dir):
     """Scans of the documents corpus that consume a bypass token."""
-    scans = corpus.diffs(spark, sf_dir).select("scan_id", "repo", "scan_ts")
+    scans = diffs_of(spark, sf_dir).select("scan_id", "repo", "scan_ts")
     tokens = bypass.bypass_tokens(corpus.scan_token_issues(scans))
     return bypass.bypass_match(tokens, scans)
 
@@ -306,3 +339,176 @@ def findings_sink(spark, sf_dir):
     path = work_path(spark, "findings")
     write_findings(rule_scan.rule_scan(kept_files(spark, sf_dir)), path)
     return spark.read.text(path).select(F.col("value").alias("json"))
+
+
+# --- Audit log and report -----------------------------------------------------------
+
+AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
+DAYS = 20
+AUDIT_TEXTS = (
+    "timestamp", "action", "rule_id", "path", "severity", "source", "message", "reason", "patch_hash",
+)
+
+
+def as_of():
+    return F.timestamp_seconds(F.lit(int(AS_OF.timestamp())))
+
+
+def audit_of(spark, sf_dir):
+    return derived(spark, sf_dir, "audit_entries", corpus.audit_entries)
+
+
+def audit_log_path(spark, sf_dir):
+    """Log lines written as text, one folder per repository."""
+    key = (spark.sparkContext.applicationId, sf_dir, "audit_log")
+    if key not in _WRITTEN:
+        path = work_path(spark, "audit_log")
+        corpus.audit_lines(audit_of(spark, sf_dir)).write.partitionBy("repo").text(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def window_of(spark, sf_dir):
+    return report.audit_window(audit_of(spark, sf_dir), as_of(), DAYS)
+
+
+def counts_of(spark, sf_dir):
+    return report.entry_counts(window_of(spark, sf_dir))
+
+
+def named(key: str):
+    """Register a query under a key that is also the name of something imported."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[key] = fn
+        return fn
+
+    return add
+
+
+@named("read_audit")
+def _(spark, sf_dir):
+    return read_audit(spark, audit_log_path(spark, sf_dir))
+
+
+@named("write_audit")
+def _(spark, sf_dir):
+    path = work_path(spark, "written_audit")
+    write_audit(audit_of(spark, sf_dir), path, F.lit("2024-02-01T00:00:00Z"))
+    return spark.read.schema("value string, repo string").text(path).select(
+        "repo", F.col("value").alias("json")
+    )
+
+
+@query
+def audit_window(spark, sf_dir):
+    return window_of(spark, sf_dir).select(
+        "repo", "log_seq", "timestamp",
+        F.date_format(report.parse_rfc3339(F.col("timestamp")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
+    )
+
+
+@query
+def audit_breakdown(spark, sf_dir):
+    return report.audit_breakdown(counts_of(spark, sf_dir))
+
+
+@query
+def top_rules(spark, sf_dir):
+    return report.top_rules(counts_of(spark, sf_dir))
+
+
+@query
+def bypass_history(spark, sf_dir):
+    return report.bypass_history(counts_of(spark, sf_dir))
+
+
+@query
+def trend(spark, sf_dir):
+    return report.trend(window_of(spark, sf_dir))
+
+
+def report_columns(reports):
+    """Maps and lists as JSON text, for comparison."""
+    return reports.select(
+        "repo", "generated_at", "period_days", "total_events",
+        *[F.to_json(c).alias(c) for c in ("severity", "actions", "top_rules", "sources")],
+        "bypass_count", "no_verify_count", "trend",
+    )
+
+
+@query
+def report_json(spark, sf_dir):
+    return report.report_json(report.report(window_of(spark, sf_dir), as_of(), DAYS))
+
+
+@query
+def report_bars(spark, sf_dir):
+    return report.report_bars(report.audit_breakdown(counts_of(spark, sf_dir)))
+
+
+@named("periodic_report")
+def _(spark, sf_dir):
+    out = work_path(spark, "reports")
+    periodic_report(spark, audit_log_path(spark, sf_dir), out, AS_OF)
+    return report_columns(spark.read.parquet(out))
+
+
+# --- Bypass -------------------------------------------------------------------------
+
+
+@query
+def bypass_tokens(spark, sf_dir):
+    return bypass.bypass_tokens(corpus.bypass_issues(spark, sf_dir)).select(
+        "repo", "id", "reason", text_time("created_at"), text_time("expires_at")
+    )
+
+
+def matches_of(spark, sf_dir):
+    tokens = bypass.bypass_tokens(corpus.bypass_issues(spark, sf_dir))
+    return bypass.bypass_match(tokens, corpus.event_scans(spark, sf_dir))
+
+
+@query
+def bypass_match(spark, sf_dir):
+    return matches_of(spark, sf_dir).select(
+        "scan_id", "repo", "token_id", "reason", text_time("scan_ts"), text_time("created_at")
+    )
+
+
+@query
+def bypass_audit(spark, sf_dir):
+    return bypass.bypass_audit(matches_of(spark, sf_dir))
+
+
+@query
+def unscanned_commits(spark, sf_dir):
+    return bypass.unscanned_commits(
+        corpus.commits(spark, sf_dir), corpus.event_scans(spark, sf_dir)
+    )
+
+
+# --- Streams ------------------------------------------------------------------------
+
+
+@named("audit_stream")
+def _(spark, sf_dir):
+    out, checkpoint = work_path(spark, "audit_stream"), work_path(spark, "audit_ckpt")
+    for running in audit_stream(spark, audit_log_path(spark, sf_dir), out, checkpoint):
+        running.awaitTermination()
+    both = [
+        spark.read.parquet(f"{out}/{kind}").withColumn("kind", F.lit(kind))
+        for kind in ("daily", "monthly")
+    ]
+    return both[0].unionByName(both[1]).select(
+        "kind", text_time("start"), text_time("end"), "repo", "severity", "n"
+    )
+
+
+@named("scan_stream")
+def _(spark, sf_dir):
+    diffs_of(spark, sf_dir)
+    source = _WRITTEN[(spark.sparkContext.applicationId, sf_dir, "diffs")]
+    out = work_path(spark, "scan_stream")
+    scan_stream(spark, source, out, work_path(spark, "scan_ckpt")).awaitTermination()
+    return spark.read.parquet(f"{out}/verdicts").drop("batch_id")
