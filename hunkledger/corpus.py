@@ -52,19 +52,11 @@ def doc_path() -> Column:
     return F.concat(F.lit("src/"), F.col("source"), F.lit("/d"), F.col("doc_id"), ext)
 
 
-def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One diff per five documents, one file section per document, and one diff without
-    any file per benchmark item.
-
-    Some sections get the shapes real diffs have: no path, a second hunk with a path
-    line inside it; some diffs start with hunks before the first file header, some end
-    with a header that cannot be read.
-    """
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as marked diff lines: the whole text, then three lines of code."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     doc = F.col("doc_id")
-    template = F.get(
-        literal_array(TEMPLATES), ((doc + F.floor(doc / 16)) % 16).cast("int")
-    )
+    template = F.get(literal_array(TEMPLATES), ((doc + F.floor(doc / 16)) % 16).cast("int"))
     imports = F.get(literal_array(IMPORT_LINES), (doc % 3).cast("int"))
     lines = F.concat(F.split("text", "\n"), F.array(template, imports, F.lit("tail")))
     marked = F.transform(
@@ -73,12 +65,26 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(i % 7 == 3, F.lit(" ")).when(i % 11 == 5, F.lit("-")).otherwise(F.lit("+")), l
         ),
     )
-    built = docs.select(
+    return docs.select(
         "doc_id",
         F.floor(doc / 5).cast("bigint").alias("scan_id"),
+        "source",
+        "text",
         doc_path().alias("path"),
         marked.alias("lines"),
     )
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diff per five documents, one file section per document, and one diff without
+    any file per benchmark item.
+
+    Some sections get the shapes real diffs have: no path, a second hunk with a path
+    line inside it; some diffs start with hunks before the first file header, some end
+    with a header that cannot be read.
+    """
+    doc = F.col("doc_id")
+    built = _doc_lines(spark, sf_dir)
     n_old = F.size(F.filter("lines", lambda l: ~F.startswith(l, F.lit("+"))))
     n_new = F.size(F.filter("lines", lambda l: ~F.startswith(l, F.lit("-"))))
     path = F.col("path")
@@ -378,3 +384,79 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("'user-' || user_id").alias("author"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
+
+
+# --- Repository files, patches, decisions -------------------------------------------
+
+# (path, content, is folder) of the files around a document, over its columns and ``dir``
+# and ``ext``; the first document of a scan to name a path provides the file.
+NEIGHBOURS: tuple[tuple[str, str, bool], ...] = (
+    ("dir || '/helper.js'",
+     "'export function helper() {' || chr(10) || '  return 1' || chr(10) || '}' || chr(10) || '// const no' "
+     "|| chr(10) || 'const a = 1' || chr(10) || text", False),
+    ("'src/shared/base.py'",
+     "'class Base:' || chr(10) || '    def run(self):' || chr(10) || '        pass' || chr(10) || text", False),
+    ("dir || '/lib' || ext", "'package lib' || chr(10) || text", False),
+    ("dir || '/auth_' || doc_id || '.py'",
+     "'def check(user):' || chr(10) || '    return True' || chr(10) || chr(10) || text", False),
+    ("dir || '/security'", "''", True),
+    ("dir || '/middleware.go'",
+     "'package m' || chr(10) || chr(10) || 'func Wrap() {' || chr(10) || '}' || chr(10) || text", False),
+)
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new side of every document's file, and its neighbours."""
+    docs = _doc_lines(spark, sf_dir).select(
+        "*", F.expr("'src/' || source").alias("dir"),
+        F.get(literal_array(EXTENSIONS), (F.col("doc_id") % 8).cast("int")).alias("ext"),
+    )
+    new_side = F.filter("lines", lambda l: ~F.startswith(l, F.lit("-")))
+    own = F.concat(
+        F.array_join(F.transform(new_side, lambda l: F.substring(l, 2, 2147483647)), "\n"),
+        F.lit("\n"),
+    )
+
+    def entry(path: Column, content: Column, is_dir: bool) -> Column:
+        return F.struct(
+            path.alias("path"), content.alias("content"), F.lit(is_dir).alias("is_dir")
+        )
+
+    entries = F.array(
+        entry(F.col("path"), own, False),
+        *[entry(F.expr(p), F.expr(c), d) for p, c, d in NEIGHBOURS],
+    )
+    rows = docs.select("scan_id", "doc_id", F.inline(entries))
+    return (
+        rows.groupBy("scan_id", "path")
+        .agg(F.min(F.struct("doc_id", "content", "is_dir")).alias("f"))
+        .select(
+            "scan_id", "path", F.octet_length("f.content").cast("bigint").alias("size"),
+            "f.is_dir", "f.content",
+        )
+    )
+
+
+_NL = "chr(10)"
+PATCH = (
+    "CASE WHEN finding_ord % 5 = 0 THEN '' WHEN finding_ord % 11 = 2 THEN 'not a patch' ELSE "
+    f"'diff --git a/' || path || ' b/' || path || {_NL} || '--- a/' || path || {_NL} || '+++ b/' || path || {_NL} || "
+    f"CASE WHEN finding_ord % 7 = 1 THEN '@@ -' || line || ',0 +' || (line + 1) || ',1 @@' || {_NL} || "
+    f"'+inserted ' || finding_ord || {_NL} "
+    f"WHEN finding_ord % 13 = 3 THEN '@@ -' || line || ' +' || line || ' @@' || {_NL} || '-nope' || {_NL} || '+x' || {_NL} "
+    f"ELSE '@@ -' || line || ' +' || line || ',2 @@' || {_NL} || '-' || content || {_NL} || "
+    f"'+fixed ' || finding_ord || {_NL} || '+more' || {_NL} END END"
+)
+
+
+def patches(findings: DataFrame) -> DataFrame:
+    """A proposed patch per finding: a replacement, an insertion, a wrong one or none."""
+    return findings.select("scan_id", "finding_ord", F.expr(PATCH).alias("patch"))
+
+
+def decisions(findings: DataFrame) -> DataFrame:
+    """Review decisions; a quarter of the findings is left undecided."""
+    choice = F.when(F.col("finding_ord") % 4 == 0, F.lit("skip")).otherwise(F.lit("apply"))
+    return findings.where(F.col("finding_ord") % 4 != 3).select(
+        "scan_id", "finding_ord", choice.alias("decision")
+    )

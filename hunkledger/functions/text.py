@@ -120,3 +120,9 @@ def add_wrapping(start: Column, k: Column) -> Column:
     return F.when(start > F.lit(INT64_MAX) - k, (start - F.lit(INT64_MAX)) + (k - 1) + low).otherwise(
         start + k
     )
+
+
+def rfc3339(ts: Column) -> Column:
+    """RFC 3339 text in UTC, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")

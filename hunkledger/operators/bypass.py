@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rfc3339
+
 BUCKET_SECONDS = 60
 
 
@@ -120,10 +122,6 @@ def _audit_row(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
-def rfc3339(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def bypass_audit(matches: DataFrame) -> DataFrame:
     """Audit row of each consumed token."""
     return _audit_row(

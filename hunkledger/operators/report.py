@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import BAR_WIDTH, REPORT_DAYS, TOP_RULES
+from ..functions.text import rfc3339
 
 _RFC3339 = (
     r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?"
@@ -173,7 +174,7 @@ def report(window: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFra
         .join(_count_map(breakdown, "source", "sources"), "repo")
         .select(
             "repo",
-            F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"),
+            rfc3339(as_of).alias("generated_at"),
             F.lit(days).alias("period_days"),
             "total_events", "severity", "actions", "top_rules", "sources", "bypass_count",
             "no_verify_count", "trend",

@@ -26,12 +26,12 @@ RFC = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)$"
 
 
 def at(e: str) -> str:
-    return f"CASE WHEN regexp_matches({e}, '{RFC}') THEN try_cast({e} AS TIMESTAMPTZ)::TIMESTAMP END"
+    return f"CASE WHEN regexp_matches({e}, '{RFC}') THEN try_cast({e} AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END"
 
 
 def window(table: str, days: int) -> str:
-    return f"""SELECT * FROM (SELECT *, {at('"timestamp"')} AS at FROM {table})
-WHERE at > {AS_OF} - INTERVAL {days} DAY"""
+    return f"""SELECT * FROM (SELECT *, {at('"timestamp"')} AS moment FROM {table})
+WHERE moment > {AS_OF} - INTERVAL {days} DAY"""
 
 
 def blocks_for(prefix: str, table: str, days: int) -> None:
@@ -90,10 +90,10 @@ WHERE rn = 1 AND scan_ts <= expires_at""")
 
 _t = "%Y-%m-%d %H:%M:%S"
 _z = "%Y-%m-%dT%H:%M:%SZ"
-block("sevents", f"SELECT * FROM (SELECT *, {at('\"timestamp\"')} AS at FROM decoded) WHERE at IS NOT NULL")
+block("sevents", f"SELECT * FROM (SELECT *, {at('\"timestamp\"')} AS moment FROM decoded) WHERE moment IS NOT NULL")
 block("sdays", """
-SELECT date_trunc('day', at)::TIMESTAMP AS d, repo, severity, count(*) AS n FROM sevents GROUP BY ALL""")
-block("smark", "SELECT max(at) - INTERVAL 1 DAY AS wm FROM sevents")
+SELECT date_trunc('day', moment)::TIMESTAMP AS d, repo, severity, count(*) AS n FROM sevents GROUP BY ALL""")
+block("smark", "SELECT max(moment) - INTERVAL 1 DAY AS wm FROM sevents")
 
 _json = (
     "'{\"timestamp\":\"' || CASE WHEN \"timestamp\" = '' THEN '2024-02-01T00:00:00Z' ELSE \"timestamp\" END || '\",\"action\":\"' || action "
@@ -106,7 +106,7 @@ _json = (
 QUERIES = {
     "read_audit": "SELECT * FROM decoded",
     "write_audit": f"SELECT repo, {_json} AS json FROM alog",
-    "audit_window": """SELECT repo, log_seq, "timestamp", strftime(at, '%Y-%m-%d %H:%M:%S.%f') AS at FROM r20win""",
+    "audit_window": """SELECT repo, log_seq, "timestamp", strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS moment FROM r20win""",
     "audit_breakdown": "SELECT * FROM r20bd",
     "top_rules": "SELECT * FROM r20top",
     "bypass_history": "SELECT * FROM r20hist",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hunkledger import corpus
 from hunkledger.operators import diffs as D
-from hunkledger.operators import agents, bypass, filters, post, report, rule_scan, scanner
+from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, run_scan
 from hunkledger.session import work_path
@@ -404,7 +404,7 @@ def _(spark, sf_dir):
 def audit_window(spark, sf_dir):
     return window_of(spark, sf_dir).select(
         "repo", "log_seq", "timestamp",
-        F.date_format(report.parse_rfc3339(F.col("timestamp")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
+        F.date_format(report.parse_rfc3339(F.col("timestamp")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"),
     )
 
 
@@ -512,3 +512,76 @@ def _(spark, sf_dir):
     out = work_path(spark, "scan_stream")
     scan_stream(spark, source, out, work_path(spark, "scan_ckpt")).awaitTermination()
     return spark.read.parquet(f"{out}/verdicts").drop("batch_id")
+
+
+# --- Related files ------------------------------------------------------------------
+
+
+def repo_of(spark, sf_dir):
+    return derived(spark, sf_dir, "repo_files", corpus.repo_files)
+
+
+@query
+def import_candidates(spark, sf_dir):
+    return context.import_candidates(kept_files(spark, sf_dir), repo_of(spark, sf_dir))
+
+
+@query
+def sibling_candidates(spark, sf_dir):
+    return context.sibling_candidates(kept_files(spark, sf_dir), repo_of(spark, sf_dir))
+
+
+@query
+def signatures(spark, sf_dir):
+    return context.signatures(repo_of(spark, sf_dir))
+
+
+@query
+def related_files(spark, sf_dir):
+    files, repo = kept_files(spark, sf_dir), repo_of(spark, sf_dir)
+    return context.related_files(
+        context.import_candidates(files, repo), context.sibling_candidates(files, repo), files, repo
+    )
+
+
+# --- Patches and review -------------------------------------------------------------
+
+
+def build_review_findings(spark, sf_dir):
+    """Every rule finding twice, so that patches of one line compete."""
+    found = rule_scan.rule_scan(kept_files(spark, sf_dir))
+    return patches.rank_findings(found.unionByName(found.withColumn("phase", F.lit(2))))
+
+
+def review_of(spark, sf_dir):
+    """(findings, patches, decisions, repository files)"""
+    found = derived(spark, sf_dir, "review_findings", build_review_findings)
+    return found, corpus.patches(found), corpus.decisions(found), repo_of(spark, sf_dir)
+
+
+@query
+def patch_check(spark, sf_dir):
+    _, proposed, _, repo = review_of(spark, sf_dir)
+    return patches.patch_check(proposed, repo)
+
+
+@query
+def patch_apply(spark, sf_dir):
+    _, proposed, chosen, repo = review_of(spark, sf_dir)
+    return patches.patch_apply(chosen, proposed, repo)[1]
+
+
+def outcomes_of(spark, sf_dir):
+    found, proposed, chosen, repo = review_of(spark, sf_dir)
+    accepted = patches.accepted_patches(chosen, proposed, patches.patch_check(proposed, repo))
+    return patches.review_outcomes(found, proposed, patches.apply_order(accepted))
+
+
+@query
+def review_outcomes(spark, sf_dir):
+    return outcomes_of(spark, sf_dir)
+
+
+@query
+def review_summary(spark, sf_dir):
+    return patches.review_summary(outcomes_of(spark, sf_dir))
