@@ -19,3 +19,13 @@ def literal_array(values) -> Column:
 
 def drop_first(parts: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def held(value: Column) -> Column:
+    """``value`` as a generator output.
+
+    Catalyst moves filters below a projection by copying the projected expression into
+    them, once per use.  It does not move them below a generator, so an expensive value
+    produced by one is computed once per row.
+    """
+    return F.explode_outer(F.array(value))

@@ -22,7 +22,7 @@ from ..catalogue import (
     AgentRule,
 )
 from ..functions import strict_json as J
-from ..functions.arrays import let, literal_array
+from ..functions.arrays import held, let, literal_array
 from ..functions.findings import as_findings
 from ..functions.prefilter import matches
 from ..functions.text import (
@@ -218,7 +218,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     must be exactly one JSON value of the expected types.
     """
     keep = [c for c in responses.columns if c not in ("body", "status_error")]
-    outer = response_status(responses).withColumn("_outer", F.try_parse_json("body"))
+    outer = response_status(responses).select("*", held(F.try_parse_json("body")).alias("_outer"))
     choice_ok = lambda c: (
         J.is_object(c) & J.is_object(c, "$.message") & J.is_text(c, "$.message.content")
     )
@@ -235,7 +235,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         choices.alias("_choices"),
     )
     content = J.text_at(F.get("_choices", F.lit(0)), "$.message.content")
-    answered = decoded.withColumn("_answer", J.strict_variant(strip_fences(content)))
+    answered = decoded.select("*", held(J.strict_variant(strip_fences(content))).alias("_answer"))
     error = (
         F.when(F.col("status_error") != "", F.col("status_error"))
         .when(~F.col("_decoded"), F.lit("decode response"))

@@ -13,7 +13,7 @@ from ..catalogue import (
     MAX_CONTEXT_LINES,
     SIBLING_WORDS,
 )
-from ..functions.arrays import literal_array
+from ..functions.arrays import let, literal_array
 from ..functions.text import base_name, clean_path, dir_name, path_ext, trim_space
 
 
@@ -117,10 +117,9 @@ def usable(repo_files: DataFrame) -> DataFrame:
 def signature_text(content: Column, ext: Column) -> Column:
     """Declaration lines with the two lines after each and a blank one, at most 50 lines;
     the first 50 lines of the file where it has no declaration."""
-    lines = F.split(content, "\n")
     marks = F.coalesce(_marks_of(ext, DECLARATION_MARKS), F.array().cast("array<string>"))
 
-    def declares(line: Column) -> Column:
+    def declares(line: Column, marks: Column) -> Column:
         text = trim_space(line)
         return (
             (text != "")
@@ -129,14 +128,23 @@ def signature_text(content: Column, ext: Column) -> Column:
             & F.exists(marks, lambda m: F.contains(line, m))
         )
 
-    at = F.filter(
-        F.transform(lines, lambda line, i: F.when(declares(line), i)), lambda i: i.isNotNull()
-    )
-    shown = F.flatten(
-        F.transform(at, lambda i: F.concat(F.slice(lines, i + 1, F.lit(3)), F.array(F.lit(""))))
+    def found(lines: Column, marks: Column) -> Column:
+        numbers = F.transform(lines, lambda line, i: F.when(declares(line, marks), i))
+        return F.filter(numbers, lambda i: i.isNotNull())
+
+    def shown(lines: Column, at: Column) -> Column:
+        blocks = F.transform(
+            at, lambda i: F.concat(F.slice(lines, i + 1, F.lit(3)), F.array(F.lit("")))
+        )
+        chosen = F.when(F.size(at) > 0, F.flatten(blocks)).otherwise(lines)
+        return F.array_join(F.slice(chosen, 1, MAX_CONTEXT_LINES), "\n")
+
+    return let(
+        F.split(content, "\n"),
+        lambda lines: let(
+            let(marks, lambda m: found(lines, m)), lambda at: shown(lines, at)
+        ),
     )
-    chosen = F.when(F.size(at) > 0, shown).otherwise(lines)
-    return F.array_join(F.slice(chosen, 1, MAX_CONTEXT_LINES), "\n")
 
 
 def signatures(repo_files: DataFrame) -> DataFrame:

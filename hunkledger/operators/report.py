@@ -9,8 +9,8 @@ from ..catalogue import BAR_WIDTH, REPORT_DAYS, TOP_RULES
 from ..functions.text import rfc3339
 
 _RFC3339 = (
-    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?"
-    r"(?:Z|([+-])([0-9]{2}):([0-9]{2}))\z"
+    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?"
+    r"(?:Z|[+-](?:[01][0-9]|2[0-4]):(?:[0-5][0-9]|60))\z"
 )
 DIMENSIONS = ("severity", "action", "rule_id", "source")
 TREND_BUCKET = 1 << 20
@@ -23,17 +23,15 @@ def parse_rfc3339(text: Column) -> Column:
     offsets.
     """
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _RFC3339, i)
-
-    local = F.concat(part(1), F.lit(" "), part(2), F.lit("."), F.rpad(part(3), 6, "0"))
-    hours, minutes = part(5).try_cast("int"), part(6).try_cast("int")
-    seconds = F.coalesce(hours * 3600 + minutes * 60, F.lit(0))
-    offset = F.when(part(4) == "-", -seconds).otherwise(seconds)
-    fits = (F.coalesce(hours, F.lit(0)) <= 24) & (F.coalesce(minutes, F.lit(0)) <= 60)
+    zulu = F.endswith(text, F.lit("Z"))
+    local = F.left(text, F.length(text) - F.when(zulu, 1).otherwise(6))
+    moment = F.concat(F.replace(local, F.lit(","), F.lit(".")), F.lit("Z")).try_cast("timestamp")
+    sign = F.when(F.substring(text, -6, 1) == "-", 1).otherwise(-1)
+    hours = F.substring(text, -5, 2).try_cast("int")
+    minutes = F.substring(text, -2, 2).try_cast("int")
+    shift = F.make_dt_interval(secs=sign * (hours * 3600 + minutes * 60))
     return F.when(
-        F.rlike(text, F.lit(_RFC3339)) & fits,
-        F.concat(local, F.lit("Z")).try_cast("timestamp") - F.make_dt_interval(secs=offset),
+        F.rlike(text, F.lit(_RFC3339)), F.when(zulu, moment).otherwise(moment + shift)
     )
 
 

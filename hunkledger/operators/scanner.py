@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strict_json as J
+from ..functions.arrays import held
 from ..functions.findings import as_findings
 from ..functions.text import base_name, path_ext, severity_rank, trim_space
 
@@ -41,7 +42,7 @@ def scanner_report(reports: DataFrame) -> DataFrame:
     Exit codes 0 and 1 carry a report; an empty report is one without results.
     """
     doc = F.col("_doc")
-    parsed = reports.withColumn("_doc", J.strict_variant(F.col("report")))
+    parsed = reports.select("*", held(J.strict_variant(F.col("report"))).alias("_doc"))
     readable = (F.col("report") == "") | (
         doc.isNotNull()
         & J.is_object(doc)

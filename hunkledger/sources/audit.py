@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json as J
+from ..functions.arrays import held
 from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS
 
 _INDEX_BITS = 33
@@ -22,7 +23,7 @@ def decode_audit(lines: DataFrame) -> DataFrame:
     keep = [c for c in lines.columns if c != "value"]
     doc = F.col("_doc")
     parsed = lines.where(F.col("value") != "").select(
-        *keep, J.strict_variant(F.col("value")).alias("_doc")
+        *keep, held(J.strict_variant(F.col("value"))).alias("_doc")
     )
     ok = doc.isNotNull() & J.is_object(doc) & J.is_int(doc, "$.line")
     for name in AUDIT_TEXT_FIELDS:

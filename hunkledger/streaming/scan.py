@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.post import scan_verdict, severity_counts
 from ..plans.scan import ScanInputs, ScanOptions, run_scan
 from ..schemas import DIFFS
 
@@ -27,8 +27,12 @@ def scan_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         result = run_scan(ScanInputs(diffs=batch), options)
-        for name, table in (("findings", result.findings), ("verdicts", result.verdicts)):
-            table.write.mode("overwrite").parquet(f"{out_path}/{name}/batch_id={batch_id}")
+        part = f"batch_id={batch_id}"
+        result.findings.write.mode("overwrite").parquet(f"{out_path}/findings/{part}")
+        # The verdicts read the findings just written instead of computing them again.
+        written = spark.read.schema(result.findings.schema).parquet(f"{out_path}/findings/{part}")
+        verdicts = scan_verdict(result.scans, severity_counts(written))
+        verdicts.write.mode("overwrite").parquet(f"{out_path}/verdicts/{part}")
         result.release()
 
     stream = (
@@ -40,7 +44,3 @@ def scan_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_verdicts(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(f"{out_path}/verdicts").withColumn("batch_id", F.col("batch_id"))

@@ -585,3 +585,10 @@ def review_outcomes(spark, sf_dir):
 @query
 def review_summary(spark, sf_dir):
     return patches.review_summary(outcomes_of(spark, sf_dir))
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Write every derived input table, so that later queries only read them."""
+    for build in (diffs_of, responses_of, reports_of, repo_of, audit_of, review_of):
+        build(spark, sf_dir)
+    audit_log_path(spark, sf_dir)
