@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strict_json as J
 from ..functions.arrays import held
+from ..functions.text import folder_of
 from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS
 
 _INDEX_BITS = 33
@@ -53,7 +54,7 @@ def read_plain_audit(spark: SparkSession, path: str) -> DataFrame:
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_UNIT).cast("bigint")
     lines = files.select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("repo"),
+        folder_of(F.col("_metadata.file_path")).alias("repo"),
         (F.shiftleft(block, _INDEX_BITS) + index).alias("log_seq"),
         "value",
     )

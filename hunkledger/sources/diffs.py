@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import folder_of
 from ..operators.diffs import is_blank
 from ..schemas import DIFFS
 
@@ -19,11 +20,11 @@ def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
 
     The scan id is a hash of the file's path, the scan time its modification time.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     location = F.col("_metadata.file_path")
     return files.select(
         F.xxhash64(location).alias("scan_id"),
-        F.element_at(F.split(location, "/"), -2).alias("repo"),
+        folder_of(location).alias("repo"),
         F.col("_metadata.file_modification_time").alias("scan_ts"),
         F.col("value").alias("raw"),
     ).withColumn("is_empty", is_blank(F.col("raw")))
