@@ -160,7 +160,7 @@ def related_files(
 ) -> DataFrame:
     """At most three related files per scan, in the order they are found.
 
-    Contents join in last, for the chosen files only.
+    Contents join in last, for the chosen files only; large files never enter a shuffle.
     """
     none = F.lit(0)
 
@@ -195,7 +195,7 @@ def related_files(
         "slot", F.row_number().over(Window.partitionBy("scan_id").orderBy("order"))
     )
     chosen = ranked.where(F.col("slot") <= MAX_CONTEXT_FILES).drop("order")
-    return chosen.join(repo_files.select(*keys, "content"), keys).select(
+    return chosen.join(usable(repo_files).select(*keys, "content"), keys).select(
         "scan_id", "slot", "path", "reason",
         signature_text(F.col("content"), F.col("ext")).alias("content"),
     )

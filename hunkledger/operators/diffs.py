@@ -110,8 +110,10 @@ def _sections(parsed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.contains(preamble, F.lit(mark)),
         F.concat(F.lit(mark), F.substring_index(preamble, mark, -1)),
     ).otherwise(F.lit(""))
+    # Every scan has at least one part; the outer form keeps Catalyst from inferring a filter
+    # that would parse the text once more.
     rows = parsed.select(
-        *keys, orphan.alias("_orphan"), F.posexplode("_parts").alias("file_ord", "_section")
+        *keys, orphan.alias("_orphan"), F.posexplode_outer("_parts").alias("file_ord", "_section")
     )
     body = F.concat(
         F.when(F.col("file_ord") == 1, F.col("_orphan")).otherwise(F.lit("")),
