@@ -235,7 +235,6 @@ VALID RESPONSE SHAPE:
   }]
 }"""
 
-AUDIT_ACTIONS = ("apply", "skip", "apply_failed", "bypass", "no-verify")
 TOP_RULES = 5
 REPORT_DAYS = 30
 PERIODIC_DAYS = 7

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import GEMINI_AGENT, LOCAL_AGENT_PREFIX, OPENROUTER_AGENT, SUPPRESS_MARKER
+from .catalogue import SUPPRESS_MARKER
 from .functions.arrays import literal_array
 
 EXTENSIONS = (".go", ".py", ".js", ".java", ".md", ".lock", ".min.js", "")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 DIFFS = "scan_id bigint, repo string, scan_ts timestamp, raw string"
 
-LINE = "line_ord int, kind string, content string, number bigint, old_number bigint"
-
 FIX = "struct<fixed_line:string,explanation:string,automated:boolean>"
 WIRE_FINDING = (
     "struct<id:string,severity:string,vuln_class:string,description:string,"

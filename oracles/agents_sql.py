@@ -300,4 +300,3 @@ SELECT r.*, coalesce(n, 0) AS n_findings
 FROM (VALUES {_rule_values}) r(version, rule_set, rule_ord, rule_id, pattern, message, severity, file_exts, cwe, confidence_pct)
 LEFT JOIN (SELECT rule_ord, count(*) AS n FROM rule_hits GROUP BY 1) c ON r.rule_set = 'line' AND r.rule_ord = c.rule_ord""",
 }
-_ = array

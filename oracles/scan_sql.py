@@ -6,7 +6,7 @@ from hunkledger.catalogue import BLOCKED_EXTENSIONS, LINE_RULES, SUPPRESS_MARKER
 from hunkledger.corpus import BLANK_SCANS, EXTENSIONS, IMPORT_LINES, TEMPLATES
 
 from .core import array, block, lit
-from .text import last_dot_ext, path_ext, sev_name, sev_rank, trim
+from .text import last_dot_ext, path_ext, sev_rank, trim
 
 block("doc_lines", f"""
 SELECT doc_id, doc_id // 5 AS scan_id,
@@ -163,4 +163,3 @@ SELECT scan_id, file_ord, path, hunk_ord, line_ord, content, number FROM adds"""
     "rule_scan": "SELECT * FROM rule_hits",
     "suppressed_lines": "SELECT * FROM suppressed",
 }
-_ = sev_name
