@@ -13,7 +13,7 @@ from hunkledger.catalogue import (
     SYSTEM_PROMPT,
 )
 
-from .core import array, block, lit
+from .core import block, lit
 from .text import path_ext, sev_name, sev_rank, trim
 
 NL = "chr(10)"
