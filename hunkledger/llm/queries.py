@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lang
+from . import bpe, html, lang, licences, topk
 
 QUERIES = {
+    "op3_top_k": topk.op3_top_k,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op8_language_id": lang.op8_language_id,
+    "op9_licences": licences.op9_licences,
+    "op10_main_text": html.op10_main_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_top_k": topk.ORACLE}
