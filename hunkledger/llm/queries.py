@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html, lang, licences, topk
+from . import bpe, html, lang, licences, topk, toxicity
 
 QUERIES = {
     "op3_top_k": topk.op3_top_k,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op8_language_id": lang.op8_language_id,
     "op9_licences": licences.op9_licences,
