@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, html, lang, licences, topk, toxicity
+from . import bpe, html, lang, licences, minhash, topk, toxicity
 
 QUERIES = {
     "op3_top_k": topk.op3_top_k,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_language_id": lang.op8_language_id,
     "op9_licences": licences.op9_licences,
     "op10_main_text": html.op10_main_text,
