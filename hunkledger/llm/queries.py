@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, html, lang, licences, minhash, topk, toxicity
+from . import bpe, decontaminate, html, lang, licences, minhash, topk, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_top_k": topk.op3_top_k,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
