@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, lang, licences, minhash, topk, toxicity
+from . import bpe, decontaminate, html, lang, licences, minhash, suffixes, topk, toxicity
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_top_k": topk.op3_top_k,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_language_id": lang.op8_language_id,
     "op9_licences": licences.op9_licences,
