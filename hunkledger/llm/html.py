@@ -18,11 +18,14 @@ through; columns named text or n_chars are replaced.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +124,24 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
     return found
 
 
+def packed(page: list[tuple[str, bool, bool]]) -> bytes:
+    """A page's lines as they travel to its neighbours: markup gone, deflated."""
+    return zlib.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(page: bytes) -> list[tuple[str, bool, bool]]:
+    return [tuple(line) for line in json.loads(zlib.decompress(page).decode("utf-8", "surrogatepass"))]
+
+
+def _lines_udf():
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in batches:
+            yield pd.Series([packed(lines(h) if isinstance(h, str) else []) for h in htmls])
+
+    return run
+
+
 def shared(own: list[int], other: list[int]) -> set[int]:
     """Positions of ``own`` in a longest common subsequence with ``other``.
 
@@ -201,9 +222,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
     schema = pages.schema
 
     def difference(group: pa.Table) -> pa.Table:
-        keys, htmls = group["__key"].to_pylist(), group["__html"].to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], htmls[i] or ""))
-        parsed = [lines(htmls[i] or "") for i in order]
+        keys, packed = group["__key"].to_pylist(), group["__lines"].to_pylist()
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], packed[i]))
+        parsed = [unpacked(packed[i]) for i in order]
         hashed = [[hash(text) for text, _, _ in page] for page in parsed]
         hosts, paths = zip(*(keys[i].split("\u0001", 1) for i in order))
         texts = []
@@ -215,13 +236,13 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
                 if wanted and hashed[j] != hashed[i]:
                     template |= shared(hashed[i], hashed[j])
             texts.append(main_text(page, template))
-        out = group.drop_columns(["__key", "__range", "__html"]).take(pa.array(order))
+        out = group.drop_columns(["__key", "__range", "__lines"]).take(pa.array(order))
         return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(map(len, texts), pa.int64()))
 
     kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars")]
     result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in kept)
     return (
-        placed.select(*kept, "__key", "__range", F.col(html).alias("__html"))
+        placed.select(*kept, "__key", "__range", _lines_udf()(F.col(html)).alias("__lines"))
         .groupBy("__range").applyInArrow(difference, f"{result}, text string, n_chars long" if result else "text string, n_chars long")
     )
 

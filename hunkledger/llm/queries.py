@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, lang, licences, minhash, suffixes, topk, toxicity
+from . import bpe, decontaminate, html, lang, licences, minhash, pii, suffixes, topk, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_top_k": topk.op3_top_k,
     "op4_toxicity": toxicity.op4_toxicity,
