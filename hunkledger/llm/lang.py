@@ -52,15 +52,17 @@ def gram_vectors(grams: np.ndarray, dim: int, seed: int) -> np.ndarray:
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram ids that occur, and the matrix texts x those ids of how often.  A run of characters
-    that are no letters counts as one gap; trigrams reach over the edge of a word, not over two gaps."""
-    points = np.frombuffer(" ".join(t.lower().replace(" ", " ") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code = symbols()[points]
-    ends = np.cumsum([len(t.lower()) + 1 for t in texts])
-    kept = np.flatnonzero((code != 0) | (np.concatenate(([1], code[:-1])) != 0))
+    """Trigram ids that occur, and the matrix texts x those ids of how often.  A text begins and ends with a
+    gap, and a run of characters that are no letters is one gap."""
+    lowered = [f" {t.lower()} " for t in texts]
+    code = symbols()[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    ends = np.cumsum([len(t) for t in lowered])
+    kept = (code != 0) | (np.concatenate(([0], code[:-1])) != 0)
+    kept[ends - [len(t) for t in lowered]] = True
+    kept = np.flatnonzero(kept)
     code, doc = code[kept], np.searchsorted(ends, kept, side="right")
     grams = code[:-2] * SYMBOLS**2 + code[1:-1] * SYMBOLS + code[2:]
-    same = (doc[:-2] == doc[2:]) & (grams != 0)
+    same = doc[:-2] == doc[2:]
     grams, doc = grams[same], doc[:-2][same]
     there = np.flatnonzero(np.bincount(grams, minlength=GRAMS))
     place = np.zeros(GRAMS, dtype=np.int64)

@@ -179,7 +179,8 @@ def _sign_udf(size: int, bands: int, rows: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node each node is linked to, by alternating large and small stars.
+    """(node, label) of every node but the smallest of its component, whose label is that smallest node; by
+    alternating large and small stars.
 
     Every round replaces the edges by fewer and shorter ones and is written to the shared folder;
     rounds grow with the logarithm of the longest chain.

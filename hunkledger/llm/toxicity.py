@@ -48,7 +48,7 @@ TARGETS = "you your you're u he she they them him dich dir euch du vous toi tú
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine niemals pas jamais ne nunca jamás".split()
 REPORTS = "said says told wrote called claimed reported quoted sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”«»]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\"“”«»]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 QUOTES = frozenset('"“”«»')
 
