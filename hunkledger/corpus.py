@@ -330,6 +330,8 @@ _ENTRY = (
     "'\",\"path\":\"' || path || '\",\"line\":' || line || ',\"severity\":\"' || severity || '\",\"source\":\"' || "
     "source || '\",\"message\":\"' || message || '\",\"extra\":[1,{\"k\":null}],\"log_seq\":' || log_seq || '}'"
 )
+# A value that a later one with the same key replaces.
+REPEATED_KEY = '"severity":"replaced",'
 AUDIT_LINE = (
     f"CASE WHEN log_seq % 101 = 7 THEN left({_ENTRY}, 40) "
     f"WHEN log_seq % 103 = 9 THEN replace({_ENTRY}, '\"line\":' || line, '\"line\":\"' || line || '\"') "
@@ -339,7 +341,10 @@ AUDIT_LINE = (
     f"WHEN log_seq % 127 = 17 THEN replace({_ENTRY}, '\"severity\":\"' || severity || '\"', '\"severity\":null') "
     f"WHEN log_seq % 151 = 19 THEN replace({_ENTRY}, '\"line\":' || line, '\"line\":1.0') "
     f"WHEN log_seq % 157 = 21 THEN '  ' || {_ENTRY} || ' ' "
-    f"WHEN log_seq % 163 = 23 THEN '' ELSE {_ENTRY} END"
+    "WHEN log_seq % 163 = 23 THEN '' "
+    f"WHEN log_seq % 11 = 5 THEN replace({_ENTRY}, ',\"log_seq\":' || log_seq, '') "
+    f"WHEN log_seq % 13 = 6 THEN replace({_ENTRY}, '\"rule_id\"', '{REPEATED_KEY}\"rule_id\"') "
+    f"WHEN log_seq % 17 = 7 THEN replace({_ENTRY}, ',\"path\"', ',' || chr(13) || '\"path\"') ELSE {_ENTRY} END"
 )
 
 

@@ -8,9 +8,21 @@ closes the array early loses it, so the hash is found only after one whole value
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def keep_last_key(spark: SparkSession) -> None:
+    """Let an object repeat a key, as the log's writers may; the last value counts.
+
+    Spark refuses such objects unless the session allows them, and a refused object would
+    silently drop its row, so every decoder calls this before it builds its plan.
+    """
+    if spark.conf.get(_REPEATED_KEYS, "false").lower() != "true":
+        spark.conf.set(_REPEATED_KEYS, "true")
+
 
 def strict_variant(text: Column) -> Column:
     """The text as a variant when it is exactly one JSON value, else NULL."""

@@ -94,22 +94,33 @@ def bypass_history(counts: DataFrame) -> DataFrame:
 def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
     """Blocking severities in the first half of the log against the rest.
 
-    The halves are by position, ``floor(n/2)`` rows first.  No window spans a whole
-    repository: ranges of ``bucket`` log numbers are counted first, and only the one
-    range that holds the middle is ranked row by row.
+    The halves are by position, ``floor(n/2)`` rows first.  Rows with a log number come in
+    its order, then those without one by time; what remains equal differs in nothing that is counted
+    but the severity, which decides.  No window spans a whole repository: ranges of ``bucket``
+    log numbers, or of an hour, are counted first, and only the one range that holds the
+    middle is ranked row by row.
     """
     severe = F.col("severity").isin("CRITICAL", "ERROR")
+    moment = F.lit(None).cast("timestamp")
+    if "timestamp" in window.columns:
+        moment = parse_rfc3339(F.col("timestamp"))
+    numbered = F.col("log_seq").isNotNull()
+    hour = F.floor(F.unix_seconds(moment) / 3600)
     rows = window.select(
-        "repo", "log_seq", severe.alias("severe"),
-        F.floor(F.col("log_seq") / F.lit(bucket)).cast("bigint").alias("bucket"),
+        "repo", "log_seq", "severity", moment.alias("moment"), severe.alias("severe"),
+        F.when(numbered, 0).otherwise(1).alias("part"),
+        F.coalesce(
+            F.when(numbered, F.floor(F.col("log_seq") / F.lit(bucket))).otherwise(hour), F.lit(0)
+        ).cast("bigint").alias("bucket"),
     )
-    per_bucket = rows.groupBy("repo", "bucket").agg(
+    place = ["repo", "part", "bucket"]
+    per_bucket = rows.groupBy(*place).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("severe").alias("s")
     )
     by_repo = Window.partitionBy("repo")
-    before = by_repo.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_repo.orderBy("part", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_bucket.select(
-        "repo", "bucket", "n",
+        *place, "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_before"),
         F.sum("n").over(by_repo).alias("n_all"),
@@ -118,9 +129,9 @@ def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
     middle = placed.where(
         (F.col("mid") >= F.col("n_before")) & (F.col("mid") < F.col("n_before") + F.col("n"))
     )
-    in_bucket = Window.partitionBy("repo", "bucket").orderBy("log_seq")
+    in_bucket = Window.partitionBy(*place).orderBy("log_seq", "moment", "severity")
     partly = (
-        rows.join(middle.select("repo", "bucket", "mid", "n_before"), ["repo", "bucket"])
+        rows.join(middle.select(*place, "mid", "n_before"), place)
         .withColumn("_at", F.row_number().over(in_bucket) + F.col("n_before"))
         .groupBy("repo")
         .agg(F.count_if(F.col("severe") & (F.col("_at") <= F.col("mid"))).alias("s_part"))
@@ -139,19 +150,23 @@ def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
     return halves.select("repo", "total", "first_half", "second_half", label.alias("trend"))
 
 
-def _count_map(breakdown: DataFrame, dimension: str, name: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("value", "n")))
-    return (
-        breakdown.where(F.col("dimension") == dimension)
-        .groupBy("repo")
-        .agg(F.map_from_entries(pairs).alias(name))
-    )
+def _count_maps(breakdown: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A map from value to count per repository and wanted dimension, in one aggregate."""
+
+    def of(dimension: str) -> Column:
+        pair = F.when(F.col("dimension") == dimension, F.struct("value", "n"))
+        return F.map_from_entries(F.array_sort(F.collect_list(pair)))
+
+    wanted = breakdown.where(F.col("dimension").isin(*names))
+    return wanted.groupBy("repo").agg(*[of(d).alias(name) for d, name in names.items()])
 
 
 def report(window: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFrame:
     """One report row per repository with entries in the window."""
     counts = entry_counts(window)
-    breakdown = audit_breakdown(counts)
+    maps = _count_maps(
+        audit_breakdown(counts), {"severity": "severity", "action": "actions", "source": "sources"}
+    )
     top = (
         top_rules(counts)
         .groupBy("repo")
@@ -165,11 +180,9 @@ def report(window: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFra
     )
     return (
         bypass_history(counts)
-        .join(trend(window).select("repo", "trend"), "repo")
-        .join(top, "repo")
-        .join(_count_map(breakdown, "severity", "severity"), "repo")
-        .join(_count_map(breakdown, "action", "actions"), "repo")
-        .join(_count_map(breakdown, "source", "sources"), "repo")
+        .join(trend(window).select("repo", "trend"), "repo", "left")
+        .join(top, "repo", "left")
+        .join(maps, "repo", "left")
         .select(
             "repo",
             rfc3339(as_of).alias("generated_at"),

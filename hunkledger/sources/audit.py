@@ -19,8 +19,10 @@ def decode_audit(lines: DataFrame) -> DataFrame:
 
     Blank lines, lines that are not exactly one JSON object (or null), and lines with a
     field of the wrong type are dropped.  Missing and null fields take their zero value.
-    Keys are matched as written, in lower case.
+    Keys are matched as written, in lower case; of a repeated key the last value counts.
+    A line without ``log_seq`` gets NULL; the report orders such lines by time.
     """
+    J.keep_last_key(lines.sparkSession)
     keep = [c for c in lines.columns if c != "value"]
     doc = F.col("_doc")
     parsed = lines.where(F.col("value") != "").select(
@@ -39,7 +41,7 @@ def decode_audit(lines: DataFrame) -> DataFrame:
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit log written by ``write_audit``: ``<path>/repo=<repo>/*`` with ``log_seq`` in
     each line, since a folder of files has no order of its own."""
-    lines = spark.read.schema("value string, repo string").text(path)
+    lines = spark.read.schema("value string, repo string").option("lineSep", "\n").text(path)
     return decode_audit(lines).select(*AUDIT_COLUMNS)
 
 
@@ -50,7 +52,7 @@ def read_plain_audit(spark: SparkSession, path: str) -> DataFrame:
     its file split, then its index in the task reading that split.  That keeps file order
     and needs no shuffle.  Splits must be at least 1 MiB.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_UNIT).cast("bigint")
     lines = files.select(

@@ -14,7 +14,7 @@ WATERMARK = "1 day"
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     """Stream of audit entries with their event time, from a ``write_audit`` folder."""
-    lines = spark.readStream.schema("value string, repo string").format("text").load(path)
+    lines = spark.readStream.schema("value string, repo string").option("lineSep", "\n").format("text").load(path)
     return (
         decode_audit(lines)
         .withColumn("event_time", parse_rfc3339(F.col("timestamp")))

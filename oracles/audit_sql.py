@@ -12,7 +12,8 @@ FIELDS = ("timestamp", "action", "rule_id", "path", "severity", "source", "messa
 
 block("alog", "SELECT " + ", ".join(f'{sql} AS "{name}"' for name, sql in corpus.AUDIT_FIELDS.items())
       + " FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events)")
-block("loglines", f"SELECT repo, {corpus.AUDIT_LINE} AS value FROM alog")
+# DuckDB takes the first of two equal keys, so the one that is replaced is taken out.
+block("loglines", f"SELECT repo, replace({corpus.AUDIT_LINE}, '{corpus.REPEATED_KEY}', '') AS value FROM alog")
 _typed = " AND ".join(f"coalesce(json_type(value, '$.{f}'), 'NULL') IN ('VARCHAR', 'NULL')" for f in FIELDS)
 block("decoded", f"""
 SELECT repo, (value->>'$.log_seq')::BIGINT AS log_seq,
@@ -55,7 +56,7 @@ SELECT *, CASE WHEN total < 2 OR first_half = second_half THEN 'STABLE'
 FROM (SELECT repo, count(*) AS total, count(*) FILTER (rn <= c // 2 AND bad) AS first_half,
         count(*) FILTER (rn > c // 2 AND bad) AS second_half
       FROM (SELECT repo, severity IN ('CRITICAL', 'ERROR') AS bad, count(*) OVER (PARTITION BY repo) AS c,
-                   row_number() OVER (PARTITION BY repo ORDER BY log_seq) AS rn FROM {w}) GROUP BY repo)""")
+                   row_number() OVER (PARTITION BY repo ORDER BY log_seq NULLS LAST, moment, severity) AS rn FROM {w}) GROUP BY repo)""")
     maps = [
         f"(SELECT repo, '{{' || string_agg('\"' || value || '\":' || n, ',' ORDER BY value) || '}}' AS {name} "
         f"FROM {prefix}bd WHERE dimension = '{dim}' GROUP BY repo)"
