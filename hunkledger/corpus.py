@@ -361,6 +361,11 @@ def audit_lines(entries: DataFrame) -> DataFrame:
     return entries.select("repo", F.expr(AUDIT_LINE).alias("value"))
 
 
+def config_errors(scans: DataFrame) -> DataFrame:
+    """Scans whose repository configuration could not be read."""
+    return scans.where("scan_id % 19 = 4").select("scan_id")
+
+
 def bypass_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups as token requests."""
     return read(spark, sf_dir, "events").where("event_type = 'signup'").select(

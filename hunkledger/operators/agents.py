@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import (
@@ -294,11 +294,11 @@ def resolve_chain(attempts: DataFrame, floor: float = CONFIDENCE_FLOOR) -> DataF
 
 def phase2_cutoff(winners: DataFrame) -> DataFrame:
     """Winners before the first exhausted request of their scan."""
-    cut = (
-        winners.where("exhausted").groupBy("scan_id").agg(F.min("file_ord").alias("_cut"))
-    )
+    # A scan is one diff, so its requests fit a window; the answers are decoded once.
+    of_scan = Window.partitionBy("scan_id")
+    cut = F.min(F.when(F.col("exhausted"), F.col("file_ord"))).over(of_scan)
     return (
-        winners.join(cut, "scan_id", "left")
+        winners.withColumn("_cut", cut)
         .where(F.col("_cut").isNull() | (F.col("file_ord") < F.col("_cut")))
         .drop("_cut")
     )

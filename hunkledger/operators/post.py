@@ -33,19 +33,19 @@ def union_findings(phase1: DataFrame, phase2: DataFrame) -> DataFrame:
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
-    """The first finding per rule and content in each scan.
+    """The first finding per ``rule:content`` text in each scan.
 
     An aggregate, not a window: a finding repeated over a third of all rows shrinks to
     one row per task before the shuffle.
     """
-    keys = ["scan_id", "rule_id", "content"]
-    rest = [c for c in findings.columns if c not in keys]
+    rest = [c for c in findings.columns if c != "scan_id"]
+    key = F.concat_ws(":", "rule_id", "content").alias("_key")
     order = [c for c in FINDING_ORDER if c in rest]
     ordered = F.struct(*order, *[c for c in rest if c not in order])
     return (
-        findings.groupBy(*keys)
+        findings.groupBy("scan_id", key)
         .agg(F.min(ordered).alias("_first"))
-        .select(*keys, "_first.*")
+        .select("scan_id", "_first.*")
         .select(*findings.columns)
     )
 

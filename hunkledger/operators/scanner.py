@@ -115,14 +115,22 @@ def scanner_line_map(files: DataFrame) -> DataFrame:
 def scanner_remap(results: DataFrame, scanned: DataFrame) -> DataFrame:
     """Findings at original lines; results for unknown files drop out, lines outside the
     map keep the scanner's own path and line."""
-    joined = (
-        results.withColumn("flat", base_name(F.col("path")))
-        .withColumnRenamed("path", "_given")
-        .join(scanned, ["scan_id", "flat"])
-    )
+    file = ["scan_id", "flat"]
+    named = results.withColumn("flat", base_name(F.col("path"))).withColumnRenamed("path", "_given")
     start = F.col("start_line")
-    inside = (start >= 1) & (start <= F.size("numbers"))
-    index = F.when(inside, start - 1).otherwise(F.lit(0)).cast("int")
+    # Only the lines that results name leave a file's list of numbers.
+    wanted = named.groupBy(*file).agg(F.collect_set("start_line").alias("_wanted"))
+    lines = scanned.join(wanted, file).select(
+        *file, "path", "numbers", F.explode("_wanted").alias("start_line")
+    ).select(
+        *file, "path", "start_line",
+        F.when(
+            (start >= 1) & (start <= F.size("numbers")),
+            F.get("numbers", F.when(start.between(1, F.size("numbers")), start - 1).cast("int")),
+        ).alias("_line"),
+    )
+    joined = named.join(lines, [*file, "start_line"])
+    inside = F.col("_line").isNotNull()
     return as_findings(
         joined,
         phase=F.lit(1),
@@ -130,7 +138,7 @@ def scanner_remap(results: DataFrame, scanned: DataFrame) -> DataFrame:
         line_ord=F.col("result_ord"),
         rule_id=F.col("check_id"),
         path=F.when(inside, F.col("path")).otherwise(F.col("_given")),
-        line=F.when(inside, F.get("numbers", index)).otherwise(start),
+        line=F.coalesce("_line", start),
         column=F.col("start_col"),
         end_column=F.col("end_col"),
         severity=severity_rank(F.col("severity")),

@@ -43,9 +43,9 @@ class ScanOptions:
 
 @dataclass
 class ScanInputs:
-    """Input tables; only the diffs are required."""
+    """Input tables; only the diffs are required, and a stream brings those itself."""
 
-    diffs: DataFrame
+    diffs: DataFrame | None = None
     scanner_reports: DataFrame | None = None
     agent_responses: DataFrame | None = None
     bypassed: DataFrame | None = None
@@ -63,11 +63,12 @@ class ScanResult:
     findings: DataFrame
     counts: DataFrame
     verdicts: DataFrame
-    stage_path: str
+    stage_paths: list[str]
 
     def release(self) -> None:
-        """Delete the staged digest the tables read from."""
-        drop_stage(self.scans.sparkSession, self.stage_path)
+        """Delete the staged tables the results read from."""
+        for path in self.stage_paths:
+            drop_stage(self.scans.sparkSession, path)
 
 
 def file_digest(diffs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -94,17 +95,34 @@ def file_digest(diffs: DataFrame, options: ScanOptions = ScanOptions()) -> DataF
     )
 
 
-def run_scan(inputs: ScanInputs, options: ScanOptions = ScanOptions()) -> ScanResult:
-    """Scan every diff of the input."""
+def run_scan(
+    inputs: ScanInputs, options: ScanOptions = ScanOptions(), keep_findings: bool = True
+) -> ScanResult:
+    """Scan every diff of the input.
+
+    Scans that used a bypass token or whose configuration is broken get their verdict and
+    nothing else: no finding of theirs reaches any result table.  ``keep_findings`` stages the
+    findings, which counts, verdicts and listings read.
+    """
     digest, path = stage(file_digest(inputs.diffs, options), "digest")
+    paths = [path]
     scans = digest.where(F.col("file_ord") == 0).select(
         *[c for c in ("scan_id", "repo", "scan_ts") if c in digest.columns],
         "is_empty", "is_error", "n_files", "n_kept",
     )
+    exempt = [t.select("scan_id") for t in (inputs.bypassed, inputs.config_errors) if t is not None]
+
+    def scanned(table: DataFrame) -> DataFrame:
+        for ids in exempt:
+            table = table.join(ids, "scan_id", "left_anti")
+        return table
+
+    # Anti-joined as small rows: the raw text of an exempt diff is never shuffled.
+    digest = scanned(digest)
 
     phase1 = rule_scan.findings_of_hits(digest, options.line_rules)
     if inputs.scanner_reports is not None:
-        parsed = scanner.scanner_report(inputs.scanner_reports)
+        parsed = scanner.scanner_report(scanned(inputs.scanner_reports))
         remapped = scanner.scanner_remap(
             scanner.report_results(parsed), scanner.scanned_files(digest)
         )
@@ -124,7 +142,7 @@ def run_scan(inputs: ScanInputs, options: ScanOptions = ScanOptions()) -> ScanRe
     )
     if inputs.agent_responses is not None:
         winners = agents.resolve_chain(
-            agents.attempts(agents.parse_responses(inputs.agent_responses), builtin)
+            agents.attempts(agents.parse_responses(scanned(inputs.agent_responses)), builtin)
         )
         phase2 = agents.agent_findings(agents.phase2_cutoff(winners))
     else:
@@ -139,6 +157,9 @@ def run_scan(inputs: ScanInputs, options: ScanOptions = ScanOptions()) -> ScanRe
     if inputs.ignores is not None:
         found = post.ignore_rules(found, inputs.ignores)
     findings = post.dedup_findings(found)
+    if keep_findings:
+        findings, path = stage(findings, "findings")
+        paths.append(path)
     counts = post.severity_counts(findings)
     verdicts = post.scan_verdict(scans, counts, inputs.bypassed, inputs.config_errors)
-    return ScanResult(scans, phase1, phase2, findings, counts, verdicts, path)
+    return ScanResult(scans, phase1, phase2, findings, counts, verdicts, paths)

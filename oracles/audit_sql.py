@@ -142,20 +142,5 @@ UNION ALL
 SELECT 'monthly', strftime(e - INTERVAL 30 DAY, '{_t}'), strftime(e, '{_t}'), repo, severity, sum(n)::BIGINT
 FROM (SELECT repo, severity, n, unnest(generate_series(d + INTERVAL 1 DAY, d + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS e FROM sdays), smark
 WHERE e <= wm GROUP BY ALL""",
-    "scan_stream": """
-SELECT scan_id, status, CASE WHEN status IN ('error', 'blocked') THEN 1 ELSE 0 END AS exit_code,
-  CASE WHEN status IN ('clean', 'blocked', 'passed_with_findings') THEN nf ELSE 0 END AS n_findings,
-  CASE WHEN status IN ('clean', 'blocked', 'passed_with_findings') THEN nb ELSE 0 END AS n_blocking
-FROM (SELECT d.scan_id, coalesce(nf, 0) AS nf, coalesce(nb, 0) AS nb,
-  CASE WHEN d.scan_id IN (SELECT scan_id FROM bad_headers) THEN 'error'
-       WHEN d.scan_id NOT IN (SELECT scan_id FROM file_paths) THEN 'empty'
-       WHEN d.scan_id NOT IN (SELECT scan_id FROM kept_files) THEN 'all_filtered'
-       WHEN coalesce(nf, 0) = 0 THEN 'clean' WHEN nb > 0 THEN 'blocked' ELSE 'passed_with_findings' END AS status
-  FROM diffs d LEFT JOIN plainf USING (scan_id))""",
+    "scan_stream": "SELECT * FROM verdicts",
 }
-block("plainf", f"""
-SELECT scan_id, count(*) AS nf, count(*) FILTER (severity >= 2) AS nb FROM (
-  SELECT scan_id, severity, row_number() OVER (PARTITION BY scan_id, rule_id || ':' || content ORDER BY phase, file_ord, hunk_ord, line_ord, rule_ord) AS rn
-  FROM (SELECT scan_id, phase, file_ord, hunk_ord, line_ord, rule_ord, rule_id, path, line, severity, content FROM rule_hits
-        UNION ALL SELECT scan_id, 2, file_ord, 0, n, 0, cls, file_path, n, {sev_rank('sev')}, snippet FROM ahits)
-  WHERE (scan_id, path, line) NOT IN (SELECT (scan_id, path, line) FROM suppressed)) WHERE rn = 1 GROUP BY scan_id""")

@@ -12,7 +12,7 @@ from hunkledger import corpus
 from hunkledger.operators import diffs as D
 from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
 from hunkledger.plans.report import periodic_report
-from hunkledger.plans.scan import ScanInputs, run_scan
+from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
 from hunkledger.session import work_path
 from hunkledger.sources.audit import read_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
@@ -253,18 +253,36 @@ def scanner_remap(spark, sf_dir):
     ).select(*SHORT, "column", "end_line", "end_column")
 
 
-def scan_result(spark, sf_dir):
-    """The whole pipeline over documents, with scanner reports, responses and bypasses."""
-    return run_scan(
-        ScanInputs(
-            diffs=diffs_of(spark, sf_dir),
-            scanner_reports=reports_of(spark, sf_dir),
-            agent_responses=responses_of(spark, sf_dir),
-            bypassed=scan_bypasses(spark, sf_dir),
-        )
+_RESULTS: dict[tuple[str, str], ScanResult] = {}
+
+
+def scan_inputs(spark, sf_dir):
+    """Everything a scan can take but ignores, which derive from its findings."""
+    diffs = diffs_of(spark, sf_dir)
+    return ScanInputs(
+        diffs=diffs,
+        scanner_reports=reports_of(spark, sf_dir),
+        agent_responses=responses_of(spark, sf_dir),
+        bypassed=derived(spark, sf_dir, "bypassed", scan_bypasses),
+        config_errors=corpus.config_errors(diffs),
     )
 
 
+def scan_result(spark, sf_dir):
+    """The whole pipeline over documents; one digest and one table of findings a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RESULTS:
+        _RESULTS[key] = run_scan(scan_inputs(spark, sf_dir))
+    return _RESULTS[key]
+
+
+def forget_results() -> None:
+    """Delete what ``scan_result`` staged, so that the next query scans again."""
+    for result in _RESULTS.values():
+        result.release()
+    _RESULTS.clear()
+
+
 def scan_bypasses(spark, sf_dir):
     """Scans of the documents corpus that consume a bypass token."""
     scans = diffs_of(spark, sf_dir).select("scan_id", "repo", "scan_ts")
@@ -510,7 +528,8 @@ def _(spark, sf_dir):
     diffs_of(spark, sf_dir)
     source = _WRITTEN[(spark.sparkContext.applicationId, sf_dir, "diffs")]
     out = work_path(spark, "scan_stream")
-    scan_stream(spark, source, out, work_path(spark, "scan_ckpt")).awaitTermination()
+    others = scan_inputs(spark, sf_dir)
+    scan_stream(spark, source, out, work_path(spark, "scan_ckpt"), others=others).awaitTermination()
     return spark.read.parquet(f"{out}/verdicts").drop("batch_id")
 
 
