@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import add_rank
 from ..functions.text import severity_name
-from ..session import cut_lineage
+from ..session import stage
 from .diffs import file_sections, hunk_rows, lines_of_hunks
 
 ID = ("scan_id", "finding_ord")
@@ -118,47 +118,69 @@ def _footprint(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reads.distinct(), writes.distinct()
 
 
-def _first_writer(writes: DataFrame, name: str) -> DataFrame:
-    return writes.groupBy(*_FILE, "point").agg(F.min("finding_ord").alias(name))
-
-
-def _meets_earlier(reads: DataFrame, writes: DataFrame) -> DataFrame:
-    """Ids of patches that read a point an earlier patch of ``writes`` writes."""
-    first = _first_writer(writes, "_first")
-    return (
-        reads.join(first, [*_FILE, "point"])
+def _contested(points: DataFrame) -> DataFrame:
+    """Points that a patch reads and an earlier patch writes, with all who touch them."""
+    place = [*_FILE, "point"]
+    first = points.where("writes").groupBy(*place).agg(F.min("finding_ord").alias("_first"))
+    met = (
+        points.where("reads").join(first, place)
         .where(F.col("_first") < F.col("finding_ord"))
-        .select(*ID)
-        .distinct()
+        .select(*place).distinct()
     )
+    return points.join(met, place, "left_semi")
 
 
 def apply_order(accepted: DataFrame) -> DataFrame:
     """Outcome of applying patches one after the other: scan_id, finding_ord, applied.
 
     A patch fails when an earlier applied patch changed what it reads.  Patches meet
-    through the points they touch, never pairwise.  Those that meet no earlier patch
-    apply at once; the rest are settled in rounds, each deciding every patch whose
-    earlier neighbours are all decided.
+    through the points they touch, never pairwise, and only contested points matter.  Whether
+    a patch goes in depends on all that went in before it, so the patches of one file (of
+    one scan, where a patch spans files) are folded in order, one short row each; a chain of any
+    length takes one pass.
     """
-    ids = list(ID)
     reads, writes = _footprint(_edits(_hunks(accepted)))
-    reads, writes = cut_lineage(reads), cut_lineage(writes)
-    pending = cut_lineage(_meets_earlier(reads, writes))
-    applied = accepted.select(*ID).join(pending, ids, "left_anti")
-    failed = pending.limit(0)
-    while not pending.isEmpty():
-        pending_reads = reads.join(pending, ids, "left_semi")
-        lost = _meets_earlier(pending_reads, writes.join(applied, ids, "left_semi"))
-        waiting = _meets_earlier(pending_reads, writes.join(pending, ids, "left_semi"))
-        ready = pending.join(lost, ids, "left_anti").join(waiting, ids, "left_anti")
-        applied = cut_lineage(applied.unionByName(ready))
-        failed = cut_lineage(failed.unionByName(lost))
-        pending = cut_lineage(
-            pending.join(applied, ids, "left_anti").join(failed, ids, "left_anti")
+    yes, no = F.lit(True), F.lit(False)
+    touched = reads.withColumn("reads", yes).withColumn("writes", no).unionByName(
+        writes.withColumn("reads", no).withColumn("writes", yes)
+    )
+    points, _ = stage(
+        touched.groupBy(*ID, "path", "point").agg(
+            F.bool_or("reads").alias("reads"), F.bool_or("writes").alias("writes")
+        ),
+        "patch-points",
+    )
+    name = F.concat_ws(":", "path", "point.kind", F.col("point.at").cast("string"))
+    moves = _contested(points).groupBy(*ID).agg(
+        F.collect_list(F.when(F.col("reads"), name)).alias("reads"),
+        F.collect_list(F.when(F.col("writes"), name)).alias("writes"),
+        F.min("path").alias("path"), F.max("path").alias("_last"),
+    )
+    spans = F.max(F.when(F.col("path") != F.col("_last"), 1).otherwise(0))
+    whole = spans.over(Window.partitionBy("scan_id")) == 1
+    moves = moves.withColumn("part", F.when(whole, F.lit("")).otherwise(F.col("path")))
+    ordered = moves.groupBy("scan_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("finding_ord", "reads", "writes"))).alias("moves")
+    )
+
+    def step(state: Column, move: Column) -> Column:
+        lost = F.arrays_overlap(state["written"], move["reads"])
+        return F.struct(
+            F.when(lost, state["written"])
+            .otherwise(F.concat(state["written"], move["writes"])).alias("written"),
+            F.when(lost, F.array_append(state["lost"], move["finding_ord"]))
+            .otherwise(state["lost"]).alias("lost"),
         )
-    return applied.withColumn("applied", F.lit(True)).unionByName(
-        failed.withColumn("applied", F.lit(False))
+
+    none = F.struct(
+        F.array().cast("array<string>").alias("written"),
+        F.array().cast("array<bigint>").alias("lost"),
+    )
+    failed = ordered.select(
+        "scan_id", F.explode(F.aggregate("moves", none, step, lambda s: s["lost"])).alias("finding_ord")
+    ).withColumn("_failed", F.lit(True))
+    return accepted.select(*ID).join(failed, list(ID), "left").select(
+        *ID, F.col("_failed").isNull().alias("applied")
     )
 
 

@@ -220,3 +220,37 @@ def test_scan_stream_is_incremental(spark):
 
     assert put(1, 2) == [(1, "blocked"), (2, "blocked")]
     assert put(3) == [(1, "blocked"), (2, "blocked"), (3, "blocked")]
+
+
+def test_a_long_chain_of_patches(spark):
+    """Each patch reads the line the one before it changes, so every second one goes in."""
+    n = 1000
+    files = [(1, "a", "\n".join(f"l{i}" for i in range(1, n + 3)) + "\n", False, 1)]
+    repo = spark.createDataFrame(files, "scan_id bigint, path string, content string, is_dir boolean, size bigint")
+    rows = [(1, i, make_patch("a", i, [f"l{i}", f"l{i + 1}"], ["x"], 1)) for i in range(1, n + 1)]
+    # a patch that reads line i as context and replaces line i + 1
+    patch = spark.createDataFrame(rows, "scan_id bigint, finding_ord bigint, patch string")
+    got = {r.finding_ord: r.applied for r in patches.apply_order(patch).collect()}
+    written, want = set(), {}
+    for i in range(1, n + 1):
+        want[i] = i not in written and i + 1 not in written
+        if want[i]:
+            written.add(i + 1)
+    assert got == want and 0 < sum(want.values()) < n
+    assert repo.count() == 1
+
+
+def test_dedup_key_is_the_joined_text(spark):
+    rows = [(1, 1, 1, 0, 0, 0, "a:b", "c"), (1, 1, 2, 0, 0, 0, "a", "b:c"), (2, 1, 1, 0, 0, 0, "a", "b:c")]
+    found = spark.createDataFrame(
+        rows, "scan_id bigint, phase int, file_ord int, hunk_ord int, line_ord int, rule_ord int, rule_id string, content string"
+    )
+    assert sorted((r.scan_id, r.rule_id) for r in post.dedup_findings(found).collect()) == [(1, "a:b"), (2, "a")]
+
+
+def test_trend_keeps_unnumbered_repositories(spark):
+    rows = [("r", None, f"2024-01-0{d}T00:00:0{s}Z", sev) for d, s, sev in ((3, 1, "INFO"), (1, 0, "ERROR"), (2, 0, "ERROR"), (3, 2, "CRITICAL"))]
+    rows += [("m", 5, "2024-01-01T00:00:00Z", "ERROR"), ("m", None, "2023-01-01T00:00:00Z", "INFO"), ("m", 4, "2024-01-05T00:00:00Z", "INFO")]
+    window = spark.createDataFrame(rows, "repo string, log_seq bigint, timestamp string, severity string")
+    got = {r.repo: (r.total, r.first_half, r.second_half) for r in report.trend(window).collect()}
+    assert got == {"r": (4, 2, 1), "m": (3, 0, 1)}
