@@ -122,12 +122,6 @@ def add_wrapping(start: Column, k: Column) -> Column:
     )
 
 
-def rfc3339(ts: Column) -> Column:
-    """RFC 3339 text in UTC, whatever the session's time zone."""
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def folder_of(location: Column) -> Column:
     """Name of the folder that holds a file, from the URI form of the file's path."""
     decoded = F.url_decode(F.replace(location, F.lit("+"), F.lit("%2B")))

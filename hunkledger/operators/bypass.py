@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rfc3339
+from ..functions.times import rfc3339
 
 BUCKET_SECONDS = 60
 

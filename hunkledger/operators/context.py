@@ -109,14 +109,17 @@ def sibling_candidates(files: DataFrame, repo_files: DataFrame) -> DataFrame:
     )
 
 
-def usable(repo_files: DataFrame) -> DataFrame:
-    """Files small enough to show; folders and large files are refused."""
-    return repo_files.where(~F.col("is_dir") & (F.col("size") <= MAX_CONTEXT_BYTES))
+def usable(repo_files: DataFrame, max_bytes: int | None = MAX_CONTEXT_BYTES) -> DataFrame:
+    """Files small enough to show; folders and larger files are refused.  ``None``: any size."""
+    files = repo_files.where(~F.col("is_dir"))
+    return files if max_bytes is None else files.where(F.col("size") <= max_bytes)
 
 
-def signature_text(content: Column, ext: Column) -> Column:
-    """Declaration lines with the two lines after each and a blank one, at most 50 lines;
-    the first 50 lines of the file where it has no declaration."""
+def signature_text(
+    content: Column, ext: Column, max_lines: int | None = MAX_CONTEXT_LINES
+) -> Column:
+    """Declaration lines with the two lines after each and a blank one, at most ``max_lines``
+    lines (``None``: all); the first lines of the file where it has no declaration."""
     marks = F.coalesce(_marks_of(ext, DECLARATION_MARKS), F.array().cast("array<string>"))
 
     def declares(line: Column, marks: Column) -> Column:
@@ -137,7 +140,7 @@ def signature_text(content: Column, ext: Column) -> Column:
             at, lambda i: F.concat(F.slice(lines, i + 1, F.lit(3)), F.array(F.lit("")))
         )
         chosen = F.when(F.size(at) > 0, F.flatten(blocks)).otherwise(lines)
-        return F.array_join(F.slice(chosen, 1, MAX_CONTEXT_LINES), "\n")
+        return F.array_join(chosen if max_lines is None else F.slice(chosen, 1, max_lines), "\n")
 
     return let(
         F.split(content, "\n"),
@@ -147,18 +150,26 @@ def signature_text(content: Column, ext: Column) -> Column:
     )
 
 
-def signatures(repo_files: DataFrame) -> DataFrame:
+def signatures(
+    repo_files: DataFrame,
+    max_bytes: int | None = MAX_CONTEXT_BYTES,
+    max_lines: int | None = MAX_CONTEXT_LINES,
+) -> DataFrame:
     """Signature text of every usable file, by its own extension."""
-    return usable(repo_files).select(
-        "scan_id", "path",
-        signature_text(F.col("content"), path_ext(F.col("path"))).alias("content"),
-    )
+    text = signature_text(F.col("content"), path_ext(F.col("path")), max_lines)
+    return usable(repo_files, max_bytes).select("scan_id", "path", text.alias("content"))
 
 
 def related_files(
-    imports: DataFrame, siblings: DataFrame, changed: DataFrame, repo_files: DataFrame
+    imports: DataFrame,
+    siblings: DataFrame,
+    changed: DataFrame,
+    repo_files: DataFrame,
+    max_files: int | None = MAX_CONTEXT_FILES,
+    max_bytes: int | None = MAX_CONTEXT_BYTES,
+    max_lines: int | None = MAX_CONTEXT_LINES,
 ) -> DataFrame:
-    """At most three related files per scan, in the order they are found.
+    """At most ``max_files`` related files per scan (``None``: all), in the order they are found.
 
     Contents join in last, for the chosen files only; large files never enter a shuffle.
     """
@@ -188,14 +199,16 @@ def related_files(
     )
     keys = ["scan_id", "path"]
     fresh = found.join(changed.select(*keys), keys, "left_anti").join(
-        usable(repo_files).select(*keys), keys, "left_semi"
+        usable(repo_files, max_bytes).select(*keys), keys, "left_semi"
     )
     first = fresh.groupBy(*keys).agg(F.min(F.struct("order", "reason", "ext")).alias("first"))
     ranked = first.select(*keys, "first.*").withColumn(
         "slot", F.row_number().over(Window.partitionBy("scan_id").orderBy("order"))
     )
-    chosen = ranked.where(F.col("slot") <= MAX_CONTEXT_FILES).drop("order")
-    return chosen.join(usable(repo_files).select(*keys, "content"), keys).select(
+    chosen = ranked.drop("order")
+    if max_files is not None:
+        chosen = chosen.where(F.col("slot") <= max_files)
+    return chosen.join(usable(repo_files, max_bytes).select(*keys, "content"), keys).select(
         "scan_id", "slot", "path", "reason",
-        signature_text(F.col("content"), F.col("ext")).alias("content"),
+        signature_text(F.col("content"), F.col("ext"), max_lines).alias("content"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import add_rank
 from ..functions.text import severity_name
+from ..functions.times import rfc3339
 from ..session import stage
 from .diffs import file_sections, hunk_rows, lines_of_hunks
 
@@ -268,6 +269,16 @@ def review_outcomes(findings: DataFrame, patches: DataFrame, outcomes: DataFrame
     )
 
 
+def review_audit(outcomes: DataFrame, scans: DataFrame) -> DataFrame:
+    """Review outcomes as rows of the audit log: with the repository and time of their scan.
+    ``scans``: scan_id, repo, scan_ts."""
+    placed = outcomes.join(scans.select("scan_id", "repo", "scan_ts"), "scan_id")
+    return placed.select(
+        "repo", rfc3339(F.col("scan_ts")).alias("timestamp"), "action", "rule_id", "path", "line",
+        "severity", "source", "message",
+    )
+
+
 def review_summary(outcomes: DataFrame) -> DataFrame:
     """Totals of each review: chosen, applied and skipped findings."""
     action = F.col("action")

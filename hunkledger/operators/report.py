@@ -6,35 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import BAR_WIDTH, REPORT_DAYS, TOP_RULES
-from ..functions.text import rfc3339
+from ..functions.times import parse_rfc3339, rfc3339
 
-_RFC3339 = (
-    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?"
-    r"(?:Z|[+-](?:[01][0-9]|2[0-4]):(?:[0-5][0-9]|60))\z"
-)
 DIMENSIONS = ("severity", "action", "rule_id", "source")
 TREND_BUCKET = 1 << 20
 
 
-def parse_rfc3339(text: Column) -> Column:
-    """Timestamp of a strict RFC 3339 text, NULL for anything else.
-
-    The offset is subtracted by hand: Spark's cast accepts far looser texts and fewer
-    offsets.
-    """
-
-    zulu = F.endswith(text, F.lit("Z"))
-    local = F.left(text, F.length(text) - F.when(zulu, 1).otherwise(6))
-    moment = F.concat(F.replace(local, F.lit(","), F.lit(".")), F.lit("Z")).try_cast("timestamp")
-    sign = F.when(F.substring(text, -6, 1) == "-", 1).otherwise(-1)
-    hours = F.substring(text, -5, 2).try_cast("int")
-    minutes = F.substring(text, -2, 2).try_cast("int")
-    shift = F.make_dt_interval(secs=sign * (hours * 3600 + minutes * 60))
-    return F.when(
-        F.rlike(text, F.lit(_RFC3339)), F.when(zulu, moment).otherwise(moment + shift)
-    )
-
-
 def audit_window(audit: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFrame:
     """Entries with a valid time strictly after ``as_of`` minus ``days`` calendar days."""
     cutoff = as_of - F.make_interval(days=F.lit(days))

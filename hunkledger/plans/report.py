@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,12 @@ def build_report(audit: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return report(audit_window(audit, moment_of(as_of), days), moment_of(as_of), days)
 
 
+def moment_utc(as_of: datetime) -> datetime:
+    return (as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
+
+
 def moment_of(as_of: datetime) -> Column:
-    stamp = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
-    return F.timestamp_seconds(F.lit(int(stamp.timestamp())))
+    return F.timestamp_seconds(F.lit(int(moment_utc(as_of).timestamp())))
 
 
 def periodic_report(
@@ -37,7 +40,9 @@ def periodic_report(
     target = f"{out_path.rstrip('/')}/as_of={as_of:%Y-%m-%d}"
     # The breakdowns and the trend both read the entries: decode the JSON once, and keep
     # only what the report covers.
-    entries = (read_plain_audit if plain else read_audit)(spark, audit_path).select(
+    first_day = (moment_utc(as_of) - timedelta(days=days)).date()
+    log = read_plain_audit(spark, audit_path) if plain else read_audit(spark, audit_path, first_day)
+    entries = log.select(
         "repo", "log_seq", "timestamp", "severity", "action", "rule_id", "source"
     )
     staged, path = stage(audit_window(entries, moment_of(as_of), days), "report-entries")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json as J
 from ..functions.arrays import held
 from ..functions.text import folder_of
+from ..functions.times import parse_rfc3339, rfc3339
 from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS
 
 _INDEX_BITS = 33
@@ -38,10 +41,27 @@ def decode_audit(lines: DataFrame) -> DataFrame:
     return parsed.where(ok).select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit log written by ``write_audit``: ``<path>/repo=<repo>/*`` with ``log_seq`` in
-    each line, since a folder of files has no order of its own."""
-    lines = spark.read.schema("value string, repo string").option("lineSep", "\n").text(path)
+UNDATED = "undated"
+
+
+def log_lines(spark: SparkSession, path: str, reader=None) -> DataFrame:
+    """Text lines of a ``write_audit`` folder with the columns of its partitions: ``repo``,
+    and ``log_date`` where the log is divided by day too."""
+    parts = [c for c in spark.read.text(path).columns if c != "value"]
+    schema = ", ".join(f"`{c}` string" for c in ["value", *parts])
+    return (reader or spark.read).schema(schema).option("lineSep", "\n").format("text").load(path)
+
+
+def read_audit(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:
+    """Audit log written by ``write_audit``, with ``log_seq`` in each line, since a folder of
+    files has no order of its own.
+
+    With ``since``, only the days from then on are read, where the log is divided by day;
+    entries without a valid time have no day and are left out.
+    """
+    lines = log_lines(spark, path)
+    if since is not None and "log_date" in lines.columns:
+        lines = lines.where((F.col("log_date") >= since.isoformat()) & (F.col("log_date") != UNDATED))
     return decode_audit(lines).select(*AUDIT_COLUMNS)
 
 
@@ -63,19 +83,29 @@ def read_plain_audit(spark: SparkSession, path: str) -> DataFrame:
     return decode_audit(lines).select(*AUDIT_COLUMNS)
 
 
-def audit_line(now: Column) -> Column:
-    """JSON text of an entry: a missing time becomes ``now``; empty reason and patch hash
-    are left out."""
+def with_audit_columns(entries: DataFrame, now: Column) -> DataFrame:
+    """Entries with every column of the log: what is missing or NULL takes its zero value, a
+    missing time becomes ``now``, and an entry may have no log number."""
+    have = set(entries.columns)
 
     def zero(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("")).alias(name)
+        return F.coalesce(F.col(name), F.lit("")) if name in have else F.lit("")
+
+    stamp = F.when(zero("timestamp") == "", now).otherwise(zero("timestamp"))
+    line = F.coalesce("line", F.lit(0)) if "line" in have else F.lit(0)
+    number = F.col("log_seq") if "log_seq" in have else F.lit(None)
+    texts = {name: zero(name) for name in AUDIT_TEXT_FIELDS} | {"timestamp": stamp}
+    columns = texts | {"repo": F.col("repo"), "line": line.cast("bigint"), "log_seq": number.cast("bigint")}
+    return entries.select(*[columns[name].alias(name) for name in AUDIT_COLUMNS])
+
 
-    stamp = F.when(F.coalesce("timestamp", F.lit("")) == "", now).otherwise(F.col("timestamp"))
+def audit_line() -> Column:
+    """JSON text of a complete entry; empty reason and patch hash and a missing log number are
+    left out."""
+    plain = ("timestamp", "action", "rule_id", "path", "line", "severity", "source", "message")
     return F.to_json(
         F.struct(
-            stamp.alias("timestamp"), zero("action"), zero("rule_id"), zero("path"),
-            F.coalesce("line", F.lit(0)).alias("line"), zero("severity"), zero("source"),
-            zero("message"), F.nullif("reason", F.lit("")).alias("reason"),
+            *plain, F.nullif("reason", F.lit("")).alias("reason"),
             F.nullif("patch_hash", F.lit("")).alias("patch_hash"), F.col("log_seq"),
         ),
         {"ignoreNullFields": "true"},
@@ -83,7 +113,15 @@ def audit_line(now: Column) -> Column:
 
 
 def write_audit(entries: DataFrame, path: str, now: Column) -> None:
-    """Append entries, one folder per repository.  ``now`` is an RFC 3339 text column."""
-    entries.select("repo", audit_line(now).alias("value")).write.mode("append").partitionBy(
-        "repo"
-    ).text(path)
+    """Append entries, one folder per day and repository.  ``now`` is an RFC 3339 text column.
+
+    Only ``repo`` must be there; the rows of ``bypass_audit``, ``unscanned_commits`` and
+    ``review_audit`` can be appended as they are.  Rows are gathered by folder first, and
+    a folder with very many rows is cut again, so files are neither tiny nor endless.
+    """
+    day = F.coalesce(F.left(rfc3339(parse_rfc3339(F.col("timestamp"))), F.lit(10)), F.lit(UNDATED))
+    lines = with_audit_columns(entries, now).select(
+        day.alias("log_date"), "repo", audit_line().alias("value")
+    )
+    gathered = lines.hint("rebalance", "log_date", "repo")
+    gathered.write.mode("append").partitionBy("log_date", "repo").text(path)

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.report import parse_rfc3339
-from ..sources.audit import decode_audit
+from ..functions.times import parse_rfc3339
+from ..sources.audit import decode_audit, log_lines
 
 WATERMARK = "1 day"
 
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     """Stream of audit entries with their event time, from a ``write_audit`` folder."""
-    lines = spark.readStream.schema("value string, repo string").option("lineSep", "\n").format("text").load(path)
+    lines = log_lines(spark, path, spark.readStream)
     return (
         decode_audit(lines)
         .withColumn("event_time", parse_rfc3339(F.col("timestamp")))

@@ -294,11 +294,11 @@ SELECT * FROM finalf WHERE NOT CASE length(rule_id) % 4
   WHEN 0 THEN regexp_matches(path, '^src/src0/.*$') WHEN 1 THEN regexp_matches(path, '^src/[^/]*/d[^/]\\.py$')
   WHEN 2 THEN regexp_matches(path, '^.*\\.go$') ELSE regexp_matches(path, '^none/[^/]*$') END""",
     "findings_sink": """
-SELECT '{"scan_id":' || scan_id || ',"rule_id":"' || rule_id || '","path":"' || path || '","line":' || line
+SELECT d.repo, '{"scan_id":' || h.scan_id || ',"rule_id":"' || rule_id || '","path":"' || path || '","line":' || line
   || ',"column":0,"end_line":0,"end_column":0,"message":' || to_json(message)::VARCHAR || ',"severity":' || severity
   || ',"content":' || to_json(content)::VARCHAR || ',"source":"fallback","confidence":0.0,"patch":"","llm_id":"",'
   || '"vuln_class":"","cwe":"","auto_fixable":false,"fixed_line":"","fix_explain":"","latency_ms":0}' AS json
-FROM rule_hits""",
+FROM rule_hits h JOIN diffs d ON d.scan_id = h.scan_id""",
     "rule_catalogue": f"""
 SELECT r.*, coalesce(n, 0) AS n_findings
 FROM (VALUES {_rule_values}) r(version, rule_set, rule_ord, rule_id, pattern, message, severity, file_exts, cwe, confidence_pct)

@@ -104,9 +104,24 @@ _json = (
     "|| CASE WHEN patch_hash <> '' THEN ',\"patch_hash\":\"' || patch_hash || '\"' ELSE '' END || ',\"log_seq\":' || log_seq || '}'"
 )
 
+_bypass_rows = f"""
+SELECT repo, strftime(scan_ts, '{_z}') AS "timestamp", 'bypass' AS action, 'bypass-' || token_id AS rule_id, '' AS path, 0 AS line,
+  'INFO' AS severity, '' AS source, reason AS message, '' AS reason, '' AS patch_hash FROM bmatch"""
+_commit_rows = f"""
+SELECT repo, strftime(ts, '{_z}') AS "timestamp", 'no-verify' AS action, 'hook-bypass' AS rule_id, '' AS path, 0 AS line,
+  'WARNING' AS severity, 'post-commit-hook' AS source,
+  'commit ' || c || ' by user-' || user_id || ' skipped pre-commit hook (--no-verify)' AS message, '' AS reason, '' AS patch_hash
+FROM (SELECT *, 'repo-' || (user_id % 20) AS repo, left(md5('c' || event_id), 7) AS c FROM events) e
+WHERE NOT EXISTS (SELECT 1 FROM escans s WHERE s.repo = e.repo AND s."commit" = e.c)"""
+_review_rows = f"""
+SELECT d.repo, strftime(d.scan_ts, '{_z}') AS "timestamp", action, rule_id, path, line, severity, source, message,
+  '' AS reason, '' AS patch_hash FROM reviewed r JOIN diffs d ON d.scan_id = r.scan_id"""
+
 QUERIES = {
     "read_audit": "SELECT * FROM decoded",
-    "write_audit": f"SELECT repo, {_json} AS json FROM alog",
+    "write_audit": f"""
+SELECT repo, coalesce(strftime({at('stamped')}, '%Y-%m-%d'), 'undated') AS log_date, {_json} AS json
+FROM (SELECT *, CASE WHEN "timestamp" = '' THEN '2024-02-01T00:00:00Z' ELSE "timestamp" END AS stamped FROM alog)""",
     "audit_window": """SELECT repo, log_seq, "timestamp", strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS moment FROM r20win""",
     "audit_breakdown": "SELECT * FROM r20bd",
     "top_rules": "SELECT * FROM r20top",
@@ -126,15 +141,11 @@ FROM (SELECT b.repo, b.value, b.n, """ + sev_rank("b.value") + """ AS rank, grea
 SELECT repo, id, reason, strftime(created_at, '{_t}') AS created_at, strftime(expires_at, '{_t}') AS expires_at FROM btok""",
     "bypass_match": f"""
 SELECT scan_id, repo, token_id, reason, strftime(scan_ts, '{_t}') AS scan_ts, strftime(created_at, '{_t}') AS created_at FROM bmatch""",
-    "bypass_audit": f"""
-SELECT repo, strftime(scan_ts, '{_z}') AS "timestamp", 'bypass' AS action, 'bypass-' || token_id AS rule_id, '' AS path, 0 AS line,
-  'INFO' AS severity, '' AS source, reason AS message, '' AS reason, '' AS patch_hash FROM bmatch""",
-    "unscanned_commits": f"""
-SELECT repo, strftime(ts, '{_z}') AS "timestamp", 'no-verify' AS action, 'hook-bypass' AS rule_id, '' AS path, 0 AS line,
-  'WARNING' AS severity, 'post-commit-hook' AS source,
-  'commit ' || c || ' by user-' || user_id || ' skipped pre-commit hook (--no-verify)' AS message, '' AS reason, '' AS patch_hash
-FROM (SELECT *, 'repo-' || (user_id % 20) AS repo, left(md5('c' || event_id), 7) AS c FROM events) e
-WHERE NOT EXISTS (SELECT 1 FROM escans s WHERE s.repo = e.repo AND s."commit" = e.c)""",
+    "bypass_audit": _bypass_rows,
+    "unscanned_commits": _commit_rows,
+    "audit_append": f"""
+SELECT repo, CAST(NULL AS BIGINT) AS log_seq, "timestamp", action, rule_id, path, line, severity, source, message, reason, patch_hash
+FROM ({_bypass_rows} UNION ALL {_commit_rows} UNION ALL {_review_rows})""",
     "audit_stream": f"""
 SELECT 'daily' AS kind, strftime(d, '{_t}') AS start, strftime(d + INTERVAL 1 DAY, '{_t}') AS "end", repo, severity, n
 FROM sdays, smark WHERE d + INTERVAL 1 DAY <= wm

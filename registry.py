@@ -14,7 +14,7 @@ from hunkledger.operators import agents, bypass, context, filters, patches, post
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
 from hunkledger.session import work_path
-from hunkledger.sources.audit import read_audit, write_audit
+from hunkledger.sources.audit import log_lines, read_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
 from hunkledger.sources.rules import rule_catalogue as catalogue_table
@@ -355,8 +355,9 @@ def rule_catalogue(spark, sf_dir):
 def findings_sink(spark, sf_dir):
     """Findings written as JSON rows and read back as text."""
     path = work_path(spark, "findings")
-    write_findings(rule_scan.rule_scan(kept_files(spark, sf_dir)), path)
-    return spark.read.text(path).select(F.col("value").alias("json"))
+    write_findings(rule_scan.rule_scan(kept_files(spark, sf_dir)), diffs_of(spark, sf_dir), path)
+    written = spark.read.schema("value string, repo string").text(path)
+    return written.select("repo", F.col("value").alias("json"))
 
 
 # --- Audit log and report -----------------------------------------------------------
@@ -413,9 +414,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = work_path(spark, "written_audit")
     write_audit(audit_of(spark, sf_dir), path, F.lit("2024-02-01T00:00:00Z"))
-    return spark.read.schema("value string, repo string").text(path).select(
-        "repo", F.col("value").alias("json")
-    )
+    return log_lines(spark, path).select("repo", "log_date", F.col("value").alias("json"))
+
+
+@named("audit_append")
+def _(spark, sf_dir):
+    """Bypasses, unscanned commits and review outcomes, appended to a log and read back."""
+    path = work_path(spark, "appended_audit")
+    commits = corpus.commits(spark, sf_dir)
+    for rows in (
+        bypass.bypass_audit(matches_of(spark, sf_dir)),
+        bypass.unscanned_commits(commits, corpus.event_scans(spark, sf_dir)),
+        patches.review_audit(outcomes_of(spark, sf_dir), diffs_of(spark, sf_dir)),
+    ):
+        write_audit(rows, path, F.lit("2024-02-01T00:00:00Z"))
+    return read_audit(spark, path)
 
 
 @query
