@@ -37,7 +37,7 @@ THRESHOLD = 50
 GRAM = 16
 #: Bytes of text a batch and a digit group should hold.
 BATCH_BYTES = 2_000_000
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 8_000_000
 #: Bytes whose anchors are found together; windows that reach over the edge belong to the first piece.
 PIECE = 8_000_000
 
@@ -175,7 +175,7 @@ def repeated(pieces_: np.ndarray, before: np.ndarray, windows: np.ndarray, docs:
     starts = np.concatenate(([0], np.cumsum(count)))
     lowest = np.repeat(least, count)
     order = np.flatnonzero(several)[np.argsort(anchor_group[several], kind="stable")]
-    for chunk in at_borders(anchor_group[order], 50_000):
+    for chunk in at_borders(anchor_group[order], 10_000):
         own = order[chunk]
         total = count[own]
         row = np.repeat(own, total)
