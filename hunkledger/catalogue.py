@@ -1,6 +1,8 @@
 """Rule catalogues and other values fixed by the tool whose results we match.
 
-Patterns are in the RE2 dialect; ``functions.regex.to_java`` adapts them.
+Patterns are in the RE2 dialect; ``functions.regex.to_java`` adapts them.  ``needs`` of a rule are
+texts of which each match holds one, in lower case where the pattern ignores case; a line with
+none of them is not searched.  No text means that every line is searched.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ class LineRule(NamedTuple):
     message: str
     severity: str
     file_exts: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
 
 
 class AgentRule(NamedTuple):
@@ -27,6 +30,7 @@ class AgentRule(NamedTuple):
     cwe: str
     description: str
     confidence: float
+    needs: tuple[str, ...] = ()
 
 
 # --- Fixed values: must equal the originals for equal results -----------------------
@@ -39,18 +43,21 @@ LINE_RULES: tuple[LineRule, ...] = (
         r"(?i)(AKIA[0-9A-Z]{16})",
         "Possible hardcoded AWS access key detected",
         "CRITICAL",
+        needs=("akia",),
     ),
     LineRule(
         "fallback-hardcoded-secret",
         r"""(?i)(api[_-]?key|secret[_-]?key|password|token|auth[_-]?token)\s*[:=]\s*["'][\w/+=-]{8,}["']""",
         "Possible hardcoded secret or credential",
         "ERROR",
+        needs=("api", "ecret", "token", "word"),
     ),
     LineRule(
         "fallback-private-key",
         r"-----BEGIN\s+(RSA|EC|DSA|OPENSSH)?\s*PRIVATE KEY-----",
         "Private key embedded in source code",
         "CRITICAL",
+        needs=("PRIVATE KEY-----",),
     ),
     LineRule(
         "fallback-sql-concat",
@@ -58,6 +65,7 @@ LINE_RULES: tuple[LineRule, ...] = (
         "Possible SQL injection via string concatenation",
         "ERROR",
         (".go", ".py", ".js", ".ts", ".java", ".rb", ".php"),
+        needs=("delete", "elect", "ert", "update"),
     ),
     LineRule(
         "fallback-eval-usage",
@@ -65,6 +73,7 @@ LINE_RULES: tuple[LineRule, ...] = (
         "Use of eval() — potential code injection vector",
         "ERROR",
         (".js", ".ts", ".py", ".rb", ".php"),
+        needs=("eval",),
     ),
     LineRule(
         "fallback-exec-usage",
@@ -72,12 +81,14 @@ LINE_RULES: tuple[LineRule, ...] = (
         "Shell command execution — verify inputs are sanitized",
         "WARNING",
         (".go", ".py", ".js", ".ts", ".rb"),
+        needs=("child_proce", "exec.command", "tem", "ubproce"),
     ),
     LineRule(
         "fallback-path-traversal",
         r"\.\./",
         "Path traversal pattern detected — verify input validation",
         "WARNING",
+        needs=("../",),
     ),
     LineRule(
         "fallback-weak-hash",
@@ -85,59 +96,72 @@ LINE_RULES: tuple[LineRule, ...] = (
         "Weak hash function (MD5/SHA1) — use SHA-256 or stronger",
         "WARNING",
         (".go", ".py", ".js", ".ts", ".java", ".rb", ".php"),
+        needs=("ha1", "md5"),
     ),
     LineRule(
         "fallback-debug-true",
         r"""(?i)(debug|DEBUG)\s*[:=]\s*(true|True|1|"true")""",
         "Debug mode enabled — ensure this is not deployed to production",
         "WARNING",
+        needs=("debug",),
     ),
     LineRule(
         "fallback-cors-wildcard",
         r"""(?i)(access-control-allow-origin|cors.*origin)\s*[:=]\s*["']\*["']""",
         "CORS wildcard origin — allows any domain to make requests",
         "WARNING",
+        needs=("-control-allow-origin", "origin"),
     ),
 )
 
 AGENT_RULES: tuple[AgentRule, ...] = (
     AgentRule(
-        r"AKIA[0-9A-Z]{16}", "SECRETS", "CRITICAL", "CWE-798", "Hardcoded AWS access key", 0.80
+        r"AKIA[0-9A-Z]{16}", "SECRETS", "CRITICAL", "CWE-798", "Hardcoded AWS access key", 0.80,
+        needs=("AKIA",),
     ),
     AgentRule(
         r"-----BEGIN (RSA|EC|OPENSSH) PRIVATE KEY-----",
         "SECRETS", "CRITICAL", "CWE-321", "Private key embedded in source", 0.80,
+        needs=(" PRIVATE KEY-----",),
     ),
     AgentRule(
         r'(?i)(query|sql)\s*:?=\s*"[^"]*"\s*\+',
         "INJECTION", "HIGH", "CWE-89", "SQL string concatenation detected", 0.75,
+        needs=("ql", "query"),
     ),
     AgentRule(
-        r"\beval\s*\(", "RCE", "HIGH", "CWE-95", "eval() call with possible user input", 0.75
+        r"\beval\s*\(", "RCE", "HIGH", "CWE-95", "eval() call with possible user input", 0.75,
+        needs=("eval",),
     ),
     AgentRule(
         r"""(?i)sslmode\s*=\s*["']?disable""",
         "INSECURE_CONFIG", "HIGH", "CWE-311", "TLS disabled on DB connection", 0.78,
+        needs=("lmode",),
     ),
     AgentRule(
         r"""(?i)(password|passwd|pwd)\s*[:=]\s*["'][^"']{4,}["']""",
         "SECRETS", "HIGH", "CWE-259", "Hardcoded password in source", 0.72,
+        needs=("wd", "word"),
     ),
     AgentRule(
         r"(?i)(md5|sha1)\s*\.new|hashlib\.(md5|sha1)",
         "CRYPTO_WEAK", "MEDIUM", "CWE-327", "Weak hashing algorithm used", 0.70,
+        needs=(".new", "hlib."),
     ),
     AgentRule(
         r"Access-Control-Allow-Origin[^\n]*\*",
         "AUTH_BYPASS", "MEDIUM", "CWE-942", "CORS wildcard allows any origin", 0.70,
+        needs=("Access-Control-Allow-Origin",),
     ),
     AgentRule(
         r"(?i)(DEBUG|debug)\s*[:=]\s*(true|True|1)\b",
         "INSECURE_CONFIG", "LOW", "CWE-489", "Debug mode enabled in code", 0.65,
+        needs=("debug",),
     ),
     AgentRule(
         r"""(?i)(secret|api_key|apikey|token)\s*[:=]\s*["'][a-zA-Z0-9+/]{16,}["']""",
         "SECRETS", "HIGH", "CWE-798", "Hardcoded secret or token detected", 0.72,
+        needs=("api_key", "apikey", "ecret", "token"),
     ),
 )
 

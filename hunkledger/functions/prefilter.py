@@ -1,78 +1,31 @@
 """Literal pre-filters for regular expressions.
 
-Most lines match no rule.  For each pattern we work out plain texts of which every match
-must hold at least one; a substring test on them is far cheaper than the regular
-expression, which then runs on few lines.
+Most lines match no rule.  A rule names plain texts of which every match holds at least
+one; a substring test on them is far cheaper than the regular expression, which then runs
+on few lines.
 """
 
 from __future__ import annotations
 
-import re
-import re._constants as ops
-import re._parser as parser
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .regex import to_java
 
-# Case folding lets U+017F match 's', and lower-casing does not map it to 's'.
-_UNSAFE_FOLDED = "s"
 
+def matches(pattern: str, text: Column, lowered: Column, needs: Sequence[str] = ()) -> Column:
+    """Does the RE2 ``pattern`` match ``text``; ``lowered`` is ``text`` in lower case.
 
-def required_texts(pattern: str) -> tuple[list[str], bool]:
-    """(texts, folded): each match holds one of ``texts``; empty list when none is known.
-
-    With ``folded`` the texts are lower case and apply to the lower-cased line.
+    ``needs`` are looked up in the lower-cased text if the pattern ignores case.  Case folding
+    lets U+017F match 's', which lower-casing leaves as it is, so a need of such a pattern must
+    avoid that letter.
     """
-    try:
-        tree = parser.parse(pattern)
-    except (re.error, OverflowError):
-        return [], False
-    folded = bool(tree.state.flags & ops.SRE_FLAG_IGNORECASE)
-    found = _of_sequence(list(tree), folded)
-    return sorted(found) if found else [], folded
-
-
-def _of_sequence(items, folded: bool) -> set[str] | None:
-    """Best requirement of a concatenation: the one whose shortest text is longest."""
-    candidates: list[set[str]] = []
-    run = ""
-    for op, arg in items:
-        ch = None
-        if op is ops.LITERAL:
-            ch = chr(arg).lower() if folded else chr(arg)
-        if ch is not None and not (folded and (ch in _UNSAFE_FOLDED or ord(ch) > 127)):
-            run += ch
-            continue
-        if run:
-            candidates.append({run})
-        run = ""
-        inner = _of_item(op, arg, folded)
-        if inner:
-            candidates.append(inner)
-    if run:
-        candidates.append({run})
-    return max(candidates, key=lambda c: (min(map(len, c)), -len(c)), default=None)
-
-
-def _of_item(op, arg, folded: bool) -> set[str] | None:
-    if op is ops.SUBPATTERN:
-        return _of_sequence(list(arg[3]), folded)
-    if op is ops.BRANCH:
-        parts = [_of_sequence(list(branch), folded) for branch in arg[1]]
-        return set().union(*parts) if all(parts) else None
-    if op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and arg[0] >= 1:
-        return _of_sequence(list(arg[2]), folded)
-    return None
-
-
-def matches(pattern: str, text: Column, lowered: Column) -> Column:
-    """Does the RE2 ``pattern`` match ``text``; ``lowered`` is ``text`` in lower case."""
     found = F.rlike(text, F.lit(to_java(pattern)))
-    texts, folded = required_texts(pattern)
+    where = lowered if pattern.startswith("(?i)") else text
     test = None
-    for t in texts:
-        one = F.contains(lowered if folded else text, F.lit(t))
+    for t in needs:
+        one = F.contains(where, F.lit(t))
         test = one if test is None else test | one
     return found if test is None else test & found

@@ -97,7 +97,7 @@ def regex_answers(
     def rule_of(line: Column, lowered: Column) -> Column:
         first = None
         for i, rule in enumerate(rules):
-            hit = matches(rule.pattern, line, lowered)
+            hit = matches(rule.pattern, line, lowered, rule.needs)
             first = F.when(hit, F.lit(i)) if first is None else first.when(hit, F.lit(i))
         return first
 

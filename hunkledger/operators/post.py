@@ -9,6 +9,7 @@ from ..functions.regex import glob_pattern
 from ..functions.text import SEVERITIES, severity_name
 from ..schemas import FINDING_ORDER
 
+IGNORE_SALTS = 32
 
 
 def suppressed_lines(files: DataFrame) -> DataFrame:
@@ -138,10 +139,20 @@ def scan_listing(findings: DataFrame, counts: DataFrame) -> DataFrame:
     return lines.unionByName(summary)
 
 
-def ignore_rules(findings: DataFrame, ignores: DataFrame) -> DataFrame:
-    """Drop findings that match a (rule_id, file_glob) pair; the rule id is the join key."""
-    patterns = ignores.select(
-        F.col("rule_id").alias("_rule"), glob_pattern(F.col("file_glob")).alias("_pattern")
+def ignore_rules(findings: DataFrame, ignores: DataFrame, salts: int = IGNORE_SALTS) -> DataFrame:
+    """Drop findings that match a (rule_id, file_glob) pair.
+
+    The globs of a rule become one pattern.  There are few rules and very many findings, so
+    the findings of a rule are dealt to ``salts`` keys, each with its copy of the rule's pattern.
+    """
+    globs = F.collect_set(F.concat(F.lit("(?:"), glob_pattern(F.col("file_glob")), F.lit(")")))
+    patterns = ignores.groupBy(F.col("rule_id").alias("_rule")).agg(
+        F.array_join(F.array_sort(globs), "|").alias("_pattern")
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("scan_id"), F.lit(salts)).cast("int")
+    cond = (
+        (F.col("rule_id") == F.col("_rule"))
+        & (salt == F.col("_salt"))
+        & F.rlike(F.col("path"), F.col("_pattern"))
     )
-    cond = (F.col("rule_id") == F.col("_rule")) & F.rlike(F.col("path"), F.col("_pattern"))
     return findings.join(patterns, cond, "left_anti")

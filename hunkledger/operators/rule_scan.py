@@ -15,7 +15,7 @@ from ..functions.text import SEVERITIES, last_dot_ext, trim_space
 
 
 def _matches(rule: LineRule, ext: Column, content: Column, lowered: Column) -> Column:
-    hit = matches(rule.pattern, content, lowered)
+    hit = matches(rule.pattern, content, lowered, rule.needs)
     # The extension test is cheap and comes first; AND stops there for most files.
     return ext.isin(*rule.file_exts) & hit if rule.file_exts else hit
 
