@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import SUPPRESS_MARKER
-from .functions.arrays import literal_array
+from hunkledger.catalogue import SUPPRESS_MARKER
+from hunkledger.functions.arrays import literal_array
 
 EXTENSIONS = (".go", ".py", ".js", ".java", ".md", ".lock", ".min.js", "")
 TEMPLATES = (
@@ -250,7 +250,7 @@ SCANNER_REPORT = (
 
 def scanner_reports(files: DataFrame) -> DataFrame:
     """One report per scan with one result per scanned file (at most five per scan)."""
-    from .operators.scanner import flat_name
+    from hunkledger.operators.scanner import flat_name
 
     results = (
         files.select(

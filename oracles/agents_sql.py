@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hunkledger import corpus
+import corpus
 from hunkledger.catalogue import (
     AGENT_RULES,
     GEMINI_AGENT,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hunkledger import corpus
+import corpus
 
 from .core import block
 from .text import sev_rank

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hunkledger import corpus
+import corpus
+from corpus import EXTENSIONS
 from hunkledger.catalogue import DECLARATION_MARKS, IMPORT_MARKS, SIBLING_WORDS
-from hunkledger.corpus import EXTENSIONS
 
 from .core import array, block, lit
 from .text import path_ext, sev_name, trim

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from corpus import BLANK_SCANS, EXTENSIONS, IMPORT_LINES, TEMPLATES
 from hunkledger.catalogue import BLOCKED_EXTENSIONS, LINE_RULES, SUPPRESS_MARKER
-from hunkledger.corpus import BLANK_SCANS, EXTENSIONS, IMPORT_LINES, TEMPLATES
 
 from .core import array, block, lit
 from .text import last_dot_ext, path_ext, sev_rank, trim

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkledger import corpus
+import corpus
 from hunkledger.operators import diffs as D
 from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
 from hunkledger.plans.report import periodic_report
