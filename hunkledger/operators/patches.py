@@ -32,18 +32,24 @@ def _hunks(patches: DataFrame) -> DataFrame:
     return hunk_rows(file_sections(diffs, ID), ID)
 
 
-def _file_lines(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
-    """Numbered lines of the touched files; a final line end starts no further line."""
+def _files_of(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
+    """The touched files as lists of lines; a final line end starts no further line."""
     text = F.col("content")
     body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
     return (
         repo_files.where(~F.col("is_dir"))
         .join(touched.select(*_FILE).distinct(), list(_FILE), "left_semi")
-        .select(*_FILE, F.posexplode(F.split(body, "\n")).alias("_pos", "content"))
-        .select(*_FILE, (F.col("_pos") + 1).cast("bigint").alias("old_number"), "content")
+        .select(*_FILE, F.split(body, "\n").alias("lines"))
     )
 
 
+def _file_lines(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
+    """Numbered lines of the touched files."""
+    return _files_of(repo_files, touched).select(
+        *_FILE, F.posexplode("lines").alias("_pos", "content")
+    ).select(*_FILE, (F.col("_pos") + 1).cast("bigint").alias("old_number"), "content")
+
+
 def patch_check(patches: DataFrame, repo_files: DataFrame) -> DataFrame:
     """Does each patch apply: it parses, its counts are right, its files exist, and every
     old-side line equals the file's line at that position.
@@ -54,7 +60,7 @@ def patch_check(patches: DataFrame, repo_files: DataFrame) -> DataFrame:
     hunks = _hunks(patches)
     lines = lines_of_hunks(hunks, ID).select(*_HUNK, "path", "kind", "content", "old_number")
     file_lines = _file_lines(repo_files, hunks)
-    sizes = file_lines.groupBy(*_FILE).agg(F.max("old_number").alias("n_lines"))
+    sizes = _files_of(repo_files, hunks).select(*_FILE, F.size("lines").alias("n_lines"))
     old = F.col("kind") != "add"
     compared = lines.join(
         file_lines.withColumnRenamed("content", "_have"), [*_FILE, "old_number"], "left"

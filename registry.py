@@ -13,7 +13,7 @@ from hunkledger.operators import diffs as D
 from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
-from hunkledger.session import work_path
+from hunkledger.session import stage, work_path
 from hunkledger.sources.audit import log_lines, read_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
@@ -570,7 +570,9 @@ def signatures(spark, sf_dir):
 
 @query
 def related_files(spark, sf_dir):
-    files, repo = kept_files(spark, sf_dir), repo_of(spark, sf_dir)
+    # Three branches read the files: the diffs are cut once.
+    files, _ = stage(kept_files(spark, sf_dir), "kept-files")
+    repo = repo_of(spark, sf_dir)
     return context.related_files(
         context.import_candidates(files, repo), context.sibling_candidates(files, repo), files, repo
     )
