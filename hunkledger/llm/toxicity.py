@@ -34,9 +34,9 @@ TRAIN_ROWS = 20_000
 #: Most entries of the learned lexicon.
 LEXICON_SIZE = 5_000
 #: A learned entry is in so many toxic training texts, and its log-likelihood ratio is so high.
-LEAST_TEXTS, LEAST_RATIO = 4, 22.0
+LEAST_TEXTS, LEAST_RATIO = 4, 16.0
 #: Lengths of word beginnings that may be learned.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Words that a negation reaches.
 SCOPE = 3
 FLUSH = 200_000
@@ -231,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lexicon_size
     """
     sample = labels.select("doc_id", "toxic").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     train = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-train")
-    lexicon = learn_lexicon(train.filter(fold(F.col("doc_id")) <= 2), lexicon_size)
-    return lexicon, learn_weights(train.filter(fold(F.col("doc_id")) > 2), Grammar(lexicon))
+    lexicon = learn_lexicon(train.filter(fold(F.col("doc_id")) <= 3), lexicon_size)
+    return lexicon, learn_weights(train.filter(fold(F.col("doc_id")) > 3), Grammar(lexicon))
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], weights: list[float], text: str = "text") -> DataFrame:
