@@ -10,8 +10,10 @@ above all minima of their text are done.
 
 Bands of the signature propose pairs: every member of a band's bucket with the bucket's leader.
 Verified pairs (multiset overlap counted on the words) join into classes.  Members of one bucket
-that are still in different classes are then compared too, so no proposed link is lost, while copies and
-linked members are never expanded into pairs.  The class id is the smallest doc_id of the class.
+that are still in different classes are then compared too, so no proposed link is lost: in small buckets pair by
+pair, in large ones in blocks, the members outside the bucket's largest class against all, as products of
+incidence matrices of which only links leave the task.  Copies and linked members are never expanded into pairs.
+The class id is the smallest doc_id of the class.
 
 NULL or blank texts have no shingle: each is its own class.  Rows without doc_id get a NULL class
 and take no part.  Rows that repeat a doc_id are one document.  An empty table gives no rows.
@@ -36,6 +38,12 @@ WORDS = 5
 LEAST_SIMILARITY = 0.8
 #: Bands and rows a band: at similarity 0.8 all bands miss a pair with probability 0.00006.
 BANDS, ROWS = 32, 6
+#: Buckets up to this size are finished pair by pair, larger ones in blocks of so many members.
+PAIRED, BLOCK = 12, 512
+#: Shingles of a block whose incidence is held at a time.
+SLAB = 4_096
+#: Keys that the edges of one node are dealt to.
+SALTS = 8
 #: Points drawn together in a round.
 ROUND_POINTS = 20_000
 
@@ -164,7 +172,7 @@ def _sign_udf(size: int, bands: int, rows: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for texts in in_batches(batch, 500_000):
+            for texts in in_batches(batch, 300_000):
                 own = [words(t) for t in texts]
                 found = band_hashes(signatures(*weighted_shingles(own, size), len(own), bands * rows), bands, rows)
                 for w, hashes in zip(own, found):
@@ -189,8 +197,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        # the middle of a large star has very many edges, so they are dealt to several keys
+        lower = now.groupBy("a").agg(F.min("b").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        upward = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = upward.join(lower, ["a", "salt"], "left").select(F.col("b"), F.coalesce("least", "a").alias("low")).toDF("a", "b").filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(least, "a")
         small = joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(joined.select("a", F.col("least").alias("b")))
@@ -220,12 +230,65 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
     return texted.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
+def block_links(rows: pd.DataFrame, least: float, size: int) -> list[tuple[int, int]]:
+    """Links between the rows of side 0 and of side 1 that have different labels, one for each row of side 0
+    and label of side 1.
+
+    The k-th occurrence of a hashed shingle is a column of a 0/1 matrix for each side, and their product counts
+    common columns, which is the multiset overlap or, should hashes collide, more.  So no link is missed, and
+    what is found is counted again on the words.
+    """
+    sides = [rows[rows["side"] == side].drop_duplicates("node") for side in (0, 1)]
+    (xs, ys), (xl, yl), (xt, yt) = ([part[c].to_numpy() for part in sides] for c in ("node", "label", "text"))
+    n = len(xs)
+    owner, value, count = weighted_shingles([words(t) for t in (*xt, *yt)], size)
+    total = np.bincount(owner, weights=count, minlength=n + len(ys))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner, value = np.repeat(owner, count), mixed(np.repeat(value, count) ^ mixed(nth.astype(np.uint64)))
+    column = np.unique(value, return_inverse=True)[1]
+    left = owner < n
+    both = (np.bincount(column[left], minlength=len(value) + 1) > 0) & (np.bincount(column[~left], minlength=len(value) + 1) > 0)
+    some = both[column]
+    owner, column, left = owner[some], (np.cumsum(both) - 1)[column[some]], left[some]
+    overlap = np.zeros((n, len(ys)), dtype=np.float32)
+    for begin in range(0, int(both.sum()), SLAB):
+        inside = (column >= begin) & (column < begin + SLAB)
+        dense = np.zeros((n + len(ys), SLAB), dtype=np.float32)
+        dense[owner[inside], column[inside] - begin] = 1
+        overlap += dense[:n] @ dense[n:].T
+    near = (overlap >= least * (total[:n, None] + total[None, n:] - overlap) - 1e-6) & (xl[:, None] != yl[None, :])
+    found: dict[tuple[int, int], int] = {}
+    for i, j in zip(*np.nonzero(near)):
+        link = (int(xs[i]), int(yl[j]))
+        if link not in found and similarity(shingles(xt[i], size), shingles(yt[j], size)) >= least:
+            found[link] = int(ys[j])
+    return [(a, b) for (a, _), b in found.items()]
+
+
+def blocked(rest: DataFrame, texts: DataFrame, least: float, size: int, block: int) -> DataFrame:
+    """Links across classes inside large buckets: the members outside the largest class against all members, in
+    pairs of blocks."""
+    labels = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    major = labels.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    major = major.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("all") / block).cast("int").alias("right"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("left"))
+    rows = rest.join(major, "bucket").join(texts, "node")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rows.filter("label <> major").select("bucket", dealt(1, "left").alias("i"), every("right").alias("j"), "node", "label", "text", F.lit(0).alias("side"))
+    whole = rows.select("bucket", every("left").alias("i"), dealt(2, "right").alias("j"), "node", "label", "text", F.lit(1).alias("side"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(cell, least, size), columns=["a", "b"]).astype("int64")
+
+    return minor.unionByName(whole).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def long_enough(n, m, least: float):
     """Sizes that still allow the similarity."""
     return (F.least(n, m) >= F.greatest(n, m) * least)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST_SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST_SIMILARITY, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stage(ids.select("doc_id", _sign_udf(size, bands, rows)("text").alias("s")).select("doc_id", "s.*"), "minhash-signed")
@@ -242,14 +305,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = members.filter((F.col("node") != F.col("leader")) & long_enough(F.col("n"), F.col("leader_n"), least)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = stage(verified(stars, texts, least, size), "minhash-links")
     label = components(links)
-    # what the leaders did not join: members of one bucket in different classes
+    # what the leaders did not join: members of one bucket in different classes; pairs with the leader are done
     classed = members.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    split = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo < hi AND members > 2").select("bucket", "members")
     rest = stage(classed.join(split, "bucket"), "minhash-rest")
-    left, right = rest.toDF("bucket", "a", "an", "al"), rest.toDF("bucket", "b", "bn", "bl")
+    few = rest.filter(F.col("members") <= paired).select("bucket", "node", "n", "label")
+    left, right = few.toDF("bucket", "a", "an", "al"), few.toDF("bucket", "b", "bn", "bl")
     open_ = left.join(right, "bucket").filter((F.col("a") > F.col("b")) & (F.col("al") != F.col("bl")) & long_enough(F.col("an"), F.col("bn"), least)).select("a", "b").distinct()
     open_ = open_.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = verified(open_, texts, least, size)
+    many = rest.filter(F.col("members") > paired).select("bucket", "node", "label")
+    more = stage(verified(open_, texts, least, size).unionByName(blocked(many, texts, least, size, block)), "minhash-more")
     label = components(links.unionByName(more))
     found = known.select("doc_id", "key").join(nodes, "key").select("doc_id", "node").distinct()
     found = found.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))

@@ -83,3 +83,9 @@ def test_weighted_shingles_equal_the_counter():
     owner, _, count = mh.weighted_shingles(texts)
     for i, own in enumerate(texts):
         assert sorted(count[owner == i]) == sorted(mh.shingles(" ".join(own)).values())
+
+
+def test_blocks_of_large_buckets(spark):
+    rows = corpus(3)
+    got = by_id(mh.near_duplicates(docs(spark, rows), paired=2, block=4), "class_id")
+    assert got == brute(rows)
