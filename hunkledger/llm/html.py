@@ -13,7 +13,7 @@ neighbours inside its range.  A page at the edge of a range has one neighbour, o
 
 html NULL or empty: empty text.  A NULL or odd URL counts as host '' and the path as given.
 Repeated rows each get a result.  Truncated markup ends where the text ends.  Extra columns pass
-through; columns named text or n_chars are replaced.
+through, but not the html itself, which is moved once and then done with; columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -239,11 +240,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
         out = group.drop_columns(["__key", "__range", "__lines"]).take(pa.array(order))
         return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(map(len, texts), pa.int64()))
 
-    kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars")]
-    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in kept)
+    kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars", html)]
+    result = StructType([f for f in schema.fields if f.name in kept]).add("text", "string").add("n_chars", "long")
     return (
         placed.select(*kept, "__key", "__range", _lines_udf()(F.col(html)).alias("__lines"))
-        .groupBy("__range").applyInArrow(difference, f"{result}, text string, n_chars long" if result else "text string, n_chars long")
+        .groupBy("__range").applyInArrow(difference, result)
     )
 
 
