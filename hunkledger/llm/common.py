@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hunkledger.session import work_path
 
 #: Code points handled together inside a task; bounds the memory of the numpy work.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that cross to Python together.
+ARROW_ROWS = 1_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once an application, so that they need no installation of it."""
+    """Give the executors this package, once an application, so that they need no installation of it, and
+    let rows of text reach Python in smaller batches than Spark's default, unless the session says how many."""
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
