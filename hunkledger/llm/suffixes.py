@@ -14,7 +14,10 @@ that stop there, and a suffix alone in its group leaves the sort.  The first pas
    with the same anchor.  Equal groups at full depth are exactly the repeated windows.
 
 Documents are dealt into batches by a hash, and every step gets and returns one packed row for each batch
-and digit group, so a passage that a third of all documents hold is one entry a batch.
+and digit group.  Equal pieces of a batch travel as one with their smallest document; the others of them
+are settled in the batch, so a passage that a third of all documents hold is one entry a batch.  An anchor
+with more than ``SPLIT`` unlike pieces (a frequent string in unlike contexts) is no digit group of its own:
+its windows are dealt one by one, by the hash of all their bytes.
 
 Texts are UTF-8 bytes; NULL counts as empty.  Rows without doc_id neither remove nor lose bytes.  Rows
 that share a doc_id do not remove each other's bytes.  An empty table gives no rows.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,97 @@ GRAM = 16
 #: Bytes of text a batch and a digit group should hold.
 BATCH_BYTES = 2_000_000
 GROUP_BYTES = 8_000_000
+#: Unlike pieces an anchor may have before its windows are dealt one by one.
+SPLIT = 20_000
+#: Bytes hashed together, and rows of bytes compared together.
+HASHED = 1 << 20
+COMPARED = 20_000
 #: Bytes whose anchors are found together; windows that reach over the edge belong to the first piece.
 PIECE = 8_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _PLACE_BITS = np.uint64(24)
+with np.errstate(over="ignore"):
+    _BYTES = np.arange(1, 257, dtype=np.uint64) * _SPREAD
+    _BYTES = (_BYTES ^ (_BYTES >> np.uint64(32))) * np.uint64(_BASE)
+
+
+@lru_cache(1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def span_hashes(raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of at most 255 bytes, from differences of running sums."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    power, inverse = powers(HASHED + 256)
+    for begin in range(0, len(raw), HASHED):
+        own = np.flatnonzero((at >= begin) & (at < begin + HASHED))
+        if len(own):
+            part = raw[begin : begin + HASHED + 255]
+            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[part] * power[: len(part)], dtype=np.uint64)))
+            a = at[own] - begin
+            out[own] = (total[a + length[own]] - total[a]) * inverse[a]
+    out ^= out >> np.uint64(32)
+    out *= _SPREAD
+    return out ^ (out >> np.uint64(29))
+
+
+def first_equals(raw: np.ndarray, at: np.ndarray, length: np.ndarray, tag: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each span the number of the first one with equal bytes and tag."""
+    order = np.lexsort((at, hashes))
+    same = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1]))[: len(order)]
+    maybe = np.flatnonzero(same)
+    for begin in range(0, len(maybe), COMPARED):
+        some = maybe[begin : begin + COMPARED]
+        a, b = order[some], order[some - 1]
+        places = np.arange(length[a].max())
+        inside = places[None, :] < length[a][:, None]
+        unlike = raw[np.minimum(at[a][:, None] + places, len(raw) - 1)] != raw[np.minimum(at[b][:, None] + places, len(raw) - 1)]
+        same[some] = (length[a] == length[b]) & (tag[a] == tag[b]) & ~(unlike & inside).any(axis=1)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    return out
+
+
+def merged(raw: np.ndarray, base: np.ndarray, ids: np.ndarray, number: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, anchor: np.ndarray, hot: np.ndarray, threshold: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The unlike pieces of a batch, and what is settled about their equals.
+
+    Texts lie in ``raw`` from ``base`` on, by ascending id.  Pieces (text number, first window, windows,
+    place of the anchor in the piece, digit) come first, each of the smallest document that holds it; the windows of
+    hot pieces are pieces of their own.  Then runs (text, begin, end) that a smaller document of the batch
+    holds, and copies (text, first window, windows, text and first window of the copy) within a document, which
+    fare as the piece does.
+    """
+    before, digit = place - first, anchor
+    if hot.any():
+        n = count[hot]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        apart = (np.repeat(number[hot], n), np.repeat(first[hot], n) + offset, np.ones_like(offset), np.zeros_like(offset))
+        number, first, count, before = (np.concatenate((x[~hot], y)) for x, y in zip((number, first, count, before), apart))
+        digit = np.concatenate((anchor[~hot], np.zeros(len(offset), dtype=np.uint64)))
+    at, length, tag = base[number] + first, count + threshold - 1, before * 256 + count
+    hashes = span_hashes(raw, at, length)
+    if hot.any():
+        digit[len(digit) - len(offset) :] = hashes[len(digit) - len(offset) :] >> _PLACE_BITS
+    lead = first_equals(raw, at, length, tag, hashes ^ (tag.astype(np.uint64) * _SPREAD))
+    own = lead == np.arange(len(lead))
+    larger = ids[number] > ids[number[lead]]
+    order = np.flatnonzero(larger)[np.argsort(at[larger], kind="stable")]
+    no, begin, stop = number[order], first[order], (first + count)[order]
+    new = np.concatenate(([True], (no[1:] != no[:-1]) | (begin[1:] != stop[:-1])))[: len(no)]
+    ends = stop[np.concatenate((new[1:], [True]))[: len(no)]] + threshold - 1
+    runs = np.stack((no[new], begin[new], ends), axis=1).astype("<i4")
+    rest = ~own & ~larger
+    copies = np.stack((number[lead[rest]], first[lead[rest]], count[rest], number[rest], first[rest]), axis=1).astype("<i4")
+    return tuple(x[own] for x in (number, first, count, before, digit)), runs, copies
 
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
@@ -178,13 +267,20 @@ def repeated(pieces_: np.ndarray, before: np.ndarray, windows: np.ndarray, docs:
     for chunk in at_borders(anchor_group[order], 10_000):
         own = order[chunk]
         total = count[own]
-        row = np.repeat(own, total)
-        offset = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        window = pieces_[example[row][:, None], offset[:, None] + np.arange(threshold)]
-        equal = equal_groups(window)
-        best = np.full(int(equal.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, equal, least[row])
-        lowest[starts[row] + offset] = best[equal]
+        # equal windows have their anchor at equal places, so many pieces go place by place
+        for place in [None] if len(own) <= 20_000 else range(threshold - gram + 1):
+            if place is None:
+                row = np.repeat(own, total)
+                offset = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            else:
+                offset = before[example[own]] - place
+                inside = (offset >= 0) & (offset < total)
+                row, offset = own[inside], offset[inside]
+            window = pieces_[example[row][:, None], offset[:, None] + np.arange(threshold)]
+            equal = equal_groups(window)
+            best = np.full(int(equal.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(best, equal, least[row])
+            lowest[starts[row] + offset] = best[equal]
     total = windows
     offset = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
     return np.repeat(docs, total) > lowest[np.repeat(starts[same], total) + offset]
@@ -221,7 +317,29 @@ def removed_runs(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES, with_kept: bool = True) -> DataFrame:
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts one after another, and where each begins."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(size) - size
+
+
+def copied(run: np.ndarray, copies: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """The runs of copies: those of the windows of the pieces they equal."""
+    if not len(run) or not len(copies):
+        return np.zeros((0, 3), dtype=np.int64)
+    base = np.cumsum(sizes) - sizes
+    gone = removed_runs(int(sizes.sum()), base[run[:, 0]] + run[:, 1], base[run[:, 0]] + run[:, 2] - threshold + 1)
+    out = []
+    for begin in range(0, len(copies), COMPARED):
+        no, first, n, copy, to = copies[begin : begin + COMPARED].T
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = gone[np.repeat(base[no] + first, n) + offset]
+        start = (np.repeat(to, n) + offset)[hit]
+        out.append(np.stack((np.repeat(copy, n)[hit], start, start + threshold), axis=1))
+    return np.concatenate(out)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES, with_kept: bool = True, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, the kept bytes, for each row."""
     if threshold < gram or threshold - gram + threshold > 255:
         raise ValueError("the threshold must lie between the anchor length and 135")
@@ -237,15 +355,26 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
 
     def deal_anchors(part: pa.Table) -> pa.Table:
         _, known, texts, _ = ordered(part)
-        number, _, _, _, anchor = stretches(texts, known, threshold, gram)
+        number, first, count, place, anchor = stretches(texts, known, threshold, gram)
         hashes, several = anchors(number, anchor)
+        raw, base = joined(texts)
+        contents = span_hashes(raw, base[number] + first, count + threshold - 1)
+        by = np.lexsort((contents, anchor))
+        unlike = np.concatenate(([True], (contents[by][1:] != contents[by][:-1]) | (anchor[by][1:] != anchor[by][:-1])))[: len(by)]
+        n_unlike = np.bincount(np.searchsorted(hashes, anchor[by][unlike]), minlength=len(hashes))
         group = grouped(hashes)
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(order) else order
-        packed = [(int(group[o[0]]), (hashes[o] // np.uint64(n_groups)).astype("<u4").tobytes(), np.packbits(several[o]).tobytes()) for o in np.split(order, cuts[1:]) if len(o)]
+        packed = []
+        for o in np.split(order, cuts[1:]):
+            if len(o):
+                # place and unlike pieces of the anchors with more than one
+                more = np.flatnonzero(n_unlike[o] > 1)
+                counts = np.stack((more, n_unlike[o][more]), axis=1).astype("<u4")
+                packed.append((int(group[o[0]]), (hashes[o] // np.uint64(n_groups)).astype("<u4").tobytes(), np.packbits(several[o]).tobytes(), counts.tobytes()))
         one = part["batch"][0].as_py()
-        g, v, s = zip(*packed) if packed else ((), (), ())
-        return rows({"group": (list(g), pa.int64()), "batch": ([one] * len(g), pa.int64()), "vals": (list(v), pa.binary()), "several": (list(s), pa.binary())})
+        g, v, s, c = zip(*packed) if packed else ((), (), (), ())
+        return rows({"group": (list(g), pa.int64()), "batch": ([one] * len(g), pa.int64()), "vals": (list(v), pa.binary()), "several": (list(s), pa.binary()), "counts": (list(c), pa.binary())})
 
     def meet_anchors(group: pa.Table) -> pa.Table:
         values = [np.frombuffer(v, dtype="<u4") for v in group["vals"].to_pylist()]
@@ -256,8 +385,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         more = np.zeros(len(flat), dtype=np.uint8)
         more[order] = same | np.append(same[1:], False)
         more |= np.concatenate(several)
-        marks = [np.packbits(m).tobytes() for m in np.split(more, np.cumsum([len(v) for v in values])[:-1])]
-        return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "group": (group["group"].to_pylist(), pa.int64()), "marks": (marks, pa.binary())})
+        number = np.ones(len(flat), dtype=np.int64)
+        begins = np.cumsum([0] + [len(v) for v in values])
+        for begin, c in zip(begins, group["counts"].to_pylist()):
+            at, n = np.frombuffer(c, dtype="<u4").reshape(-1, 2).astype(np.int64).T
+            number[begin + at] = n
+        which = np.cumsum(~same) - 1
+        hot = np.zeros(len(flat), dtype=np.uint8)
+        hot[order] = (np.bincount(which, weights=number[order]) > split)[which] if len(flat) else 0
+        marks = [np.packbits(m).tobytes() for m in np.split(more, begins[1:-1])]
+        hots = [np.packbits(h).tobytes() if h.any() else b"" for h in np.split(hot, begins[1:-1])]
+        return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "group": (group["group"].to_pylist(), pa.int64()), "marks": (marks, pa.binary()), "hot": (hots, pa.binary())})
 
     def deal_pieces(part: pa.Table, marks: pa.Table) -> pa.Table:
         empty = rows({"group": ([], pa.int64()), "batch": ([], pa.int64()), "docs": ([], pa.binary()), "heads": ([], pa.binary()), "bytes": ([], pa.binary())})
@@ -268,27 +406,39 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         hashes, _ = anchors(number, anchor)
         group = grouped(hashes)
         open_ = np.zeros(len(hashes), dtype=bool)
-        for g, m in zip(marks["group"].to_pylist(), marks["marks"].to_pylist()):
+        hot = np.zeros(len(hashes), dtype=bool)
+        for g, m, h in zip(marks["group"].to_pylist(), marks["marks"].to_pylist(), marks["hot"].to_pylist()):
             own = np.flatnonzero(group == g)
             open_[own] = np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(own)).astype(bool)
-        some = open_[np.searchsorted(hashes, anchor)] if len(hashes) else np.zeros(0, dtype=bool)
-        number, first, count, place, anchor = (x[some] for x in (number, first, count, place, anchor))
+            if h:
+                hot[own] = np.unpackbits(np.frombuffer(h, dtype=np.uint8), count=len(own)).astype(bool)
+        which = np.searchsorted(hashes, anchor)
+        some = open_[which] if len(hashes) else np.zeros(0, dtype=bool)
+        number, first, count, place, anchor, which = (x[some] for x in (number, first, count, place, anchor, which))
         if not len(number):
             return empty
-        owner = grouped(anchor)
+        raw, base = joined(texts)
+        (number, first, count, before, digit), settled, copies = merged(raw, base, ids, number, first, count, place, anchor, hot[which], threshold)
+        owner = grouped(digit)
         order = np.argsort(owner, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(owner[order]) != 0)))
         out = []
         for o in np.split(order, cuts[1:]):
             # document number and first window of each piece, then place of the anchor and number of windows
             head = np.zeros(len(o), dtype=[("no", "<i4"), ("first", "<i4"), ("before", "u1"), ("windows", "u1")])
-            head["no"], head["first"], head["before"], head["windows"] = number[o], first[o], (place - first)[o], count[o]
+            head["no"], head["first"], head["before"], head["windows"] = number[o], first[o], before[o], count[o]
             raw = b"".join(texts[n][a : a + c + threshold - 1] for n, a, c in zip(number[o], first[o], count[o]))
             out.append((int(owner[o[0]]), ids[number[o]].astype("<i8").tobytes(), head.tobytes(), raw))
+        # what the batch has settled itself passes by in a group of its own
+        one = part["batch"][0].as_py()
+        if len(settled) or len(copies):
+            out.append((-1 - one, b"", copies.tobytes(), settled.tobytes()))
         g, d, h, r = zip(*out)
-        return rows({"group": (list(g), pa.int64()), "batch": ([part["batch"][0].as_py()] * len(g), pa.int64()), "docs": (list(d), pa.binary()), "heads": (list(h), pa.binary()), "bytes": (list(r), pa.binary())})
+        return rows({"group": (list(g), pa.int64()), "batch": ([one] * len(g), pa.int64()), "docs": (list(d), pa.binary()), "heads": (list(h), pa.binary()), "bytes": (list(r), pa.binary())})
 
     def meet_pieces(group: pa.Table) -> pa.Table:
+        if group["group"][0].as_py() < 0:
+            return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "runs": (group["bytes"].to_pylist(), pa.binary()), "copies": (group["heads"].to_pylist(), pa.binary())})
         kind = [("no", "<i4"), ("first", "<i4"), ("before", "u1"), ("windows", "u1")]
         heads = [np.frombuffer(h, dtype=kind) for h in group["heads"].to_pylist()]
         head = np.concatenate(heads)
@@ -310,7 +460,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         runs = np.stack((head["no"][owner], head["first"][owner] + offset[begins], head["first"][owner] + offset[stops] + threshold), axis=1).astype("<i4")
         batch_no = np.searchsorted(np.cumsum([len(h) for h in heads]), owner, side="right")
         packed = [runs[batch_no == i].tobytes() for i in range(len(heads))]
-        return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "runs": (packed, pa.binary())})
+        return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "runs": (packed, pa.binary()), "copies": ([b""] * len(packed), pa.binary())})
 
     def cut_out(part: pa.Table, runs: pa.Table) -> pa.Table:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
@@ -319,6 +469,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         if part.num_rows:
             _, _, texts, ids = ordered(part)
             run = np.concatenate([np.frombuffer(r, dtype="<i4") for r in runs["runs"].to_pylist()] or [np.zeros(0, "<i4")]).reshape(-1, 3).astype(np.int64)
+            copies = np.concatenate([np.frombuffer(c, dtype="<i4") for c in runs["copies"].to_pylist()] or [np.zeros(0, "<i4")]).reshape(-1, 5).astype(np.int64)
+            run = np.concatenate((run, copied(run, copies, np.array([len(t) for t in texts]), threshold)))
             run = run[np.argsort(run[:, 0], kind="stable")]
             cuts = np.searchsorted(run[:, 0], np.arange(len(texts) + 1))
             for i, raw in enumerate(texts):
@@ -332,10 +484,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
                 out.append((ids[i], len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
         return rows({name: (list(values), kind) for name, kind, values in zip(names, kinds, zip(*out) if out else [[]] * 6)})
 
-    dealt = batches.groupBy("batch").applyInArrow(deal_anchors, "group long, batch long, vals binary, several binary")
-    marks = dealt.groupBy("group").applyInArrow(meet_anchors, "batch long, group long, marks binary")
+    dealt = batches.groupBy("batch").applyInArrow(deal_anchors, "group long, batch long, vals binary, several binary, counts binary")
+    marks = dealt.groupBy("group").applyInArrow(meet_anchors, "batch long, group long, marks binary, hot binary")
     pieced = batches.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(deal_pieces, "group long, batch long, docs binary, heads binary, bytes binary")
-    runs = pieced.groupBy("group").applyInArrow(meet_pieces, "batch long, runs binary")
+    runs = pieced.groupBy("group").applyInArrow(meet_pieces, "batch long, runs binary, copies binary")
     result = batches.groupBy("batch").cogroup(runs.groupBy("batch")).applyInArrow(
         cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

@@ -84,3 +84,51 @@ def test_odd_rows(spark):
     check(spark, rows)
     assert sx.dedup(with_clashes(odd_docs(spark), "kept", "batch")).count() == 8
     assert sx.dedup(odd_docs(spark).limit(0)).count() == 0
+
+
+def unlike(texts, hot=False):
+    raw, base = sx.joined(texts)
+    number, first, count, place, anchor = sx.stretches(texts, np.ones(len(texts), dtype=bool), 50, 16)
+    ids = np.arange(len(texts))
+    return sx.merged(raw, base, ids, number, first, count, place, anchor, np.full(len(number), hot), 50)
+
+
+def test_equal_pieces_of_a_batch_travel_once():
+    passage = bytes(random.Random(3).choices(b"abcdefgh ", k=400))
+    alone = len(unlike([passage])[0][0])
+    kept, runs, copies = unlike([passage] * 300)
+    assert len(kept[0]) == alone and set(kept[0]) == {0} and not len(copies)
+    assert runs.tolist() == [[i, 0, 400] for i in range(1, 300)]
+    kept, runs, copies = unlike([b" " * 500])
+    assert len(kept[0]) == 1 and len(copies) == 450
+    # a frequent string in unlike contexts is dealt to many groups
+    chance = random.Random(4)
+    texts = ["".join(chance.choice("abcdefgh") for _ in range(34)).encode() for _ in range(50)]
+    (number, _, count, _, digit), _, _ = unlike([t + b"=" * 16 + t for t in texts], hot=True)
+    assert set(count) == {1} and len(set(digit)) == len(number) == 50 * 35
+
+
+def test_frequent_anchors_are_split(spark):
+    chance = random.Random(5)
+    word = lambda n: "".join(chance.choice("abc") for _ in range(n))
+    shared = word(300)
+    rows = corpus(3) + [(200 + i, word(40) + " " * chance.choice((20, 70, 20)) + (shared if i % 3 else word(20)) + " " * 60 + word(9)) for i in range(120)]
+    for split in (0, 3, 40):
+        check(spark, rows, split=split, batch_bytes=4000, group_bytes=9000)
+
+
+def test_many_pieces_of_one_anchor(monkeypatch):
+    chance = np.random.default_rng(2)
+    n = 20_500
+    pieces = np.zeros((n, 84), dtype=np.uint8)
+    pieces[:, :84] = chance.integers(1, 3, size=(n, 84))
+    pieces[:, 34:50] = 7
+    windows, before = np.full(n, 35), np.full(n, 34)
+    docs_ = np.arange(n)
+    gone = sx.repeated(pieces, before, windows, docs_, 50, 16).reshape(n, 35)
+    for k in (0, 20, 34):
+        seen = set()
+        for i in range(n):
+            w = pieces[i, k : k + 50].tobytes()
+            assert gone[i, k] == (w in seen)
+            seen.add(w)
