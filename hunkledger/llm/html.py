@@ -44,8 +44,7 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_CLASS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_ATTR_WORD = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements that start and end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -53,33 +52,39 @@ BLOCKS = frozenset(
 )
 #: Elements that hold no main text.
 NEVER = frozenset("nav footer header aside form dialog button menu head".split())
-#: Words in a class, id or role that mean the same.
+#: Whole classes or ids that mean the same; words with other uses are left to page differencing.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer header login masthead menu modal nav navbar navigation newsletter notice popup promo promoted "
-    "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar "
-    "widget alert complementary contentinfo".split()
+    "breadcrumb breadcrumbs cookie cookies masthead nav navbar navigation newsletter popup sidebar signup subscribe".split()
 )
+#: Those of them whose articles are not the page's own.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising comment comments disqus promo promoted related replies sponsored".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def boilerplate(name: str, attrs: str) -> bool:
+def boilerplate(name: str, attrs: str) -> int:
+    """0: may hold main text; 1: not, unless the page's article is inside; 2: nor its articles."""
+    if name in MAIN or name in ("html", "body"):
+        return 0
     if name in NEVER:
-        return True
-    if name in MAIN or not attrs or "=" not in attrs:
-        return False
-    for quoted in _CLASS.findall(attrs):
-        if not BOILERPLATE.isdisjoint(_ATTR_WORD.findall("".join(quoted).lower())):
-            return True
-    return False
+        return 1 if name == "form" else 2
+    level = 0
+    if "=" in attrs:
+        for key, *values in _ATTR.findall(attrs):
+            key, words = key.lower(), "".join(values).lower().split()
+            if key in ("class", "id"):
+                level = max(level, 0 if BOILERPLATE.isdisjoint(words) else 1, 0 if OTHERS.isdisjoint(words) else 2)
+            elif key == "role" and not ROLES.isdisjoint(words):
+                level = max(level, 1 if "form" in words else 2)
+    return level
 
 
 def lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, inside the article, inside an element that is never main text) of each block."""
     found: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, article from here, boilerplate from here
+    open_: list[tuple[str, bool, int]] = []  # name, article from here, boilerplate from here
     inside = skipped = 0
 
     def close() -> None:
@@ -102,7 +107,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
             for i in places:
                 for _, article, never in open_[i:]:
                     inside -= article
-                    skipped -= never
+                    skipped -= never > 0
                 del open_[i:]
             continue
         if name in BLOCKS:
@@ -115,11 +120,16 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
         if open_ and (open_[-1][0] == "p" and name in BLOCKS or open_[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd")):
             _, article, never = open_.pop()
             inside -= article
-            skipped -= never
+            skipped -= never > 0
         entry = (name, name in MAIN or 'role="main"' in token["attrs"], boilerplate(name, token["attrs"]))
+        if entry[1] and skipped and not inside:
+            # what holds the page's article or main part is not boilerplate
+            freed = 2 if name != "article" else 1
+            open_ = [(n, article, 0 if never <= freed else never) for n, article, never in open_]
+            skipped = sum(never > 0 for _, _, never in open_)
         open_.append(entry)
         inside += entry[1]
-        skipped += entry[2]
+        skipped += entry[2] > 0
     held.append(html[at:])
     close()
     return found

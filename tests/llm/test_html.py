@@ -63,3 +63,16 @@ def test_longest_common_subsequence():
         assert len(kept) == length(a, b)
         rest = iter(b)
         assert all(any(x == y for y in rest) for x in (a[i] for i in sorted(kept)))
+
+
+def kept(page):
+    return html.main_text(html.lines(page), set())
+
+
+def test_only_whole_class_names_are_boilerplate():
+    for tag in ("body class='single has-sidebar'", "div class='content no-sidebar'", "div id=page class='with-ads'", "div class='header-large post'", "div class='share-price'", "div data-id='nav'", "body class='sidebar'", "div title='class=ad'"):
+        assert kept(f"<{tag}><p>main</p></{tag.split()[0]}>") == "main", tag
+    for tag in ("div class='sidebar'", "form id=f", "div class='ads'"):
+        assert kept(f"<{tag}><main><p>main</p></main></{tag.split()[0]}>") == "main", tag
+    assert kept("<div class='Sidebar x'><article><p>main</p></article></div><p>x") == "main"
+    assert kept("<div class='x ads'>Buy</div><p>main</p>") == "main"
