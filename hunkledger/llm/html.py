@@ -2,8 +2,8 @@
 
 Pages of a host that are next to each other by URL path usually come from one template.  The lines
 (block texts) that a page shares with its nearest neighbours, by a longest common subsequence, are
-template and are deleted.  What a page marks as its article is kept even where a neighbour
-repeats it (copies of an article are content, not template), and elements that are never main text
+template and are deleted, inside what a page marks as its article too, unless the neighbour shares half of
+the article (copies of an article are content, not template); elements that are never main text
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are
 deleted even where a page has no neighbour.
 
@@ -182,13 +182,25 @@ def shared(own: list[int], other: list[int]) -> set[int]:
     return kept
 
 
+def template_of(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]]) -> set[int]:
+    """Positions of ``own`` that are template by comparison with ``other``.  If at least half of either
+    article is shared, one is a copy or a version of the other, and lines inside it are no template."""
+    same = shared([text for text, _, _ in own], [text for text, _, _ in other])
+    size = lambda page: sum(len(text) for text, inside, never in page if inside and not never)
+    inner = {place for place in same if own[place][1]}
+    common = sum(len(own[place][0]) for place in inner if not own[place][2])
+    if 2 * common >= min(filter(None, (size(own), size(other))), default=0):
+        same -= inner
+    return same
+
+
 def main_text(own: list[tuple[str, bool, bool]], template: set[int]) -> str:
-    """Join the lines that stay.  With an article, its lines; else those no neighbour shares."""
-    article = any(inside for _, inside, _ in own)
+    """Join the lines that no neighbour shares, with an article those inside it."""
+    article = any(inside and not never for _, inside, never in own)
     kept = [
         text
         for place, (text, inside, never) in enumerate(own)
-        if not never and (inside if article else place not in template)
+        if not never and place not in template and (inside or not article)
     ]
     return "\n\n".join(kept)
 
@@ -245,7 +257,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
             template: set[int] = set()
             for j, wanted in zip(sides, near):
                 if wanted and hashed[j] != hashed[i]:
-                    template |= shared(hashed[i], hashed[j])
+                    template |= template_of(page, parsed[j])
             texts.append(main_text(page, template))
         out = group.drop_columns(["__key", "__range", "__lines"]).take(pa.array(order))
         return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(map(len, texts), pa.int64()))

@@ -76,3 +76,19 @@ def test_only_whole_class_names_are_boilerplate():
         assert kept(f"<{tag}><main><p>main</p></main></{tag.split()[0]}>") == "main", tag
     assert kept("<div class='Sidebar x'><article><p>main</p></article></div><p>x") == "main"
     assert kept("<div class='x ads'>Buy</div><p>main</p>") == "main"
+
+
+def test_template_lines_go_inside_an_article(spark):
+    page = "<article><h1>Title {0}</h1><p>By the editors</p><p>{1}</p><p>Read more on our site</p></article>"
+    own = ["a long text of one page about the sea and its many ships " * 2, "some other words on mountains, valleys and the snow up there " * 2]
+    rows = [(i, f"http://h/p/{i}", page.format(i, own[i % 2] + str(i))) for i in range(4)]
+    rows += [(10 + i, f"http://copy/p/{i}", page.format(9, own[0])) for i in range(2)]
+    rows += [(20, "http://copy/p/2", page.format(9, own[0]).replace("editors", "publishers"))]
+    got = by_id(html.extract(pages(spark, rows)), "text", key="page_id")
+    assert [got[i][0] for i in range(4)] == [f"Title {i}\n\n{own[i % 2]}{i}" for i in range(4)]
+    assert got[10] == got[11] == (f"Title 9\n\nBy the editors\n\n{own[0].strip()}\n\nRead more on our site",)
+
+
+def test_articles_that_are_only_teasers():
+    for begin, end in (("<aside>", "</aside>"), ("<div class='related'>", "</div>"), ("<div class='comments'>", "</div>")):
+        assert kept(f"<div><p>real text</p></div>{begin}<article>teaser</article>{end}") == "real text"
