@@ -7,8 +7,8 @@ the article (copies of an article are content, not template); elements that are
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are
 deleted even where a page has no neighbour.
 
-Pages are dealt by ranges of (host, path) whose bounds come from a small hash-picked sample of the
-keys, so a host with a third of all pages is spread over many tasks, and a page finds its
+Pages are dealt by ranges of (host, path, row) whose bounds come from a small hash-picked sample of the
+rows, so a host or one URL with a third of all pages is spread over many tasks, and a page finds its
 neighbours inside its range.  A page at the edge of a range has one neighbour, on its other side.
 
 html NULL or empty: empty text.  A NULL or odd URL counts as host '' and the path as given.
@@ -225,28 +225,34 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit(""))
 
 
+def spread(pages: DataFrame, key: Column, html: str) -> Column:
+    """A key, then the row's content and place, so that rows of one key have an order of their own."""
+    told = [c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.hex(F.xxhash64(F.xxhash64(html), F.xxhash64(*told)))
+    return F.concat_ws("\u0001", key, F.lpad(row, 16, "0"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+
+
 def bounds(keyed: DataFrame, range_pages: int) -> list[str]:
-    """Keys that cut the pages into ranges of about ``range_pages``; the driver gets KEYS_PER_BOUND a range."""
-    total = keyed.count()
-    wanted = total // range_pages
-    if not wanted:
-        return []
+    """Places that cut the pages into ranges of about ``range_pages``: every KEYS_PER_BOUND-th of the places that a
+    hash picks, put in order and numbered by Spark; the driver gets the bounds only."""
     every = max(1, range_pages // KEYS_PER_BOUND)
-    picked = sorted(r["key"] for r in keyed.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect())
-    return sorted({picked[len(picked) * i // (wanted + 1)] for i in range(1, wanted + 1)}) if picked else []
+    step = range_pages // every
+    picked = keyed.filter(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").orderBy("place")
+    return picked.rdd.zipWithIndex().filter(lambda r: r[1] % step == step - 1).map(lambda r: r[0][0]).collect()
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
     """Add text and n_chars (code points) of the main text of each page."""
     key = F.concat(host(F.col(url)), F.lit("\u0001"), path(F.col(url)))
     pages = pages.drop(*({"text", "n_chars"} - {html, url}))
-    cuts = bounds(pages.select(key.alias("key")), range_pages)
-    placed = pages.withColumn("__key", key).withColumn("__range", F.size(F.filter(F.lit(cuts).cast("array<string>"), lambda c: c <= F.col("__key"))))
+    keyed = pages.withColumn("__key", key).withColumn("__place", spread(pages, key, html))
+    cuts = bounds(keyed.select(F.col("__place").alias("place")), range_pages)
+    placed = keyed.withColumn("__range", F.size(F.filter(F.lit(cuts).cast("array<string>"), lambda c: c <= F.col("__place"))))
     schema = pages.schema
 
     def difference(group: pa.Table) -> pa.Table:
-        keys, packed = group["__key"].to_pylist(), group["__lines"].to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], packed[i]))
+        keys, packed, at = group["__key"].to_pylist(), group["__lines"].to_pylist(), group["__place"].to_pylist()
+        order = sorted(range(len(keys)), key=at.__getitem__)
         parsed = [unpacked(packed[i]) for i in order]
         hashed = [[hash(text) for text, _, _ in page] for page in parsed]
         hosts, paths = zip(*(keys[i].split("\u0001", 1) for i in order))
@@ -259,13 +265,13 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
                 if wanted and hashed[j] != hashed[i]:
                     template |= template_of(page, parsed[j])
             texts.append(main_text(page, template))
-        out = group.drop_columns(["__key", "__range", "__lines"]).take(pa.array(order))
+        out = group.drop_columns(["__key", "__place", "__range", "__lines"]).take(pa.array(order))
         return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(map(len, texts), pa.int64()))
 
     kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars", html)]
     result = StructType([f for f in schema.fields if f.name in kept]).add("text", "string").add("n_chars", "long")
     return (
-        placed.select(*kept, "__key", "__range", _lines_udf()(F.col(html)).alias("__lines"))
+        placed.select(*kept, "__key", "__place", "__range", _lines_udf()(F.col(html)).alias("__lines"))
         .groupBy("__range").applyInArrow(difference, result)
     )
 

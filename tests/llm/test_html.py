@@ -92,3 +92,13 @@ def test_template_lines_go_inside_an_article(spark):
 def test_articles_that_are_only_teasers():
     for begin, end in (("<aside>", "</aside>"), ("<div class='related'>", "</div>"), ("<div class='comments'>", "</div>")):
         assert kept(f"<div><p>real text</p></div>{begin}<article>teaser</article>{end}") == "real text"
+
+
+def test_rows_of_one_url_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = pages(spark, [(i, None, "<p>same</p>" if i % 2 else f"<p>t{i}</p>") for i in range(2000)])
+    keyed = df.select(html.spread(df, F.concat(html.host(F.col("url")), html.path(F.col("url"))), "html").alias("place"))
+    cuts = html.bounds(keyed, 100)
+    sizes = keyed.groupBy(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("place"))).alias("r")).count().collect()
+    assert 10 <= len(cuts) <= 35 and max(r["count"] for r in sizes) < 400
