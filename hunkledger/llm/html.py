@@ -9,7 +9,8 @@ deleted even where a page has no neighbour.
 
 Pages are dealt by ranges of (host, path, row) whose bounds come from a small hash-picked sample of the
 rows, so a host or one URL with a third of all pages is spread over many tasks, and a page finds its
-neighbours inside its range.  A page at the edge of a range has one neighbour, on its other side.
+neighbours inside its range.  A neighbour is the next page on either side whose lines differ, past copies and
+pages without a line; where it lies in another range, the first and last pages of the ranges are carried over.
 
 html NULL or empty: empty text.  A NULL or odd URL counts as host '' and the path as given.
 Repeated rows each get a result.  Truncated markup ends where the text ends.  Extra columns pass
@@ -18,20 +19,21 @@ through, but not the html itself, which is moved once and then done with; column
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from .common import table
+from .common import stage, table
 
 #: Pages a range should hold, and keys sampled to place each bound.
 RANGE_PAGES = 2_000
@@ -135,7 +137,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
     return found
 
 
-def packed(page: list[tuple[str, bool, bool]]) -> bytes:
+def packed(page: list) -> bytes:
     """A page's lines as they travel to its neighbours: markup gone, deflated."""
     return zlib.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
 
@@ -144,6 +146,10 @@ def unpacked(page: bytes) -> list[tuple[str, bool, bool]]:
     return [tuple(line) for line in json.loads(zlib.decompress(page).decode("utf-8", "surrogatepass"))]
 
 
+def unpacked_page(page: bytes) -> tuple[str, list[tuple[str, bool, bool]]]:
+    return tuple(json.loads(zlib.decompress(page).decode("utf-8", "surrogatepass")))
+
+
 def _lines_udf():
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -217,6 +223,57 @@ def nearest(path: str, before: str | None, after: str | None) -> tuple[bool, boo
     return a >= 0 and a >= b, b >= 0 and b >= a
 
 
+def signature(page: bytes) -> bytes | None:
+    """The same for pages with the same lines; None without a line."""
+    own = unpacked(page)
+    return hashlib.md5(json.dumps([text for text, _, _ in own]).encode()).digest() if own else None
+
+
+def runs_of(hosts: Sequence[str], signs: Sequence[bytes | None]) -> list[list[int]]:
+    """Pages in order, in runs of one host and the same lines; pages without a line are left out."""
+    runs: list[list[int]] = []
+    for i, sign in enumerate(signs):
+        if sign is None:
+            continue
+        if runs and (hosts[runs[-1][0]], signs[runs[-1][0]]) == (hosts[i], sign):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    return runs
+
+
+def differenced(path: str, own: list, sides: list, templates: dict[int, set[int]], texts: dict[tuple[bool, bool], str]) -> str:
+    """Text of a page by its (path, lines) on either side; what is found for its copies is held."""
+    near = nearest(path, *(side and side[0] for side in sides))
+    if near not in texts:
+        for n, (side, wanted) in enumerate(zip(sides, near)):
+            if wanted and n not in templates:
+                templates[n] = template_of(own, side[1])
+        texts[near] = main_text(own, set().union(*(templates[n] for n in (0, 1) if near[n])))
+    return texts[near]
+
+
+def carries(ends: list[tuple[int, str, str, bytes]]) -> list[tuple[int, int, int, str]]:
+    """(range, side, range and role of the page that its first (side 0) or last (1) pages need), from the
+    (range, role, host, signature) of the pages at the ends of each range."""
+    found = {(number, role): (host, bytes(sign)) for number, role, host, sign in ends}
+    numbers = sorted({number for number, *_ in ends})
+    out = []
+    for side, mine, yours, way in ((0, "first0", ("last1", "last0"), numbers), (1, "last0", ("first1", "first0"), numbers[::-1])):
+        past: list[tuple[int, str]] = []  # the last unlike pages, latest at the end
+        for number in way:
+            host, sign = found[number, mine]
+            fit = next((end for end in reversed(past) if found[end] != (host, sign)), None)
+            if fit and found[fit][0] == host:
+                out.append((number, side, *fit))
+            for role in yours:
+                if (number, role) in found:
+                    if past and found[past[-1]] == found[number, role]:
+                        past.pop()
+                    past = [*past[-1:], (number, role)]
+    return out
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -250,30 +307,79 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
     placed = keyed.withColumn("__range", F.size(F.filter(F.lit(cuts).cast("array<string>"), lambda c: c <= F.col("__place"))))
     schema = pages.schema
 
+    kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars", html)]
+    fields = [StructField(f.name, f.dataType, True) for f in schema.fields if f.name in kept]
+    result = StructType(fields).add("text", "string").add("n_chars", "long")
+    dealt = StructType(list(result.fields)).add("__range", "integer").add("__role", "string").add("__host", "string").add("__sign", "binary").add("__pack", "binary")
+    n_ranges = len(cuts) + 1
+
     def difference(group: pa.Table) -> pa.Table:
-        keys, packed, at = group["__key"].to_pylist(), group["__lines"].to_pylist(), group["__place"].to_pylist()
+        keys, packs, at = group["__key"].to_pylist(), group["__lines"].to_pylist(), group["__place"].to_pylist()
+        number = group["__range"][0].as_py()
         order = sorted(range(len(keys)), key=at.__getitem__)
-        parsed = [unpacked(packed[i]) for i in order]
-        hashed = [[hash(text) for text, _, _ in page] for page in parsed]
+        signs, last = [], (None, None)
+        for i in order:
+            if packs[i] != last[0]:
+                last = packs[i], signature(packs[i])
+            signs.append(last[1])
         hosts, paths = zip(*(keys[i].split("\u0001", 1) for i in order))
+        runs = runs_of(hosts, signs)
+        page_at = lambda i: [paths[i], unpacked(packs[order[i]])]
+        out: list[tuple] = [(i, "", 0, "done", None, None, None) for i, sign in enumerate(signs) if sign is None]
+        for k, run in enumerate(runs):
+            sides: list = []
+            for other, edge, place in ((k - 1, number == 0, -1), (k + 1, number == n_ranges - 1, 0)):
+                if 0 <= other < len(runs):
+                    sides.append(page_at(runs[other][place]) if hosts[runs[other][place]] == hosts[run[0]] else None)
+                else:
+                    sides.append(None if edge else "open")
+            own = unpacked(packs[order[run[0]]])
+            texts: dict[tuple[bool, bool], str] = {}
+            templates: dict[int, set[int]] = {}
+            for i in run:
+                if "open" in sides:
+                    out.append((i, None, None, "open", hosts[i], None, packed([paths[i], own, *sides])))
+                else:
+                    text = differenced(paths[i], own, sides, templates, texts)
+                    out.append((i, text, len(text), "done", None, None, None))
+        # what neighbouring ranges may need of this one
+        for role, k, place in (("first0", 0, 0), ("first1", 1, 0), ("last0", -1, -1), ("last1", -2, -1)) if n_ranges > 1 else ():
+            if -len(runs) <= k < len(runs):
+                i = runs[k][place]
+                out.append((None, None, None, role, hosts[i], signs[i], packed(page_at(i))))
+        rows = pa.array([None if o[0] is None else order[o[0]] for o in out], pa.int64())
+        _, text, n_chars, role, host_, sign, pack = zip(*out) if out else [()] * 7
+        found = group.drop_columns(["__key", "__place", "__range", "__lines"]).take(rows)
+        for name, values, kind in (("text", text, pa.string()), ("n_chars", n_chars, pa.int64()), ("__range", [number] * len(out), pa.int32()), ("__role", role, pa.string()), ("__host", host_, pa.string()), ("__sign", sign, pa.binary()), ("__pack", pack, pa.binary())):
+            found = found.append_column(name, pa.array(values, kind))
+        return found
+
+    def finish(group: pa.Table, carried: pa.Table) -> pa.Table:
+        over = {side: unpacked_page(pack) for side, pack in zip(carried["side"].to_pylist(), carried["pack"].to_pylist())}
         texts = []
-        for i, page in enumerate(parsed):
-            sides = [j if 0 <= j < len(parsed) and hosts[j] == hosts[i] else None for j in (i - 1, i + 1)]
-            near = nearest(paths[i], *(None if j is None else paths[j] for j in sides))
-            template: set[int] = set()
-            for j, wanted in zip(sides, near):
-                if wanted and hashed[j] != hashed[i]:
-                    template |= template_of(page, parsed[j])
-            texts.append(main_text(page, template))
-        out = group.drop_columns(["__key", "__place", "__range", "__lines"]).take(pa.array(order))
+        for pack in group["__pack"].to_pylist():
+            path_, own, *sides = json.loads(zlib.decompress(pack).decode("utf-8", "surrogatepass"))
+            sides = [over.get(n) if side == "open" else side for n, side in enumerate(sides)]
+            texts.append(differenced(path_, own, sides, {}, {}))
+        out = group.select(kept)
         return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(map(len, texts), pa.int64()))
 
-    kept = [f for f in schema.fieldNames() if f not in ("text", "n_chars", html)]
-    result = StructType([f for f in schema.fields if f.name in kept]).add("text", "string").add("n_chars", "long")
-    return (
+    told = (
         placed.select(*kept, "__key", "__place", "__range", _lines_udf()(F.col(html)).alias("__lines"))
-        .groupBy("__range").applyInArrow(difference, result)
+        .groupBy("__range").applyInArrow(difference, dealt)
     )
+    if not cuts:
+        return told.select(result.fieldNames())
+    told = stage(told, "main-text")
+    opened_as = told.select(result.fieldNames()).schema  # what is read back may hold NULLs
+    ends = told.filter(~F.col("__role").isin("done", "open"))
+    carry = carries([tuple(r) for r in ends.select("__range", "__role", "__host", "__sign").collect()])
+    spark = pages.sparkSession
+    carry = spark.createDataFrame(carry, "to int, side int, __range int, __role string")
+    carried = ends.select("__range", "__role", "__pack").join(carry, ["__range", "__role"]).select(F.col("to").alias("__range"), "side", F.col("__pack").alias("pack"))
+    opened = told.filter("__role = 'open'").select(*kept, "__range", "__pack")
+    closed = opened.groupBy("__range").cogroup(carried.groupBy("__range")).applyInArrow(finish, opened_as)
+    return told.filter("__role = 'done'").select(result.fieldNames()).unionByName(closed)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,26 @@ def test_rows_of_one_url_are_spread(spark):
     cuts = html.bounds(keyed, 100)
     sizes = keyed.groupBy(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("place"))).alias("r")).count().collect()
     assert 10 <= len(cuts) <= 35 and max(r["count"] for r in sizes) < 400
+
+
+def test_ranges_and_copies_hide_no_neighbour(spark):
+    page = "<div>Menu of {}</div><div>{}</div>"
+    rows, want = [], {}
+    for i in range(600):
+        host, copies = f"h{i // 200}", i % 200 < 120
+        text = "a recrawled text" if copies else f"own text {i}"
+        rows.append((i, f"http://{host}/p?page={i:04d}", page.format(host, text)))
+        want[i] = (text,)
+    rows += [(1000 + i, f"http://h0/p?page={i:04d}x", "") for i in range(100, 140)]
+    rows += [(2000 + i, None, "<p>nobody's</p>") for i in range(100)]
+    want |= {1000 + i: ("",) for i in range(100, 140)} | {2000 + i: ("nobody's",) for i in range(100)}
+    for size in (40, 90, 2000):
+        assert by_id(html.extract(pages(spark, rows), range_pages=size), "text", key="page_id") == want
+
+
+def test_what_is_carried_over_cuts():
+    ends = lambda r, *pages: [(r, role, h, s) for role, (h, s) in zip(("first0", "last0", "first1", "last1"), pages)]
+    a, b, c = ("h", b"a"), ("h", b"b"), ("g", b"c")
+    # b | a ... a | a | a b | c
+    rows = ends(0, b, a, a, b) + ends(1, a, a) + ends(2, a, b, b, a) + ends(4, c, c)
+    assert sorted(html.carries(rows)) == [(0, 1, 2, "first1"), (1, 0, 0, "last1"), (1, 1, 2, "first1"), (2, 0, 0, "last1")]
