@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, lang, licences, merkle, minhash, pii, reputation, suffixes, topk, toxicity
+from . import bpe, decontaminate, html, lang, licences, merkle, minhash, pii, reputation, spelling, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_language_id": lang.op8_language_id,
     "op9_licences": licences.op9_licences,
     "op10_main_text": html.op10_main_text,
+    "op11_spelling": spelling.op11_spelling,
     "op12_merkle": merkle.op12_merkle,
     "op13_url_filter": reputation.op13_url_filter,
 }
-ORACLES = {"op3_top_k": topk.ORACLE, "op12_merkle": merkle.ORACLE, "op13_url_filter": reputation.ORACLE}
+ORACLES = {"op3_top_k": topk.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE, "op13_url_filter": reputation.ORACLE}
