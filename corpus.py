@@ -361,6 +361,27 @@ def audit_lines(entries: DataFrame) -> DataFrame:
     return entries.select("repo", F.expr(AUDIT_LINE).alias("value"))
 
 
+def write_plain_logs(entries: DataFrame, path: str) -> None:
+    """The entries' lines as the command-line tool keeps them, ``<repo>/audit.jsonl`` each, in the order of their numbers.
+    A file that is there is replaced as a whole; a longer one looks like the old one grown."""
+    rows = entries.select("repo", "log_seq", F.expr(AUDIT_LINE).alias("value"))
+
+    def write(lines) -> None:
+        from itertools import groupby
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for repo, own in groupby(lines, key=lambda r: r["repo"]):
+            store.create_dir(f"{root}/{repo}", recursive=True)
+            with store.open_output_stream(f"{root}/{repo}/.writing") as out:
+                for row in own:
+                    out.write(row["value"].encode() + b"\n")
+            store.move(f"{root}/{repo}/.writing", f"{root}/{repo}/audit.jsonl")
+
+    rows.repartition("repo").sortWithinPartitions("repo", "log_seq").foreachPartition(write)
+
+
 def config_errors(scans: DataFrame) -> DataFrame:
     """Scans whose repository configuration could not be read."""
     return scans.where("scan_id % 19 = 4").select("scan_id")

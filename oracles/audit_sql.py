@@ -14,14 +14,26 @@ block("alog", "SELECT " + ", ".join(f'{sql} AS "{name}"' for name, sql in corpus
       + " FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events)")
 # DuckDB takes the first of two equal keys, so the one that is replaced is taken out.
 block("loglines", f"SELECT repo, replace({corpus.AUDIT_LINE}, '{corpus.REPEATED_KEY}', '') AS value FROM alog")
+block("plainlines", f"""
+SELECT repo, log_seq AS seq, replace(raw, '{corpus.REPEATED_KEY}', '') AS value,
+  coalesce(sum(octet_length(encode(raw)) + 1) OVER (PARTITION BY repo ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+FROM (SELECT repo, log_seq, {corpus.AUDIT_LINE} AS raw FROM alog)""")
 _typed = " AND ".join(f"coalesce(json_type(value, '$.{f}'), 'NULL') IN ('VARCHAR', 'NULL')" for f in FIELDS)
-block("decoded", f"""
-SELECT repo, (value->>'$.log_seq')::BIGINT AS log_seq,
+
+
+def decoded_from(lines: str, number: str) -> str:
+    return f"""
+SELECT repo, {number} AS log_seq,
   {', '.join(f"coalesce(value->>'$.{f}', '') AS {f if f != 'timestamp' else '"timestamp"'}" for f in FIELDS)},
   coalesce((value->>'$.line')::BIGINT, 0) AS line
-FROM (SELECT * FROM loglines WHERE value <> '' AND json_valid(value))
+FROM (SELECT * FROM {lines} WHERE value <> '' AND json_valid(value))
 WHERE json_type(value) IN ('OBJECT', 'NULL') AND {_typed}
-  AND coalesce(json_type(value, '$.line'), 'NULL') IN ('UBIGINT', 'BIGINT', 'NULL')""")
+  AND coalesce(json_type(value, '$.line'), 'NULL') IN ('UBIGINT', 'BIGINT', 'NULL')"""
+
+
+block("decoded", decoded_from("loglines", "(value->>'$.log_seq')::BIGINT"))
+block("tailed", decoded_from("plainlines", "place"))
+block("plainrows", """SELECT * REPLACE (row_number() OVER (PARTITION BY repo ORDER BY log_seq) AS log_seq) FROM tailed""")
 
 RFC = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)$"
 
@@ -72,6 +84,7 @@ JOIN {maps[2]} USING (repo) JOIN (SELECT repo, '[' || string_agg('{{"rule":"' ||
 
 blocks_for("r20", "alog", 20)
 blocks_for("r7", "decoded", 7)
+blocks_for("rp", "tailed", 7)
 
 block("btok", """
 SELECT repo, substr(sha256(repo || '|' || reason || '|' || epoch_us(created_at)), 1, 16) AS id, reason, created_at,
@@ -137,6 +150,9 @@ SELECT repo, 4 - rank AS position, value AS severity, n, repeat('█', f) || rep
 FROM (SELECT b.repo, b.value, b.n, """ + sev_rank("b.value") + """ AS rank, greatest(b.n * 20 // t.n, 1)::INT AS f
       FROM r20bd b JOIN r20bd t ON b.repo = t.repo AND t.dimension = 'total' WHERE b.dimension = 'severity')""",
     "periodic_report": "SELECT * FROM r7rep",
+    "plain_report": "SELECT * FROM rprep",
+    "tail_audit": "SELECT * FROM tailed",
+    "read_plain_audit": "SELECT * FROM plainrows",
     "bypass_tokens": f"""
 SELECT repo, id, reason, strftime(created_at, '{_t}') AS created_at, strftime(expires_at, '{_t}') AS expires_at FROM btok""",
     "bypass_match": f"""

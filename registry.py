@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus
@@ -14,10 +14,11 @@ from hunkledger.operators import agents, bypass, context, filters, patches, post
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
 from hunkledger.session import stage, work_path
-from hunkledger.sources.audit import log_lines, read_audit, write_audit
+from hunkledger.sources.audit import log_lines, read_audit, read_plain_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
 from hunkledger.sources.rules import rule_catalogue as catalogue_table
+from hunkledger.streaming import audit as audit_streams
 from hunkledger.streaming.audit import audit_stream
 from hunkledger.streaming.scan import scan_stream
 
@@ -410,6 +411,43 @@ def _(spark, sf_dir):
     return read_audit(spark, audit_log_path(spark, sf_dir))
 
 
+def plain_logs_path(spark, sf_dir):
+    """The log as the command-line tool keeps it: a file for each repository."""
+    key = (spark.sparkContext.applicationId, sf_dir, "plain_logs")
+    if key not in _WRITTEN:
+        path = work_path(spark, "plain_logs")
+        corpus.write_plain_logs(audit_of(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+@named("read_plain_audit")
+def _(spark, sf_dir):
+    """Entries of plain logs; their numbers only say the order, so they are ranked."""
+    entries = read_plain_audit(spark, plain_logs_path(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("log_seq"))
+    return entries.withColumn("log_seq", place.cast("bigint"))
+
+
+@named("plain_report")
+def _(spark, sf_dir):
+    out = work_path(spark, "plain_reports")
+    periodic_report(spark, plain_logs_path(spark, sf_dir), out, AS_OF, plain=True)
+    return report_columns(spark.read.parquet(out))
+
+
+@named("tail_audit")
+def _(spark, sf_dir):
+    """Plain logs read as a stream, then read on after they have grown."""
+    logs, out, checkpoint = (work_path(spark, f"tail_{part}") for part in ("logs", "table", "ckpt"))
+    entries = audit_of(spark, sf_dir)
+    middle = entries.agg(F.expr("(min(log_seq) + max(log_seq)) div 2")).first()[0] or 0
+    for known in (entries.where(F.col("log_seq") <= middle), entries):
+        corpus.write_plain_logs(known, logs)
+        audit_streams.tail_audit(spark, logs, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @named("write_audit")
 def _(spark, sf_dir):
     path = work_path(spark, "written_audit")
