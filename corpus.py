@@ -157,10 +157,15 @@ _SEVERITY = _cases(
 )
 
 
+# Values that a later one with the same key replaces, in answers and in reports.
+REPEATED_ID = '"id":"replaced",'
+REPEATED_CHECK = '"check_id":"replaced",'
+
+
 def _wire(k: int, line: str) -> str:
     fixed = _cases("n % 4", {"= 0": "''", "= 1": "'  '"}, "'safe(' || n || ')'")
     return (
-        f"""'{{"id":"f' || n || '-{k}","severity":"' || {_SEVERITY} || '","vuln_class":"CLASS_' || """
+        f"""'{{' || CASE WHEN n % 8 = 3 THEN '{REPEATED_ID}' ELSE '' END || '"id":"f' || n || '-{k}","severity":"' || {_SEVERITY} || '","vuln_class":"CLASS_' || """
         f"""(n % 7) || '","description":"finding {k}","line_number":' || {line} || """
         f"""',"code_snippet":"snippet ' || (n % 3) || '","confidence":' || {_CONFIDENCE} || """
         f"""',"cwe":"CWE-' || (n % 9) || '","fix":{{"fixed_line":"' || {fixed} || """
@@ -186,7 +191,8 @@ _ESCAPED = f"replace(replace({_FENCED}, '\"', chr(92) || '\"'), chr(10), chr(92)
 RESPONSE_BODY = (
     "CASE WHEN n % 47 = 11 THEN '{\"choices\":[]}' WHEN n % 53 = 12 THEN '{\"choices\": 5}' "
     "WHEN n % 61 = 14 THEN '{\"choices\": [' ELSE "
-    f"'{{\"choices\":[{{\"message\":{{\"role\":\"assistant\",\"content\":\"' || {_ESCAPED} || '\"}}}}]}}' "
+    "'{' || CASE WHEN n % 9 = 4 THEN '\"model\":\"a\",\"model\":\"b\",' ELSE '' END || "
+    f"'\"choices\":[{{\"message\":{{\"role\":\"assistant\",\"content\":\"' || {_ESCAPED} || '\"}}}}]}}' "
     "|| CASE WHEN n % 59 = 13 THEN ' trailing' ELSE '' END END"
 )
 RESPONSE_STATUS = (
@@ -232,7 +238,8 @@ def agent_responses(requests: DataFrame, chain: DataFrame) -> DataFrame:
 
 _RESULT_LINE = "(1 + (scan_id * 7 + file_ord) % (n_added + 2))"
 SCANNER_RESULT = (
-    "'{\"check_id\":\"scanner.rule-' || (scan_id % 5) || '\",\"path\":\"/tmp/scan/' || "
+    f"'{{' || CASE WHEN scan_id % 4 = 1 THEN '{REPEATED_CHECK}' ELSE '' END || "
+    "'\"check_id\":\"scanner.rule-' || (scan_id % 5) || '\",\"path\":\"/tmp/scan/' || "
     "CASE WHEN file_ord % 4 = 3 THEN 'unknown.go' ELSE flat END || '\",\"start\":{\"line\":' || "
     f"{_RESULT_LINE} || ',\"col\":1}},\"end\":{{\"line\":' || ({_RESULT_LINE} + 1) || "
     "',\"col\":9},\"extra\":{\"message\":\"scanner finding\",\"severity\":\"' || "
@@ -244,6 +251,7 @@ SCANNER_REPORT = (
     "WHEN scan_id % 19 = 7 THEN '{\"results\": null, \"errors\": []}' "
     "WHEN scan_id % 23 = 8 THEN '{\"results\": [{\"check_id\": 5}]}' "
     "WHEN scan_id % 29 = 9 THEN '{\"results\": []} tail' "
+    "WHEN scan_id % 5 = 2 THEN '{\"version\":\"1\",\"version\":\"2\",\"results\":[' || results || '],\"errors\":[]}' "
     "ELSE '{\"results\":[' || results || '],\"errors\":[]}' END"
 )
 

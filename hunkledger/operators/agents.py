@@ -215,8 +215,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """Attempts from recorded responses: findings, or the named failure.
 
     The response itself may carry text after its first JSON value; the answer inside it
-    must be exactly one JSON value of the expected types.
+    must be exactly one JSON value of the expected types.  Of a repeated key the last value
+    counts, in both.
     """
+    J.keep_last_key(responses.sparkSession)
     keep = [c for c in responses.columns if c not in ("body", "status_error")]
     outer = response_status(responses).select("*", held(F.try_parse_json("body")).alias("_outer"))
     choice_ok = lambda c: (

@@ -39,8 +39,10 @@ def _result(r: Column) -> Column:
 def scanner_report(reports: DataFrame) -> DataFrame:
     """Per scan: status (``ok``, ``scanner_error``, ``unavailable``) and its results.
 
-    Exit codes 0 and 1 carry a report; an empty report is one without results.
+    Exit codes 0 and 1 carry a report; an empty report is one without results.  Of a
+    repeated key the last value counts.
     """
+    J.keep_last_key(reports.sparkSession)
     doc = F.col("_doc")
     parsed = reports.select("*", held(J.strict_variant(F.col("report"))).alias("_doc"))
     readable = (F.col("report") == "") | (

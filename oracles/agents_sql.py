@@ -85,7 +85,7 @@ _opened = (
     "CASE WHEN starts_with(t, '```json') THEN substr(t, 8) WHEN starts_with(t, '```') THEN substr(t, 4) ELSE t END"
 )
 block("ainner", f"""
-SELECT *, {trim("CASE WHEN ends_with(o, '```') THEN left(o, length(o) - 3) ELSE o END")} AS ans
+SELECT *, replace({trim("CASE WHEN ends_with(o, '```') THEN left(o, length(o) - 3) ELSE o END")}, '{corpus.REPEATED_ID}', '') AS ans
 FROM (SELECT *, {_opened} AS o FROM (SELECT *, {trim(_content)} AS t FROM aouter))""")
 _bad_line = (
     "len(list_filter(CASE WHEN json_type(ans, '$.findings') = 'ARRAY' THEN json_extract(ans, '$.findings[*]') ELSE [] END, "
@@ -154,7 +154,7 @@ SELECT f.*, coalesce(c, 0) AS n_added FROM flats f
 LEFT JOIN (SELECT scan_id, file_ord, count(*) AS c FROM adds GROUP BY ALL) USING (scan_id, file_ord)""")
 block("sreports", f"""
 SELECT scan_id, scan_id % 3 <> 0 AS available, CASE WHEN scan_id % 11 = 4 THEN 2 ELSE scan_id % 2 END AS exit_code,
-       {corpus.SCANNER_REPORT} AS report
+       replace({corpus.SCANNER_REPORT}, '{corpus.REPEATED_CHECK}', '') AS report
 FROM (SELECT scan_id, string_agg({corpus.SCANNER_RESULT}, ',' ORDER BY file_ord) AS results FROM nadded GROUP BY scan_id)""")
 block("sstatus", """
 SELECT *, CASE WHEN NOT available THEN 'unavailable' WHEN exit_code NOT IN (0, 1) THEN 'scanner_error'
