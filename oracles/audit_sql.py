@@ -157,6 +157,10 @@ FROM (SELECT b.repo, b.value, b.n, """ + sev_rank("b.value") + """ AS rank, grea
 SELECT repo, id, reason, strftime(created_at, '{_t}') AS created_at, strftime(expires_at, '{_t}') AS expires_at FROM btok""",
     "bypass_match": f"""
 SELECT scan_id, repo, token_id, reason, strftime(scan_ts, '{_t}') AS scan_ts, strftime(created_at, '{_t}') AS created_at FROM bmatch""",
+    "bypass_stream": f"""
+SELECT scan_id, repo, token_id, reason, strftime(scan_ts, '{_t}') AS scan_ts, strftime(created_at, '{_t}') AS created_at
+FROM bmatch WHERE scan_ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY
+  FROM (SELECT created_at AS ts FROM btok UNION ALL SELECT scan_ts FROM escans))""",
     "bypass_audit": _bypass_rows,
     "unscanned_commits": _commit_rows,
     "audit_append": f"""

@@ -20,6 +20,7 @@ from hunkledger.sources.findings import write_findings
 from hunkledger.sources.rules import rule_catalogue as catalogue_table
 from hunkledger.streaming import audit as audit_streams
 from hunkledger.streaming.audit import audit_stream
+from hunkledger.streaming.bypass import bypass_stream
 from hunkledger.streaming.scan import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,6 +585,20 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{out}/verdicts").drop("batch_id")
 
 
+@named("bypass_stream")
+def _(spark, sf_dir):
+    """Issues and scans of the events, arriving in three runs up to a day late; settled matches only."""
+    issues, scans, out, checkpoint = (work_path(spark, f"bypass_{part}") for part in ("issues", "scans", "matches", "ckpt"))
+    tables = {issues: (corpus.bypass_issues(spark, sf_dir), "created_at"), scans: (corpus.event_scans(spark, sf_dir).drop("commit"), "scan_ts")}
+    for cut in ("< 10", "BETWEEN 10 AND 19", "> 19"):
+        for path, (rows, at) in tables.items():
+            arrival = F.col(at) + F.make_interval(secs=F.pmod(F.xxhash64("repo", at), F.lit(86_400)).cast("decimal(18,6)"))
+            arrived = rows.withColumn("day", F.datediff(arrival, F.lit("2024-01-01"))).where(f"day {cut}").drop("day")
+            arrived.write.mode("append").parquet(path)
+        bypass_stream(spark, issues, scans, out, checkpoint, watermark="1 day").awaitTermination()
+    return spark.read.parquet(out).select("scan_id", "repo", "token_id", "reason", text_time("scan_ts"), text_time("created_at"))
+
+
 # --- Related files ------------------------------------------------------------------
 
 
