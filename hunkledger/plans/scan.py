@@ -23,6 +23,7 @@ from ..catalogue import (
     AgentRule,
     LineRule,
 )
+from ..functions.strict_json import keep_last_key
 from ..functions.text import last_dot_ext
 from ..operators import agents, post, rule_scan, scanner
 from ..operators.diffs import sections_and_scans, with_added
@@ -105,6 +106,15 @@ def run_scan(
     findings, which counts, verdicts and listings read.
     """
     digest, path = stage(file_digest(inputs.diffs, options), "digest")
+    return scan_of_digest(digest, path, inputs, options, keep_findings)
+
+
+def scan_of_digest(
+    digest: DataFrame, path: str, inputs: ScanInputs, options: ScanOptions = ScanOptions(), keep_findings: bool = True
+) -> ScanResult:
+    """The scan from a staged ``file_digest`` on; ``inputs.diffs`` is not read."""
+    # a stream's batches have a session of their own, and the reports are decoded in it
+    keep_last_key(digest.sparkSession)
     paths = [path]
     scans = digest.where(F.col("file_ord") == 0).select(
         *[c for c in ("scan_id", "repo", "scan_ts") if c in digest.columns],

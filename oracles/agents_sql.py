@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus
 from hunkledger.catalogue import (
     AGENT_RULES,
@@ -13,7 +15,7 @@ from hunkledger.catalogue import (
     SYSTEM_PROMPT,
 )
 
-from .core import block, lit
+from .core import BLOCKS, block, lit
 from .text import path_ext, sev_name, sev_rank, trim
 
 NL = "chr(10)"
@@ -229,6 +231,16 @@ FROM (SELECT d.scan_id, coalesce(c.n_findings, 0) AS nf, coalesce(n_error + n_cr
        WHEN n_error + n_critical > 0 THEN 'blocked' ELSE 'passed_with_findings' END AS status
   FROM diffs d LEFT JOIN fcounts c USING (scan_id))""")
 
+
+# The same gate where the reports of some scans never came.
+_gate = ("p1", "allf", "livef", "finalf", "fcounts", "verdicts")
+for _name in _gate:
+    _sql = BLOCKS[_name].replace("WHERE status = 'ok'", "WHERE status = 'ok' AND scan_id % 6 <> 1")
+    _sql = _sql.replace("FROM sfindings", "FROM sfindings WHERE scan_id % 6 <> 1")
+    for _other in _gate:
+        _sql = re.sub(rf"\b{_other}\b", f"late_{_other}", _sql)
+    block(f"late_{_name}", _sql)
+
 _body = (
     "'{\"model\":\"gemini-2.0-flash\",\"messages\":[{\"role\":\"system\",\"content\":' || to_json("
     + lit(SYSTEM_PROMPT) + ")::VARCHAR || '},{\"role\":\"user\",\"content\":' || to_json(m)::VARCHAR || '}],\"temperature\":0.1}'"

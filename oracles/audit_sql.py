@@ -174,4 +174,5 @@ SELECT 'monthly', strftime(e - INTERVAL 30 DAY, '{_t}'), strftime(e, '{_t}'), re
 FROM (SELECT repo, severity, n, unnest(generate_series(d + INTERVAL 1 DAY, d + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS e FROM sdays), smark
 WHERE e <= wm GROUP BY ALL""",
     "scan_stream": "SELECT * FROM verdicts",
+    "late_scan_stream": "SELECT * FROM late_verdicts",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from hunkledger.sources.rules import rule_catalogue as catalogue_table
 from hunkledger.streaming import audit as audit_streams
 from hunkledger.streaming.audit import audit_stream
 from hunkledger.streaming.bypass import bypass_stream
-from hunkledger.streaming.scan import scan_stream
+from hunkledger.streaming.scan import late_scan_stream, scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -585,6 +586,34 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{out}/verdicts").drop("batch_id")
 
 
+@named("late_scan_stream")
+def _(spark, sf_dir):
+    """Diffs first, their answers next, then the reports; one scan in six never gets its report.  A last, empty diff a month later
+    lets the watermark pass all of them."""
+    diffs = diffs_of(spark, sf_dir)
+    at, number = diffs.select("scan_id", "scan_ts"), F.col("scan_id")
+    # a month of scans or more arrives at once, so the watermark stays behind all of them
+    later = lambda minutes: F.col("scan_ts") + F.make_interval(mins=(number % minutes).cast("int"))
+    answer = [c for c in responses_of(spark, sf_dir).columns if c != "scan_id"]
+    answers = responses_of(spark, sf_dir).groupBy("scan_id").agg(F.collect_list(F.struct(*answer)).alias("answers"))
+    arrivals = (
+        ("diffs", diffs.select("scan_id", "repo", "scan_ts", "raw")),
+        ("answers", answers.join(at, "scan_id").select("scan_id", "answers", later(50).alias("answers_ts"))),
+        ("reports", reports_of(spark, sf_dir).where("scan_id % 6 <> 1").join(at, "scan_id").select(
+            "scan_id", "available", "exit_code", "report", later(60).alias("report_ts"))),
+        ("diffs", at.agg(F.max("scan_ts")).select(
+            F.lit(-1).cast("bigint").alias("scan_id"), F.lit("none").alias("repo"), (F.col("max(scan_ts)") + F.expr("INTERVAL 400 DAYS")).alias("scan_ts"), F.lit("").alias("raw"))),
+    )
+    paths = {name: work_path(spark, f"late_{name}") for name in ("diffs", "reports", "answers", "out", "ckpt")}
+    others = replace(scan_inputs(spark, sf_dir), diffs=None, scanner_reports=None, agent_responses=None)
+    for name in ("reports", "answers"):
+        dict(arrivals)[name].limit(0).write.parquet(paths[name])
+    for name, rows in arrivals:
+        rows.write.mode("append").parquet(paths[name])
+        late_scan_stream(spark, *paths.values(), watermark="300 days", wait="1 hour", others=others).awaitTermination()
+    return spark.read.parquet(f"{paths['out']}/verdicts").where("scan_id >= 0").drop("batch_id")
+
+
 @named("bypass_stream")
 def _(spark, sf_dir):
     """Issues and scans of the events, arriving in three runs up to a day late; settled matches only."""
