@@ -201,7 +201,8 @@ def accepted_patches(decisions: DataFrame, patches: DataFrame, checks: DataFrame
 
 def patched_files(applied: DataFrame, repo_files: DataFrame) -> DataFrame:
     """New text of every file changed by the given patches."""
-    edits = _edits(_hunks(applied)).where(F.col("kind") != "ctx")
+    # parsed once: kept lines, inserts and the list of files all read the edits
+    edits, _ = stage(_edits(_hunks(applied)).where(F.col("kind") != "ctx"), "patch-edits")
     inserts = edits.where(F.col("kind") == "add").select(
         *_FILE, "at", "finding_ord", "line_ord", "content"
     )
@@ -245,11 +246,15 @@ def patched_files(applied: DataFrame, repo_files: DataFrame) -> DataFrame:
 def patch_apply(
     decisions: DataFrame, patches: DataFrame, repo_files: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, files): which accepted patches went in, and the files they produce."""
-    accepted = accepted_patches(decisions, patches, patch_check(patches, repo_files))
-    outcomes = apply_order(accepted)
+    """(outcomes, files): which accepted patches went in, and the files they produce.
+
+    The accepted patches and the outcomes (ids only) are staged: every branch of the result reads them, and none
+    checks patches or settles their order again.
+    """
+    accepted, _ = stage(accepted_patches(decisions, patches, patch_check(patches, repo_files)), "accepted-patches")
+    outcomes, _ = stage(apply_order(accepted), "patch-outcomes")
     done = outcomes.where("applied").select(*ID)
-    return outcomes, patched_files(patches.join(done, list(ID), "left_semi"), repo_files)
+    return outcomes, patched_files(accepted.join(done, list(ID), "left_semi"), repo_files)
 
 
 def review_outcomes(findings: DataFrame, patches: DataFrame, outcomes: DataFrame) -> DataFrame:

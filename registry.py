@@ -588,7 +588,7 @@ def _(spark, sf_dir):
 
 @named("late_scan_stream")
 def _(spark, sf_dir):
-    """Diffs first, their answers next, then the reports; one scan in six never gets its report.  A last, empty diff a month later
+    """Diffs and their answers first, then the reports; one scan in six never gets its report.  A last, empty diff a year later
     lets the watermark pass all of them."""
     diffs = diffs_of(spark, sf_dir)
     at, number = diffs.select("scan_id", "scan_ts"), F.col("scan_id")
@@ -597,19 +597,19 @@ def _(spark, sf_dir):
     answer = [c for c in responses_of(spark, sf_dir).columns if c != "scan_id"]
     answers = responses_of(spark, sf_dir).groupBy("scan_id").agg(F.collect_list(F.struct(*answer)).alias("answers"))
     arrivals = (
-        ("diffs", diffs.select("scan_id", "repo", "scan_ts", "raw")),
-        ("answers", answers.join(at, "scan_id").select("scan_id", "answers", later(50).alias("answers_ts"))),
-        ("reports", reports_of(spark, sf_dir).where("scan_id % 6 <> 1").join(at, "scan_id").select(
-            "scan_id", "available", "exit_code", "report", later(60).alias("report_ts"))),
-        ("diffs", at.agg(F.max("scan_ts")).select(
-            F.lit(-1).cast("bigint").alias("scan_id"), F.lit("none").alias("repo"), (F.col("max(scan_ts)") + F.expr("INTERVAL 400 DAYS")).alias("scan_ts"), F.lit("").alias("raw"))),
+        {"diffs": diffs.select("scan_id", "repo", "scan_ts", "raw"),
+         "answers": answers.join(at, "scan_id").select("scan_id", "answers", later(50).alias("answers_ts"))},
+        {"reports": reports_of(spark, sf_dir).where("scan_id % 6 <> 1").join(at, "scan_id").select(
+            "scan_id", "available", "exit_code", "report", later(60).alias("report_ts"))},
+        {"diffs": at.agg(F.max("scan_ts")).select(
+            F.lit(-1).cast("bigint").alias("scan_id"), F.lit("none").alias("repo"), (F.col("max(scan_ts)") + F.expr("INTERVAL 400 DAYS")).alias("scan_ts"), F.lit("").alias("raw"))},
     )
     paths = {name: work_path(spark, f"late_{name}") for name in ("diffs", "reports", "answers", "out", "ckpt")}
     others = replace(scan_inputs(spark, sf_dir), diffs=None, scanner_reports=None, agent_responses=None)
-    for name in ("reports", "answers"):
-        dict(arrivals)[name].limit(0).write.parquet(paths[name])
-    for name, rows in arrivals:
-        rows.write.mode("append").parquet(paths[name])
+    arrivals[1]["reports"].limit(0).write.parquet(paths["reports"])
+    for tables in arrivals:
+        for name, rows in tables.items():
+            rows.write.mode("append").parquet(paths[name])
         late_scan_stream(spark, *paths.values(), watermark="300 days", wait="1 hour", others=others).awaitTermination()
     return spark.read.parquet(f"{paths['out']}/verdicts").where("scan_id >= 0").drop("batch_id")
 
