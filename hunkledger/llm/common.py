@@ -45,11 +45,11 @@ def in_batches(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterato
         yield held
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

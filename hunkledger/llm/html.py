@@ -60,11 +60,31 @@ BOILERPLATE = frozenset(
 )
 #: Those of them whose articles are not the page's own.
 OTHERS = frozenset("ad ads advert adverts advertisement advertising comment comments disqus promo promoted related replies sponsored".split())
+#: Names of more than one part that mean the same.
+COMPOUNDS = frozenset("global-footer global-header main-footer page-footer site-footer site-header site-nav".split())
+#: Last parts of a name that only say what kind of box it is: a ``comment-list`` is made of comments.
+BOXES = frozenset(
+    "area articles banner bar block body bottom box container content feed form inner item items left link links list modal "
+    "panel posts right section slot stories thread top unit widget wrap wrapper".split()
+)
+#: First parts of a name that speak of something else than the element itself: ``has-sidebar``.
+STATES = frozenset("has hide is no show with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def names(token: str) -> tuple[str, ...]:
+    """What a class or id says the element is: the name itself and its last part that is no kind of box.  ``comment-list`` is about
+    comments, ``share-price`` about a price, ``has-sidebar`` about something else."""
+    parts = re.split("[-_]+", token.strip("-_"))
+    if len(parts) == 1 or parts[0] in STATES:
+        return (token,)
+    while len(parts) > 1 and parts[-1] in BOXES:
+        parts.pop()
+    return token.replace("_", "-"), parts[-1]
+
+
 def boilerplate(name: str, attrs: str) -> int:
     """0: may hold main text; 1: not, unless the page's article is inside; 2: nor its articles."""
     if name in MAIN or name in ("html", "body"):
@@ -76,7 +96,8 @@ def boilerplate(name: str, attrs: str) -> int:
         for key, *values in _ATTR.findall(attrs):
             key, words = key.lower(), "".join(values).lower().split()
             if key in ("class", "id"):
-                level = max(level, 0 if BOILERPLATE.isdisjoint(words) else 1, 0 if OTHERS.isdisjoint(words) else 2)
+                words = [meant for word in words for meant in names(word)]
+                level = max(level, 0 if BOILERPLATE.isdisjoint(words) and COMPOUNDS.isdisjoint(words) else 1, 0 if OTHERS.isdisjoint(words) else 2)
             elif key == "role" and not ROLES.isdisjoint(words):
                 level = max(level, 1 if "form" in words else 2)
     return level
@@ -162,9 +183,19 @@ def _lines_udf():
 def shared(own: list[int], other: list[int]) -> set[int]:
     """Positions of ``own`` in a longest common subsequence with ``other``.
 
-    Hunt-Szymanski: the pairs of equal lines, by decreasing place in ``other`` within each own line,
-    hold a longest increasing run; work is proportional to the number of equal pairs.
+    What both begin and end with is in it.  Between, Hunt-Szymanski: the pairs of equal lines, by decreasing place in ``other``
+    within each own line, hold a longest increasing run; work is proportional to the number of equal pairs there.
     """
+    least = min(len(own), len(other))
+    begin = next((i for i in range(least) if own[i] != other[i]), least)
+    end = next((i for i in range(least - begin) if own[-1 - i] != other[-1 - i]), least - begin)
+    if begin or end:
+        inner = shared_between(own[begin : len(own) - end], other[begin : len(other) - end])
+        return {*range(begin), *(begin + i for i in inner), *range(len(own) - end, len(own))}
+    return shared_between(own, other)
+
+
+def shared_between(own: list[int], other: list[int]) -> set[int]:
     places: dict[int, list[int]] = {}
     for j, line in enumerate(other):
         places.setdefault(line, []).append(j)
@@ -370,7 +401,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", range_pages:
     )
     if not cuts:
         return told.select(result.fieldNames())
-    told = stage(told, "main-text")
+    # zstd: the texts lie there until the few open pages have met what is carried to them
+    told = stage(told, "main-text", compression="zstd")
     opened_as = told.select(result.fieldNames()).schema  # what is read back may hold NULLs
     ends = told.filter(~F.col("__role").isin("done", "open"))
     carry = carries([tuple(r) for r in ends.select("__range", "__role", "__host", "__sign").collect()])

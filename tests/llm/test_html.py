@@ -78,6 +78,19 @@ def test_only_whole_class_names_are_boilerplate():
     assert kept("<div class='x ads'>Buy</div><p>main</p>") == "main"
 
 
+def test_compound_names_go_by_what_they_are_about():
+    for name in ("comment-list", "user-comments", "comments_area", "cookie-banner", "site-footer", "ad-slot", "sidebar-left", "related-posts", "top-nav", "newsletter-signup"):
+        assert kept(f"<div class='{name}'>x</div><p>main</p>") == "main", name
+        assert kept(f"<article><p>main</p><div id={name}>x</div></article>") == "main", name
+    for name in ("no-sidebar", "has-sidebar", "with-ads", "share-price", "header-large", "ad-free", "search-results", "entry-header", "blog-posts", "content", "comment-count", "list", "-", "_"):
+        assert kept(f"<div class='{name}'>x</div><p>main</p>") == "x\n\nmain", name
+
+
+def test_pages_of_very_many_equal_lines():
+    own = ["same"] * 100_000
+    assert len(html.shared(own, own[:-1])) == 99_999
+
+
 def test_template_lines_go_inside_an_article(spark):
     page = "<article><h1>Title {0}</h1><p>By the editors</p><p>{1}</p><p>Read more on our site</p></article>"
     own = ["a long text of one page about the sea and its many ships " * 2, "some other words on mountains, valleys and the snow up there " * 2]
