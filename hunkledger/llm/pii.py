@@ -7,7 +7,8 @@ private; a match that fails its validator, or a short number, is not), score the
 reaches ``PRECISION`` on texts kept out of training selects the spans to add; base spans always stay.
 
 Training counts the feature vectors of all candidates of all documents; the trees are fitted on at most
-``TRAIN_PATTERNS`` distinct vectors, weighted by their counts.  The trees then are plain column expressions, so
+``TRAIN_PATTERNS`` distinct vectors, weighted by their counts.  The threshold comes from the running precision over all
+margins, one row for each distinct margin (a sum of leaves, rounded to six digits).  The trees then are plain column expressions, so
 scoring happens in each document's row, without shuffle or join.
 
 Places are code points, ends exclusive.  NULL texts count as empty.  Repeated rows each get a result; extra
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hunkledger.functions import arrays
@@ -226,12 +227,10 @@ def fit(docs: DataFrame, text: str = "text", patterns: int = TRAIN_PATTERNS, tre
     model = Model([(float(w), t.toDebugString) for w, t in zip(fitted.treeWeights, fitted.trees)], None)
     x = F.struct(*FEATURES)
     margins = counted.filter("kept").withColumn("m", F.round(model.margin(x), 6)).groupBy("m").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("hits"))
-    # margins are sums of leaves: few; the largest sets whose share of private ones is high enough
-    seen = right = 0.0
-    for row in margins.orderBy(F.desc("m")).limit(100_000).toLocalIterator():
-        seen, right = seen + row["n"], right + row["hits"]
-        if right >= precision * seen and row["m"] > 0:
-            model.threshold = row["m"]
+    # the least margin down to which the share of private ones is high enough; the driver gets that one number
+    down = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
+    running = margins.select("m", F.sum("n").over(down).alias("seen"), F.sum("hits").over(down).alias("right"))
+    model.threshold = running.filter((F.col("right") >= precision * F.col("seen")) & (F.col("m") > 0)).agg(F.min("m")).first()[0]
     return model
 
 
