@@ -28,12 +28,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays, once.  Rows without an id stay."""
+    """Of each class of near copies the document with the smallest id stays, once.  Rows without an id stay.
+
+    An id that stands for unlike texts names no document, so all its texts stay; only rows equal in id and text are one.
+    """
     ship(spark)
-    classes = minhash.near_duplicates(docs)
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    named = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    several = stage(named.filter("lo <> hi").select("doc_id"), "pipeline-unlike-texts")
+    rest, clear = docs.filter("doc_id IS NULL"), docs
+    if not several.isEmpty():
+        clear = docs.join(several, "doc_id", "left_anti")
+        rest = rest.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    classes = minhash.near_duplicates(clear)
     first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    kept = clear.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(rest.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
