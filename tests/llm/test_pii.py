@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     out = pii.find(with_clashes(odd_docs(spark), "spans", "n_ip"), pii.Model([], None))
     assert out.count() == 8 and out.columns.count("spans") == 1 and "extra" in out.columns
     assert pii.find(odd_docs(spark).limit(0), pii.Model([], None)).count() == 0
+
+
+def test_threshold_is_the_least_margin_that_is_precise_enough(spark):
+    rows = [(i, f"mail user{i}@example.org, order {i % 97:05}, ip 10.0.{i % 256}.{i % 199}, ref 999.{i}.1.{i % 7}") for i in range(400)]
+    df = docs(spark, rows)
+    model = pii.fit(df)
+    kept = df.filter("pmod(xxhash64(text), 4) = 0")
+    told = pii.candidates(kept.select("text"), "text")
+    told = told.withColumn("b", pii.base_spans()).select(pii.F.inline(pii.F.transform("__c", lambda c: pii.F.struct(c["x"].alias("x"), pii.truth(c, pii.F.col("b")).alias("y")))))
+    pairs = sorted(((round(r["m"], 6), r["y"]) for r in told.filter("y IS NOT NULL").select(model.margin(pii.F.col("x")).alias("m"), "y").collect()), reverse=True)
+    fits = [m for m in {m for m, _ in pairs} if m > 0 and (own := [y for n, y in pairs if n >= m]) and sum(own) >= 0.95 * len(own)]
+    assert fits and abs(model.threshold - min(fits)) < 1e-9

@@ -67,6 +67,15 @@ def test_run_equals_brute_force(spark):
     assert {120, 131, 132, 133, 101, 110}.isdisjoint(got) and {3, 100, 121, 130, 134} <= set(got)
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    prose = corpus()
+    one, other, copy = prose[0][1], prose[1][1], prose[2][1]
+    rows = [(1, one), (1, other), (1, other), (2, copy), (3, copy), (None, one), (None, one)]
+    full = [(i, t, "xx", "s", len(t)) for i, t in rows]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(full, DOCS), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, one), (1, other), (2, copy), (0, one), (0, one)])
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
