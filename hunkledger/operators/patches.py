@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import held, let
 from ..functions.ranking import add_rank
 from ..functions.text import severity_name
 from ..functions.times import rfc3339
@@ -17,6 +18,8 @@ from .diffs import file_sections, hunk_rows, lines_of_hunks
 ID = ("scan_id", "finding_ord")
 _FILE = ("scan_id", "path")
 _HUNK = (*ID, "file_ord", "hunk_ord")
+#: Moves of a run of the sweep.
+SWEEP_RUN = 512
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
@@ -126,15 +129,82 @@ def _footprint(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _contested(points: DataFrame) -> DataFrame:
-    """Points that a patch reads and an earlier patch writes, with all who touch them."""
+    """Points that a patch reads and an earlier patch writes, with all who touch them and
+    ``last_read``, the last patch that reads the point."""
     place = [*_FILE, "point"]
-    first = points.where("writes").groupBy(*place).agg(F.min("finding_ord").alias("_first"))
-    met = (
-        points.where("reads").join(first, place)
-        .where(F.col("_first") < F.col("finding_ord"))
-        .select(*place).distinct()
+    met = points.groupBy(*place).agg(
+        F.min(F.when(F.col("writes"), F.col("finding_ord"))).alias("_first"),
+        F.max(F.when(F.col("reads"), F.col("finding_ord"))).alias("last_read"),
+    ).where(F.col("_first") < F.col("last_read"))
+    return points.join(met.drop("_first"), place)
+
+
+def _sweep(moves: Column) -> Column:
+    """Numbers of the patches that fail, from moves in order.
+
+    ``open`` holds the written points that a later patch still reads; a point leaves it after its
+    last reader, so a step costs what lies open there, not all that was written before.  The
+    failed ones are gathered in runs of ``SWEEP_RUN`` moves, because appending copies a list.
+    """
+
+    def step(state: Column, move: Column) -> Column:
+        live = F.filter(state["open"], lambda p: p["last_read"] >= move["finding_ord"])
+
+        def judged(now: Column) -> Column:
+            fails = F.arrays_overlap(F.transform(now, lambda p: p["name"]), move["reads"])
+            return F.struct(now.alias("open"), fails.alias("fails"))
+
+        def moved(seen: Column) -> Column:
+            return F.struct(
+                F.when(seen["fails"], seen["open"])
+                .otherwise(F.array_union(seen["open"], move["writes"])).alias("open"),
+                F.when(seen["fails"], F.array_append(state["lost"], move["finding_ord"]))
+                .otherwise(state["lost"]).alias("lost"),
+            )
+
+        return let(let(live, judged), moved)
+
+    nobody = F.array().cast("array<bigint>").alias("lost")
+
+    def run(state: Column, part: Column) -> Column:
+        start = F.struct(state["open"].alias("open"), nobody)
+        return let(
+            F.aggregate(part, start, step),
+            lambda end: F.struct(
+                end["open"].alias("open"), F.concat(state["lost"], end["lost"]).alias("lost")
+            ),
+        )
+
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(moves), F.lit(SWEEP_RUN)), lambda i: F.slice(moves, i, F.lit(SWEEP_RUN))
+    )
+    none = F.struct(F.array().cast("array<struct<name:string,last_read:bigint>>").alias("open"), nobody)
+    return F.aggregate(runs, none, run, lambda s: s["lost"])
+
+
+def failing(points: DataFrame) -> DataFrame:
+    """scan_id, finding_ord of the patches that an earlier applied one keeps out.
+
+    ``points``: who reads and writes which place of which file.  The moves of one file (of one
+    scan, where a patch spans files) are swept in order.
+    """
+    name = F.concat_ws(":", "path", "point.kind", F.col("point.at").cast("string"))
+    later = F.col("writes") & (F.col("last_read") > F.col("finding_ord"))
+    moves = _contested(points).groupBy(*ID).agg(
+        F.collect_list(F.when(F.col("reads"), name)).alias("reads"),
+        F.collect_list(F.when(later, F.struct(name.alias("name"), "last_read"))).alias("writes"),
+        F.min("path").alias("path"), F.max("path").alias("_last"),
+    )
+    spans = F.max(F.when(F.col("path") != F.col("_last"), 1).otherwise(0))
+    whole = spans.over(Window.partitionBy("scan_id")) == 1
+    moves = moves.withColumn("part", F.when(whole, F.lit("")).otherwise(F.col("path")))
+    ordered = moves.groupBy("scan_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("finding_ord", "reads", "writes"))).alias("moves")
+    )
+    # behind a generator the sorted list is built once, not once for each run
+    return ordered.select("scan_id", held(F.col("moves")).alias("moves")).select(
+        "scan_id", F.explode(_sweep(F.col("moves"))).alias("finding_ord")
     )
-    return points.join(met, place, "left_semi")
 
 
 def apply_order(accepted: DataFrame) -> DataFrame:
@@ -142,9 +212,8 @@ def apply_order(accepted: DataFrame) -> DataFrame:
 
     A patch fails when an earlier applied patch changed what it reads.  Patches meet
     through the points they touch, never pairwise, and only contested points matter.  Whether
-    a patch goes in depends on all that went in before it, so the patches of one file (of
-    one scan, where a patch spans files) are folded in order, one short row each; a chain of any
-    length takes one pass.
+    a patch goes in depends on all that went in before it, so the points are swept in the
+    order of the patches.
     """
     reads, writes = _footprint(_edits(_hunks(accepted)))
     yes, no = F.lit(True), F.lit(False)
@@ -157,35 +226,7 @@ def apply_order(accepted: DataFrame) -> DataFrame:
         ),
         "patch-points",
     )
-    name = F.concat_ws(":", "path", "point.kind", F.col("point.at").cast("string"))
-    moves = _contested(points).groupBy(*ID).agg(
-        F.collect_list(F.when(F.col("reads"), name)).alias("reads"),
-        F.collect_list(F.when(F.col("writes"), name)).alias("writes"),
-        F.min("path").alias("path"), F.max("path").alias("_last"),
-    )
-    spans = F.max(F.when(F.col("path") != F.col("_last"), 1).otherwise(0))
-    whole = spans.over(Window.partitionBy("scan_id")) == 1
-    moves = moves.withColumn("part", F.when(whole, F.lit("")).otherwise(F.col("path")))
-    ordered = moves.groupBy("scan_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("finding_ord", "reads", "writes"))).alias("moves")
-    )
-
-    def step(state: Column, move: Column) -> Column:
-        lost = F.arrays_overlap(state["written"], move["reads"])
-        return F.struct(
-            F.when(lost, state["written"])
-            .otherwise(F.concat(state["written"], move["writes"])).alias("written"),
-            F.when(lost, F.array_append(state["lost"], move["finding_ord"]))
-            .otherwise(state["lost"]).alias("lost"),
-        )
-
-    none = F.struct(
-        F.array().cast("array<string>").alias("written"),
-        F.array().cast("array<bigint>").alias("lost"),
-    )
-    failed = ordered.select(
-        "scan_id", F.explode(F.aggregate("moves", none, step, lambda s: s["lost"])).alias("finding_ord")
-    ).withColumn("_failed", F.lit(True))
+    failed = failing(points).withColumn("_failed", F.lit(True))
     return accepted.select(*ID).join(failed, list(ID), "left").select(
         *ID, F.col("_failed").isNull().alias("applied")
     )

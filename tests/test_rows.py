@@ -287,3 +287,39 @@ def test_exempt_scans_leave_no_finding(spark):
     status = {r.scan_id: r.status for r in result.verdicts.collect()}
     assert status == {0: "blocked", 1: "bypassed", 2: "config_error", 3: "blocked"}
     result.release()
+
+
+@pytest.mark.parametrize("n", [25_000, 200_000])
+def test_the_sweep_over_a_chain_of_any_length(spark, n):
+    """Patch i reads points i and i + 1 and writes i + 1; an odd one goes in and keeps the next one out."""
+    place = lambda at: F.struct(F.lit("line").alias("kind"), F.expr(at).alias("at"))
+    chain = spark.range(1, n + 1).select(
+        F.lit(1).cast("bigint").alias("scan_id"), F.col("id").alias("finding_ord"), F.lit("a").alias("path"),
+        F.explode(F.array(
+            F.struct(place("id").alias("point"), F.lit(True).alias("reads"), F.lit(False).alias("writes")),
+            F.struct(place("id + 1").alias("point"), F.lit(True).alias("reads"), F.lit(True).alias("writes")),
+        )).alias("p"),
+    ).select("scan_id", "finding_ord", "path", "p.*")
+    found = patches.failing(chain)
+    assert found.agg(F.count("*"), F.min("finding_ord"), F.sum(F.col("finding_ord") % 2)).first()[:] == (n // 2, 2, 0)
+
+
+def test_the_sweep_equals_replay(spark):
+    """Random reads and writes of few points, some patches over two files."""
+    pick = random.Random(5)
+    rows, expected = [], set()
+    for scan in range(40):
+        written = set()
+        for number in range(1, 60):
+            files = ["a", "b"] if scan % 3 == 0 and pick.random() < 0.1 else [pick.choice("ab")]
+            reads = {(f, pick.randrange(12)) for f in files for _ in range(pick.randrange(3))}
+            writes = {(f, pick.randrange(12)) for f in files for _ in range(pick.randrange(3))}
+            for f, at in reads | writes:
+                rows.append((scan, number, f, ("line", at), (f, at) in reads, (f, at) in writes))
+            if reads & written:
+                expected.add((scan, number))
+            else:
+                written |= writes
+    schema = "scan_id bigint, finding_ord bigint, path string, point struct<kind:string,at:bigint>, reads boolean, writes boolean"
+    got = {tuple(r) for r in patches.failing(spark.createDataFrame(rows, schema)).collect()}
+    assert got == expected and expected
