@@ -58,6 +58,39 @@ def _escape(token: str, in_class: bool, fold: bool) -> str:
     return token
 
 
+def java_pattern(pattern: Column) -> Column:
+    """``to_java`` for patterns in a column: a fold over the pattern's tokens."""
+    fold = F.startswith(pattern, F.lit("(?i)"))
+
+    def chosen(token: Column, cases: dict[str, Column]) -> Column:
+        out = token
+        for text, value in cases.items():
+            out = F.when(token == F.lit(text), value).otherwise(out)
+        return out
+
+    def step(state: Column, token: Column) -> Column:
+        inside = state["inside"]
+        word = F.when(fold, F.when(inside, F.lit(_FOLDED_WORD)).otherwise(F.lit(f"[{_FOLDED_WORD}]"))).otherwise(token)
+        escape = chosen(token, {
+            r"\s": F.when(inside, F.lit(_SPACE)).otherwise(F.lit(f"[{_SPACE}]")),
+            r"\S": F.lit(f"[^{_SPACE}]"),
+            r"\w": word,
+            r"\b": F.when(inside, token).otherwise(F.lit(_BOUNDARY)),
+            r"\B": F.when(inside, token).otherwise(F.lit(_NO_BOUNDARY)),
+        })
+        member = F.when(token.isin("[", "&"), F.concat(F.lit("\\"), token)).otherwise(token)
+        plain = F.when(token == "$", F.lit(r"\z")).otherwise(token)
+        escaped = F.length(token) == 2
+        return F.struct(
+            F.array_append(state["out"], F.when(escaped, escape).when(inside, member).otherwise(plain)).alias("out"),
+            F.when(escaped, inside).when(inside, token != "]").otherwise(token == "[").alias("inside"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"))
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\\.|."), F.lit(0))
+    return F.concat(F.lit("(?du)"), F.aggregate(tokens, start, step, lambda s: F.array_join(s["out"], "")))
+
+
 def glob_pattern(glob: Column) -> Column:
     """Anchored pattern for a file glob: ``**`` crosses ``/``, ``*`` and ``?`` do not."""
     escaped = F.regexp_replace(glob, r"([\\.+^$|(){}\[\]])", r"\\$1")

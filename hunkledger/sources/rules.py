@@ -12,6 +12,10 @@ _SCHEMA = (
     "version string, rule_set string, rule_ord int, rule_id string, pattern string, "
     "message string, severity string, file_exts array<string>, cwe string, confidence double"
 )
+_LINE_RULE_SCHEMA = (
+    "rule_ord int, rule_id string, pattern string, message string, severity string, "
+    "file_exts array<string>, needs array<string>"
+)
 
 
 def rule_catalogue(
@@ -34,3 +38,12 @@ def rule_catalogue(
         for i, r in enumerate(agent_rules, 1)
     ]
     return spark.createDataFrame(rows, _SCHEMA)
+
+
+def line_rule_table(spark: SparkSession, line_rules: Sequence[LineRule] = LINE_RULES) -> DataFrame:
+    """The line rules as the table that ``indexed_rule_scan`` reads."""
+    rows = [
+        (i, r.rule_id, r.pattern, r.message, r.severity, list(r.file_exts), list(r.needs))
+        for i, r in enumerate(line_rules, 1)
+    ]
+    return spark.createDataFrame(rows, _LINE_RULE_SCHEMA)

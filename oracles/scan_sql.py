@@ -161,5 +161,6 @@ SELECT scan_id, min(pos) AS line_no, min_by(l, pos) AS header FROM bad_headers G
     "added_lines": """
 SELECT scan_id, file_ord, path, hunk_ord, line_ord, content, number FROM adds""",
     "rule_scan": "SELECT * FROM rule_hits",
+    "rule_scan_indexed": "SELECT * FROM rule_hits",
     "suppressed_lines": "SELECT * FROM suppressed",
 }

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 import corpus
 from hunkledger.operators import diffs as D
 from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
+from hunkledger.operators.rule_table import indexed_rule_scan
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
 from hunkledger.session import stage, work_path
 from hunkledger.sources.audit import log_lines, read_audit, read_plain_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
+from hunkledger.sources.rules import line_rule_table
 from hunkledger.sources.rules import rule_catalogue as catalogue_table
 from hunkledger.streaming import audit as audit_streams
 from hunkledger.streaming.audit import audit_stream
@@ -116,6 +118,12 @@ def rule_scan_(spark, sf_dir):
 QUERIES["rule_scan"] = QUERIES.pop("rule_scan_")
 
 
+@query
+def rule_scan_indexed(spark, sf_dir):
+    """The rules as a table, looked up by the texts they need."""
+    return indexed_rule_scan(kept_files(spark, sf_dir), line_rule_table(spark)).select(*SHORT)
+
+
 @query
 def suppressed_lines(spark, sf_dir):
     return post.suppressed_lines(kept_files(spark, sf_dir))
