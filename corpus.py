@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hunkledger.catalogue import SUPPRESS_MARKER
 from hunkledger.functions.arrays import literal_array
+from hunkledger.sources.audit import log_day
 
 EXTENSIONS = (".go", ".py", ".js", ".java", ".md", ".lock", ".min.js", "")
 TEMPLATES = (
@@ -366,7 +367,7 @@ def audit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_lines(entries: DataFrame) -> DataFrame:
     """The entries as log lines, some of them damaged."""
-    return entries.select("repo", F.expr(AUDIT_LINE).alias("value"))
+    return entries.select(log_day(F.col("timestamp")).alias("log_date"), "repo", F.expr(AUDIT_LINE).alias("value"))
 
 
 def write_plain_logs(entries: DataFrame, path: str) -> None:

@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from ..catalogue import BAR_WIDTH, REPORT_DAYS, TOP_RULES
 from ..functions.times import parse_rfc3339, rfc3339
+from ..schemas import UNDATED
 
 DIMENSIONS = ("severity", "action", "rule_id", "source")
 TREND_BUCKET = 1 << 20
 
 
 def audit_window(audit: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFrame:
-    """Entries with a valid time strictly after ``as_of`` minus ``days`` calendar days."""
+    """Entries with a valid time strictly after ``as_of`` minus ``days`` calendar days.
+
+    A log with a ``log_date`` column, as ``write_audit`` divides it (the UTC day of the time, or
+    ``UNDATED``), is read from the day before the cutoff's on: that day is compared as it stands, so
+    Spark prunes the folders.  The day's slack covers a session in another time zone.
+    """
     cutoff = as_of - F.make_interval(days=F.lit(days))
+    if "log_date" in audit.columns:
+        first = F.date_format(F.date_sub(F.to_date(cutoff), 1), "yyyy-MM-dd")
+        audit = audit.where((F.col("log_date") >= first) & (F.col("log_date") != UNDATED))
     return audit.where(parse_rfc3339(F.col("timestamp")) > cutoff)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +40,11 @@ def periodic_report(
     target = f"{out_path.rstrip('/')}/as_of={as_of:%Y-%m-%d}"
     # The breakdowns and the trend both read the entries: decode the JSON once, and keep
     # only what the report covers.
-    first_day = (moment_utc(as_of) - timedelta(days=days)).date()
-    log = read_plain_audit(spark, audit_path) if plain else read_audit(spark, audit_path, first_day)
-    entries = log.select(
+    log = read_plain_audit(spark, audit_path) if plain else read_audit(spark, audit_path, dated=True)
+    entries = audit_window(log, moment_of(as_of), days).select(
         "repo", "log_seq", "timestamp", "severity", "action", "rule_id", "source"
     )
-    staged, path = stage(audit_window(entries, moment_of(as_of), days), "report-entries")
+    staged, path = stage(entries, "report-entries")
     report(staged, moment_of(as_of), days).write.mode("overwrite").parquet(target)
     drop_stage(spark, path)
     return target

@@ -53,3 +53,6 @@ FINDING_DEFAULTS: dict[str, tuple[str, object]] = {
 FINDING_COLUMNS = tuple(FINDING_DEFAULTS)
 # The finding's own fields, in the order of its JSON form.
 FINDING_FIELDS = FINDING_COLUMNS[6:]
+
+#: ``log_date`` of entries without a valid time.
+UNDATED = "undated"

@@ -11,7 +11,7 @@ from ..functions import strict_json as J
 from ..functions.arrays import held
 from ..functions.text import folder_of
 from ..functions.times import parse_rfc3339, rfc3339
-from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS
+from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS, UNDATED
 
 _INDEX_BITS = 33
 _BLOCK_UNIT = 1 << 20
@@ -41,9 +41,6 @@ def decode_audit(lines: DataFrame) -> DataFrame:
     return parsed.where(ok).select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 
-UNDATED = "undated"
-
-
 def log_lines(spark: SparkSession, path: str, reader=None) -> DataFrame:
     """Text lines of a ``write_audit`` folder with the columns of its partitions: ``repo``,
     and ``log_date`` where the log is divided by day too."""
@@ -52,9 +49,12 @@ def log_lines(spark: SparkSession, path: str, reader=None) -> DataFrame:
     return (reader or spark.read).schema(schema).option("lineSep", "\n").format("text").load(path)
 
 
-def read_audit(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:
+def read_audit(
+    spark: SparkSession, path: str, since: date | None = None, dated: bool = False
+) -> DataFrame:
     """Audit log written by ``write_audit``, with ``log_seq`` in each line, since a folder of
-    files has no order of its own.
+    files has no order of its own.  With ``dated``, ``log_date`` stays where the log has it, so that
+    ``audit_window`` can prune by it.
 
     With ``since``, only the days from then on are read, where the log is divided by day;
     entries without a valid time have no day and are left out.
@@ -62,7 +62,8 @@ def read_audit(spark: SparkSession, path: str, since: date | None = None) -> Dat
     lines = log_lines(spark, path)
     if since is not None and "log_date" in lines.columns:
         lines = lines.where((F.col("log_date") >= since.isoformat()) & (F.col("log_date") != UNDATED))
-    return decode_audit(lines).select(*AUDIT_COLUMNS)
+    day = ["log_date"] if dated and "log_date" in lines.columns else []
+    return decode_audit(lines).select(*AUDIT_COLUMNS, *day)
 
 
 def read_plain_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -112,6 +113,11 @@ def audit_line() -> Column:
     )
 
 
+def log_day(timestamp: Column) -> Column:
+    """The ``log_date`` of an entry: the UTC day of its time."""
+    return F.coalesce(F.left(rfc3339(parse_rfc3339(timestamp)), F.lit(10)), F.lit(UNDATED))
+
+
 def write_audit(entries: DataFrame, path: str, now: Column) -> None:
     """Append entries, one folder per day and repository.  ``now`` is an RFC 3339 text column.
 
@@ -119,9 +125,8 @@ def write_audit(entries: DataFrame, path: str, now: Column) -> None:
     ``review_audit`` can be appended as they are.  Rows are gathered by folder first, and
     a folder with very many rows is cut again, so files are neither tiny nor endless.
     """
-    day = F.coalesce(F.left(rfc3339(parse_rfc3339(F.col("timestamp"))), F.lit(10)), F.lit(UNDATED))
     lines = with_audit_columns(entries, now).select(
-        day.alias("log_date"), "repo", audit_line().alias("value")
+        log_day(F.col("timestamp")).alias("log_date"), "repo", audit_line().alias("value")
     )
     gathered = lines.hint("rebalance", "log_date", "repo")
     gathered.write.mode("append").partitionBy("log_date", "repo").text(path)

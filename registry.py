@@ -16,7 +16,7 @@ from hunkledger.operators.rule_table import indexed_rule_scan
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
 from hunkledger.session import stage, work_path
-from hunkledger.sources.audit import log_lines, read_audit, read_plain_audit, write_audit
+from hunkledger.sources.audit import log_day, log_lines, read_audit, read_plain_audit, write_audit
 from hunkledger.sources.diffs import read_diffs
 from hunkledger.sources.findings import write_findings
 from hunkledger.sources.rules import line_rule_table
@@ -393,13 +393,25 @@ def audit_log_path(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "audit_log")
     if key not in _WRITTEN:
         path = work_path(spark, "audit_log")
-        corpus.audit_lines(audit_of(spark, sf_dir)).write.partitionBy("repo").text(path)
+        corpus.audit_lines(audit_of(spark, sf_dir)).write.partitionBy("log_date", "repo").text(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
 
+def dated_audit_of(spark, sf_dir):
+    """The entries divided by day."""
+    key = (spark.sparkContext.applicationId, sf_dir, "dated_audit")
+    if key not in _WRITTEN:
+        path = work_path(spark, "dated_audit")
+        entries = audit_of(spark, sf_dir)
+        entries.withColumn("log_date", log_day(F.col("timestamp"))).write.partitionBy("log_date").parquet(path)
+        _WRITTEN[key] = path
+    schema = audit_of(spark, sf_dir).schema.add("log_date", "string")
+    return spark.read.schema(schema).parquet(_WRITTEN[key])
+
+
 def window_of(spark, sf_dir):
-    return report.audit_window(audit_of(spark, sf_dir), as_of(), DAYS)
+    return report.audit_window(dated_audit_of(spark, sf_dir), as_of(), DAYS)
 
 
 def counts_of(spark, sf_dir):
