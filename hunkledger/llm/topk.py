@@ -10,7 +10,9 @@ pair of blocks is one task's unit of work and leaves k rows a query; a ranking o
 
 Vectors that are NULL or hold a NULL, NaN or infinite component take no part; nor do rows without
 an id.  Vectors of different lengths are compared only with their like.  Ties go to the smaller id;
-a repeated id is a candidate as often as it occurs.  An empty table gives no rows.
+a repeated id is a candidate as often as it occurs.  A query that stands several times, with the same
+id and vector, asks once; unlike vectors under one id each get a ranking of their own.  No row
+answers a query of its own id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,26 +97,29 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     rows = ready.withColumn("block", (hashed % n_blocks).cast("int"))
     # a block and a group of queries meet once; the smaller part, the queries, is what is repeated
-    cells = rows.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).select("dim", "block", "qblock", "id", "v", F.lit(False).alias("query"))
+    cells = rows.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).select("dim", "block", "qblock", "id", "v", F.lit(0).cast("long").alias("asked"), F.lit(False).alias("query"))
     asked = (
-        rows.filter("query").withColumn("qblock", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) % n_query_blocks).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("dim", "block", "qblock", "id", "v", F.lit(True).alias("query"))
+        rows.filter("query").dropDuplicates(["id", "v"]).withColumn("qblock", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) % n_query_blocks).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("dim", "block", "qblock", "id", "v", F.xxhash64("v").alias("asked"), F.lit(True).alias("query"))
     )
 
+    names = ("query_id", "asked", "vec_id", "score")
+
     def search(cell: pd.DataFrame) -> pd.DataFrame:
         asked = cell[cell["query"]].sort_values("id")
         there = cell[~cell["query"]].sort_values("id")
         if not len(asked) or not len(there):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({name: [] for name in names}).astype("int64")
         block = np.stack(there["v"].to_list()).astype(np.int64)
         order = np.argsort(-(block.astype(np.float64) ** 2).sum(axis=1), kind="stable")
         ids, block = there["id"].to_numpy()[order], np.ascontiguousarray(block[order].T)
         queries, own = np.stack(asked["v"].to_list()).astype(np.int64), asked["id"].to_numpy()
-        found = [(np.full(len(i), own[row]), i, s) for row, i, s in best_in_block(queries, ids, block, own, k)]
-        return pd.DataFrame({name: np.concatenate([f[p] for f in found]) for p, name in enumerate(("query_id", "vec_id", "score"))})
+        which = asked["asked"].to_numpy()
+        found = [(np.full(len(i), own[row]), np.full(len(i), which[row]), i, s) for row, i, s in best_in_block(queries, ids, block, own, k)]
+        return pd.DataFrame({name: np.concatenate([f[p] for f in found]) for p, name in enumerate(names)})
 
-    near = cells.unionByName(asked).groupBy("dim", "block", "qblock").applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = cells.unionByName(asked).groupBy("dim", "block", "qblock").applyInPandas(search, "query_id long, asked long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -129,12 +134,12 @@ WITH ready AS (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id,
+    SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id,
            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM ready q JOIN ready c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-    WHERE q.vec_id % 50 = 0
+    FROM (SELECT DISTINCT vec_id, v FROM ready WHERE vec_id % 50 = 0) q
+    JOIN ready c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
 FROM scored
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+QUALIFY row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) <= 5
 """

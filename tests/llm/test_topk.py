@@ -46,3 +46,13 @@ def test_empty(spark):
     assert topk.top_k(df, F.lit(True)).count() == 0
     one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(one, F.lit(True)).count() == 0
+
+
+def test_repeated_rows(spark):
+    """A repeated query asks once, a repeated candidate answers as often as it occurs; unlike vectors of one id rank apart."""
+    rows = [(0, [1.0]), (0, [1.0]), (0, [-1.0]), (1, [3.0]), (1, [3.0]), (2, [2.0]), (3, [1.0]), (4, [0.5]), (5, [0.0]), (6, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, block_rows=3, query_rows=1).collect())
+    plus = [(1, 1, 3), (2, 1, 3), (3, 2, 2), (4, 3, 1), (5, 4, 0.5)]
+    minus = [(1, 6, 2), (2, 5, 0), (3, 4, -0.5), (4, 3, -1), (5, 2, -2)]
+    assert got == sorted((0, rank, vec, int(256 * 256 * x)) for rank, vec, x in plus + minus)
