@@ -3,8 +3,10 @@ parser evaluates the licence expression behind a tag.
 
 Words are runs of digits, letters a to z (A to Z lowered) and anything outside ASCII.  Phrases match
 whole consecutive words.  A tag's expression is read from the raw text to the end of its line.
+``labels`` holds every licence that a tag allows, ``required`` those that no way around a tag avoids: both
+of ``MIT AND GPL``, none of ``MIT OR GPL``.
 
-NULL text counts as empty: 0 words, no places, empty labels, score 0.  Repeated rows each get a
+NULL text counts as empty: 0 words, no places, empty labels and ``required``, score 0.  Repeated rows each get a
 result; extra columns pass through, one named like a result column is replaced.
 """
 
@@ -111,26 +113,51 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> set[frozenset[str]]:
-    """The ways to satisfy an expression, each a set of licences that hold together: ``or`` joins the
-    ways, ``and`` combines them, ``with`` ties an exception to its licence."""
-    stack: list[set[frozenset[str]]] = []
+def merged(one: set[str], other: set[str]) -> set[str]:
+    """The union, put into the larger of both sets."""
+    small, large = sorted((one, other), key=len)
+    large |= small
+    return large
+
+
+def evaluate(expression: str) -> tuple[set[str], set[str]]:
+    """(required, allowed): the licences that every way to satisfy the expression needs, and those
+    that some way uses.
+
+    ``and`` needs what either side needs, ``or`` only what both need; ``with`` ties an exception, a single
+    name, to each licence on its left that has none yet, and counts as ``and`` elsewhere.  Each operand
+    is put into a larger set or tied once, so the work grows with the expression, not with its ways.
+    """
+    stack: list[tuple[set[str], set[str], set[str]]] = []  # required, allowed, allowed without exception
     for token in postfix(expression):
         if token not in _RANK:
-            stack.append({frozenset([token])})
-        elif len(stack) >= 2:
-            right, left = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(left | right)
-            elif token == "and":
-                stack.append({a | b for a in left for b in right})
-            else:
-                stack.append({frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right})
-    return stack[-1] if stack else set()
+            stack.append(({token}, {token}, {token}))
+            continue
+        if len(stack) < 2:
+            continue
+        (right, may, bare), (needs, can, free) = stack.pop(), stack.pop()
+        if token == "with" and free and len(may) == len(bare) == 1:
+            exception = next(iter(may))
+            for name in free:
+                tied = f"{name} with {exception}"
+                can.discard(name)
+                can.add(tied)
+                if name in needs:
+                    needs.discard(name)
+                    needs.add(tied)
+            stack.append((needs, can, set()))
+            continue
+        if token == "or":
+            small, large = sorted((needs, right), key=len)
+            both = {name for name in small if name in large}
+        else:
+            both = merged(needs, right)
+        stack.append((both, merged(can, may), merged(free, bare)))
+    return stack[-1][:2] if stack else (set(), set())
 
 
 def scan(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
+    """The values of ``COLUMNS`` for one text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
     line = " " + b" ".join(words).decode("latin-1") + " "
     starts: list[int] = []
@@ -138,6 +165,7 @@ def scan(text: str | None) -> tuple:
     found: dict[str, float] = {}
     openers: list[int] = []
     tagged = False
+    required: set[str] = set()
     hits = sorted((end - len(phrase) - 1, phrase) for end, phrase in automaton().iter(line))
     seen, upto = 0, 0
     for at, phrase in hits:
@@ -159,19 +187,21 @@ def scan(text: str | None) -> tuple:
         found[label] = max(found.get(label, 0.0), 1 - (1 - sure) / 2 if announced else sure)
     if tagged:
         for match in _TAG_LINE.finditer(text):
-            for way in evaluate(match.group(1)):
-                found.update((licence, 1.0) for licence in way)
+            needed, allowed = evaluate(match.group(1))
+            found.update(dict.fromkeys(allowed, 1.0))
+            required |= needed
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(base)), ",".join(sorted(found)), max(found.values(), default=0.0),
+        ",".join(sorted(required)),
     )
 
 
-COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required"]
 
 
 def _scan_udf():
-    @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = pd.DataFrame([scan(t if isinstance(t, str) else None) for t in texts], columns=COLUMNS)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from helpers import by_id, docs, odd_docs, with_clashes
@@ -40,14 +41,63 @@ def test_labels(spark):
     assert got[6] == got[7] == ("", 0.0)
 
 
+def ways(expression):
+    """Every way to satisfy a well-formed expression, as sets of licences, by plain enumeration."""
+    stack = []
+    for token in licences.postfix(expression):
+        if token not in ("or", "and", "with"):
+            stack.append({frozenset([token])})
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "or":
+            stack.append(left | right)
+        elif token == "and":
+            stack.append({a | b for a in left for b in right})
+        else:
+            stack.append({frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right})
+    return stack[-1] if stack else set()
+
+
 def test_expressions():
-    ways = licences.evaluate
-    assert ways("MIT") == {frozenset({"mit"})}
-    assert ways("MIT OR A AND B") == {frozenset({"mit"}), frozenset({"a", "b"})}
-    assert ways("(MIT OR A) AND B") == {frozenset({"mit", "b"}), frozenset({"a", "b"})}
-    assert ways("A WITH e OR B") == {frozenset({"a with e"}), frozenset({"b"})}
-    assert ways("MIT AND") == ways("MIT */") == ways("(MIT") == {frozenset({"mit"})}
-    assert ways("") == ways("AND") == ways(")") == set()
+    def brute_force(expression):
+        found = ways(expression)
+        return set.intersection(*map(set, found)) if found else set(), {name for way in found for name in way}
+
+    assert licences.evaluate("MIT OR GPL") == (set(), {"mit", "gpl"})
+    assert licences.evaluate("MIT AND GPL") == ({"mit", "gpl"}, {"mit", "gpl"})
+    assert licences.evaluate("(MIT OR A) AND B") == ({"b"}, {"mit", "a", "b"})
+    assert licences.evaluate("(MIT OR A AND MIT) WITH e") == ({"mit with e"}, {"mit with e", "a with e"})
+    for text in ("MIT AND", "MIT */", "(MIT", "MIT"):
+        assert licences.evaluate(text) == ({"mit"}, {"mit"})
+    for text in ("", "AND", ")"):
+        assert licences.evaluate(text) == (set(), set())
+    pick = random.Random(3)
+
+    def any_expression(depth):
+        if not depth or pick.random() < 0.2:
+            # names that take an exception always take the same one
+            return pick.choice(["A", "B", "C", "D WITH x", "E WITH y"])
+        return "(" + any_expression(depth - 1) + pick.choice([" OR ", " AND "]) + any_expression(depth - 1) + ")"
+
+    simple = [any_expression(4) for _ in range(300)]
+    for text in simple:
+        required, allowed = licences.evaluate(text)
+        want, may = brute_force(text)
+        assert allowed == may and required == want, text
+
+
+def test_a_hostile_expression_takes_linear_time():
+    clauses = " AND ".join(f"(a{i} OR b{i})" for i in range(20_000))
+    required, allowed = licences.evaluate(clauses)
+    assert required == set() and len(allowed) == 40_000
+    chain = " WITH ".join(f"e{i}" for i in range(20_000))  # every second one counts as AND
+    assert len(licences.evaluate(chain)[0]) == 10_000
+
+
+def test_required_depends_on_the_operators(spark):
+    texts = [(i, f"x\nSPDX-License-Identifier: {e}\ny") for i, e in enumerate(["MIT OR GPL", "MIT AND GPL", "MIT"])]
+    got = by_id(licences.scan_licences(docs(spark, texts)), "labels", "required")
+    assert got == {0: ("gpl,mit", ""), 1: ("gpl,mit", "gpl,mit"), 2: ("mit", "mit")}
 
 
 def test_odd_rows(spark):
