@@ -7,8 +7,9 @@ in the item) within k of each other.  So shared q-grams are counted in overlappi
 diagonals, 2*(k + 1) wide; only bands that reach the bound are aligned, inside the band.
 
 A document is contaminated by an item if the whole item stands in it within its edit budget,
-``EDIT_RATE`` of its length.  Items below ``LEAST_ITEM`` characters prove nothing and match nothing, nor do
-items that are NULL.  NULL or empty texts match nothing.  Repeated items and rows are each reported.
+``EDIT_RATE`` of its length.  Items below ``LEAST_ITEM`` characters, which a few edits would turn into another text,
+match verbatim (after normalisation) at word boundaries.  Items that are NULL or hold no letter or digit match
+nothing, nor do NULL or empty texts.  Repeated items and rows are each reported.
 Of several places of an item in a text, the one with fewest edits is reported, then the first.
 
 The items are laid into blocks of at most ``BLOCK_CHARS`` characters; each block's index travels to the
@@ -91,6 +92,7 @@ class Index:
         self.q = q
         self.ids: list[int | None] = []
         self.codes: list[np.ndarray] = []
+        short: dict[int, list[tuple[int | None, np.ndarray]]] = {}
         for item_id, text in items:
             code = normal([text])[0]
             code = code[code != EDGE]
@@ -98,6 +100,14 @@ class Index:
             if len(code) >= max(least, q):
                 self.ids.append(item_id)
                 self.codes.append(code)
+            elif len(code):
+                short.setdefault(len(code), []).append((item_id, code))
+        #: For each length of short items their sorted hashes, and ids and codes in the same order.
+        self.short = {}
+        for size, own in short.items():
+            hashes = np.array([gram_hashes(c, size)[0] for _, c in own], dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[size] = hashes[order], [own[i] for i in order]
         length = np.array([len(c) for c in self.codes], dtype=np.int64)
         # beyond (L - q) / q edits the lemma promises no shared q-gram
         self.budget = np.minimum((length * rate).astype(np.int64), (length - q) // q)
@@ -130,6 +140,21 @@ class Index:
         return np.repeat(near, count), self.item[row], self.place[row]
 
 
+    def verbatim(self, code: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(length, number among the items of that length, place) of each short item between word boundaries."""
+        outside = np.concatenate(([True], (code == SPACE) | (code == EDGE), [True]))
+        for size, (wanted, own) in self.short.items():
+            hashes = gram_hashes(code, size)
+            # a place begins behind a boundary and ends before one
+            near = np.flatnonzero(outside[: len(hashes)] & outside[size + 1 : size + 1 + len(hashes)])
+            low = np.searchsorted(wanted, hashes[near], side="left")
+            high = np.searchsorted(wanted, hashes[near], side="right")
+            for place, first, last in zip(near[low < high], low[low < high], high[low < high]):
+                for number in range(first, last):
+                    if np.array_equal(code[place : place + size], own[number][1]):
+                        yield size, number, int(place)
+
+
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item inside the text, on diagonals low to
     high; None above the budget.  Gaps before and after the item are free."""
@@ -172,9 +197,18 @@ def exact_place(item: np.ndarray, text: np.ndarray) -> int:
 def find(texts: list[str], index: Index) -> list[list[tuple[int | None, int, int, int]]]:
     """For each text (item id, edits, start, end) of the items in it; places are code points."""
     found: list[list[tuple[int | None, int, int, int]]] = [[] for _ in texts]
-    if not index.ids:
+    if not index.ids and not index.short:
         return found
     code, source, begins = normal(texts)
+    first: dict[tuple[int, int, int], int] = {}
+    for size, number, place in index.verbatim(code):
+        owner = int(np.searchsorted(begins, source[place], side="right") - 1)
+        first.setdefault((owner, size, number), place)
+    for (owner, size, number), place in sorted(first.items()):
+        span = int(source[place] - begins[owner]), int(source[place + size - 1] - begins[owner]) + 1
+        found[owner].append((index.short[size][1][number][0], 0, *span))
+    if not index.ids:
+        return found
     place, item, own = index.shared(code)
     if not len(place):
         return found

@@ -82,3 +82,34 @@ def test_odd_rows(spark):
     assert dec.match(with_clashes(odd_docs(spark), "matches"), items).filter("size(matches) > 0").count() == 0
     assert dec.match(odd_docs(spark), items.limit(0)).filter("size(matches) = 0").count() == 8
     assert dec.match(odd_docs(spark).limit(0), items).count() == 0
+
+
+def test_short_items_match_verbatim_at_word_boundaries():
+    """Equal to a search in the normalised texts, for items of every length below the limit."""
+    import random
+    import re
+
+    pick = random.Random(11)
+    words = ["a", "bc", "cat", "dogs", "é", "x1", "cat's"]
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randrange(12))) for _ in range(150)] + ["", "Cat,\n DOGS!", "concat dogsled"]
+    items = list({" ".join(pick.choice(words) for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 5) for _ in range(4)}) + ["!?", ""]
+    index = dec.Index([(i, t) for i, t in enumerate(items)] + [(100, items[0])])
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    some = 0
+    for text, found in zip(texts, dec.find(texts, index)):
+        want = {i for i, t in enumerate(items) if plain(t) and f" {plain(t)} " in f" {plain(text)} "}
+        if 0 in want:
+            want.add(100)
+        assert sorted(m[0] for m in found) == sorted(want)
+        for item, edits, start, end in found:
+            assert edits == 0 and plain(text[start:end]) == plain(items[item % 100])
+        some += len(found)
+    assert some > 100
+
+
+def test_short_and_long_items_together(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs far away"
+    rows = [(1, f"well, {long}. Yes: 42 is it!"), (2, "42 is  IT"), (3, "142 is it"), (4, None), (5, "")]
+    out = dec.match(docs(spark, rows), bench(spark, [(1, long), (2, "42 is it"), (3, "  "), (4, None)]))
+    got = {r.doc_id: sorted(m.item_id for m in r.matches) for r in out.collect()}
+    assert got == {1: [1, 2], 2: [2], 3: [], 4: [], 5: []}
