@@ -19,4 +19,4 @@ QUERIES = {
     "op12_merkle": merkle.op12_merkle,
     "op13_url_filter": reputation.op13_url_filter,
 }
-ORACLES = {"op3_top_k": topk.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE, "op13_url_filter": reputation.ORACLE}
+ORACLES = {"op3_top_k": topk.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE, "op13_url_filter": reputation.ORACLE}

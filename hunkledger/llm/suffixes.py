@@ -407,8 +407,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         group = grouped(hashes)
         open_ = np.zeros(len(hashes), dtype=bool)
         hot = np.zeros(len(hashes), dtype=bool)
-        for g, m, h in zip(marks["group"].to_pylist(), marks["marks"].to_pylist(), marks["hot"].to_pylist()):
-            own = np.flatnonzero(group == g)
+        # anchors by group, each group in its own order, found by binary search
+        by_group = np.argsort(group, kind="stable")
+        told = np.array(marks["group"].to_pylist(), dtype=np.int64)
+        lows = np.searchsorted(group[by_group], told, side="left")
+        highs = np.searchsorted(group[by_group], told, side="right")
+        for low, high, m, h in zip(lows, highs, marks["marks"].to_pylist(), marks["hot"].to_pylist()):
+            own = by_group[low:high]
             open_[own] = np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(own)).astype(bool)
             if h:
                 hot[own] = np.unpackbits(np.frombuffer(h, dtype=np.uint8), count=len(own)).astype(bool)
@@ -458,8 +463,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         stops = gone & ~np.concatenate((gone[1:] & (piece[1:] == piece[:-1]), [False]))
         owner = piece[begins]
         runs = np.stack((head["no"][owner], head["first"][owner] + offset[begins], head["first"][owner] + offset[stops] + threshold), axis=1).astype("<i4")
-        batch_no = np.searchsorted(np.cumsum([len(h) for h in heads]), owner, side="right")
-        packed = [runs[batch_no == i].tobytes() for i in range(len(heads))]
+        # runs lie in the order of their pieces, and so of the batches
+        ends = np.searchsorted(owner, np.cumsum([len(h) for h in heads]), side="left")
+        packed = [r.tobytes() for r in np.split(runs, ends[:-1])]
         return rows({"batch": (group["batch"].to_pylist(), pa.int64()), "runs": (packed, pa.binary()), "copies": ([b""] * len(packed), pa.binary())})
 
     def cut_out(part: pa.Table, runs: pa.Table) -> pa.Table:
@@ -496,3 +502,39 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+#: The same by plain 50-byte windows.  Texts are cut into overlapping pieces of 1,000 bytes first, since a
+#: window cut from a whole text costs its length.
+ORACLE = """
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+    SELECT *, length(h) // 2 AS n FROM texts
+), pieces AS (
+    SELECT r, doc_id, n, 1000 * k AS base, substr(h, 2000 * k + 1, 2098) AS piece
+    FROM (SELECT *, unnest(range(0, (n + 950) // 1000)) AS k FROM sized WHERE n >= 50)
+), windows AS (
+    SELECT r, doc_id, base + i AS start, substr(piece, 2 * i + 1, 100) AS w
+    FROM (SELECT *, unnest(range(0, least(1000, n - 49 - base))) AS i FROM pieces)
+), firsts AS (
+    SELECT w, min(doc_id) AS least_id FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
+), hits AS (
+    SELECT r, start, lag(start) OVER (PARTITION BY r ORDER BY start) AS prev
+    FROM windows JOIN firsts USING (w) WHERE doc_id > least_id
+), marked AS (
+    SELECT r, start, sum(CASE WHEN prev IS NULL OR start > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY start) AS run
+    FROM hits
+), runs AS (
+    SELECT r, run, min(start) AS a, max(start) + 50 AS z FROM marked GROUP BY r, run
+), gaps AS (
+    SELECT r, run, z - a AS gone, coalesce(lag(z) OVER (PARTITION BY r ORDER BY run), 0) AS kept_from, a AS kept_to, z FROM runs
+), cut AS (
+    SELECT r, sum(gone) AS n_removed, count(*) AS n_spans, max(z) AS last,
+           string_agg(substr(h, 2 * kept_from + 1, 2 * (kept_to - kept_from)), '' ORDER BY run) AS head
+    FROM gaps JOIN sized USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM sized LEFT JOIN cut USING (r)
+"""

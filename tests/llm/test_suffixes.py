@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from compare import compare, connect
 from helpers import docs, odd_docs, with_clashes
 
 from hunkledger.llm import suffixes as sx
@@ -132,3 +133,9 @@ def test_many_pieces_of_one_anchor(monkeypatch):
             w = pieces[i, k : k + 50].tobytes()
             assert gone[i, k] == (w in seen)
             seen.add(w)
+
+
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.001"
+    ok, n, message = compare(sx.op6_suffix_dedup(spark, sf), connect(sf), sx.ORACLE)
+    assert ok and n > 0, message
