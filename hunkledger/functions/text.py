@@ -16,6 +16,8 @@ SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 INT64_MAX = 9223372036854775807
 TO_END = 2147483647
 
+_INDEX_BITS, _BLOCK_UNIT = 33, 1 << 20
+
 
 def trim_space(c: Column) -> Column:
     """Strip Unicode white space from both ends; linear in the text length."""
@@ -126,3 +128,11 @@ def folder_of(location: Column) -> Column:
     """Name of the folder that holds a file, from the URI form of the file's path."""
     decoded = F.url_decode(F.replace(location, F.lit("+"), F.lit("%2B")))
     return F.element_at(F.split(decoded, "/"), -2)
+
+
+def split_place() -> Column:
+    """Where a line of a text file stands: the start of its file split, in MiB, then its index in the task that reads the
+    split.  Orders the lines of a file as long as splits are at least 1 MiB; must be selected straight from the reader."""
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
+    block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_UNIT).cast("bigint")
+    return F.shiftleft(block, _INDEX_BITS) + index

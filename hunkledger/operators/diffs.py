@@ -19,18 +19,18 @@ from ..functions.text import add_wrapping, after, path_ext, trim_space
 
 _RANGE = r"([+-]?[0-9]+)(?:,([+-]?[0-9]+))?"
 HUNK_HEADER = rf"(?s)\A@@ -?{_RANGE} \+?{_RANGE}(?: @@.*)?\z"
-_HEADER_GROUPS = ("old_start", "old_count", "new_start", "new_count")
+HEADER_GROUPS = ("old_start", "old_count", "new_start", "new_count")
 _FILE_CUT = r"\n(?=diff --git )"
 _HUNK_CUT = r"\n(?=@@ )"
 
 
-def _header_number(header: Column, group: int) -> Column:
+def header_number(header: Column, group: int) -> Column:
     text = F.regexp_extract(header, HUNK_HEADER, group)
     return F.when(text == "", F.lit(1)).otherwise(text.try_cast("bigint"))
 
 
-def _header_ok(header: Column) -> Column:
-    numbers = [_header_number(header, g).isNotNull() for g in range(1, 5)]
+def header_ok(header: Column) -> Column:
+    numbers = [header_number(header, g).isNotNull() for g in range(1, 5)]
     return F.rlike(header, F.lit(HUNK_HEADER)) & numbers[0] & numbers[1] & numbers[2] & numbers[3]
 
 
@@ -45,7 +45,7 @@ def is_blank(raw: Column) -> Column:
 
 def has_bad_header(raw: Column) -> Column:
     """One unreadable hunk header fails the whole diff."""
-    return F.contains(raw, F.lit("@@ ")) & F.exists(_headers(raw), lambda h: ~_header_ok(h))
+    return F.contains(raw, F.lit("@@ ")) & F.exists(_headers(raw), lambda h: ~header_ok(h))
 
 
 def _parts(raw: Column) -> Column:
@@ -154,7 +154,7 @@ def sections_and_scans(
     return rows.where((F.col("file_ord") == 0) | ~path_ext(F.col("path")).isin(*blocked))
 
 
-def _recorded(line: Column) -> Column:
+def is_recorded(line: Column) -> Column:
     """Lines a hunk keeps: added, deleted or context, but no file markers."""
     first = F.left(line, F.lit(1))
     return (
@@ -166,7 +166,7 @@ def _recorded(line: Column) -> Column:
 
 def _marked(chunk: Column) -> Column:
     """Recorded lines of a hunk text with their position and mark."""
-    kept = F.filter(drop_first(F.split(chunk, "\n")), _recorded)
+    kept = F.filter(drop_first(F.split(chunk, "\n")), is_recorded)
     return F.transform(
         kept,
         lambda l, i: F.struct(
@@ -239,7 +239,7 @@ def hunk_rows(sections: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> Data
         "file_ord",
         "path",
         (F.col("_pos") + 1).alias("hunk_ord"),
-        *[_header_number(header, i + 1).alias(name) for i, name in enumerate(_HEADER_GROUPS)],
+        *[header_number(header, i + 1).alias(name) for i, name in enumerate(HEADER_GROUPS)],
         "chunk",
     )
 
@@ -247,7 +247,7 @@ def hunk_rows(sections: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> Data
 def diff_hunks(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """One row per hunk with the four numbers of its header."""
     return hunk_rows(file_sections(diffs, keys), keys).select(
-        *keys, "file_ord", "hunk_ord", *_HEADER_GROUPS
+        *keys, "file_ord", "hunk_ord", *HEADER_GROUPS
     )
 
 
@@ -280,7 +280,7 @@ def _added(hunks: Column, marker: str) -> Column:
         return (line["mark"] == "+") & F.contains(line["content"], F.lit(marker))
 
     def of_hunk(chunk: Column, pos: Column) -> Column:
-        start = _header_number(F.substring_index(chunk, "\n", 1), 3)
+        start = header_number(F.substring_index(chunk, "\n", 1), 3)
 
         def lines(marked: Column) -> Column:
             return F.transform(
@@ -324,7 +324,7 @@ def diff_errors(diffs: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataF
         lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("header")),
     )
     bad = F.filter(
-        numbered, lambda x: F.startswith(x["header"], F.lit("@@ ")) & ~_header_ok(x["header"])
+        numbered, lambda x: F.startswith(x["header"], F.lit("@@ ")) & ~header_ok(x["header"])
     )
     return (
         diffs.where(~is_blank(raw) & has_bad_header(raw))

@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import strict_json as J
 from ..functions.arrays import held
-from ..functions.text import folder_of
+from ..functions.text import folder_of, split_place
 from ..functions.times import parse_rfc3339, rfc3339
 from ..schemas import AUDIT_COLUMNS, AUDIT_TEXT_FIELDS, UNDATED
 
-_INDEX_BITS = 33
-_BLOCK_UNIT = 1 << 20
-
 
 def decode_audit(lines: DataFrame) -> DataFrame:
     """Audit entries from text lines in ``value``; other columns pass through.
@@ -74,11 +71,9 @@ def read_plain_audit(spark: SparkSession, path: str) -> DataFrame:
     and needs no shuffle.  Splits must be at least 1 MiB.
     """
     files = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
-    block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_UNIT).cast("bigint")
     lines = files.select(
         folder_of(F.col("_metadata.file_path")).alias("repo"),
-        (F.shiftleft(block, _INDEX_BITS) + index).alias("log_seq"),
+        split_place().alias("log_seq"),
         "value",
     )
     return decode_audit(lines).select(*AUDIT_COLUMNS)

@@ -155,7 +155,12 @@ SELECT scan_id, repo, strftime(scan_ts, '%Y-%m-%d %H:%M:%S') AS scan_ts, {trim('
     "diff_files": "SELECT * FROM file_paths",
     "diff_hunks": "SELECT * FROM hunk_heads",
     "diff_lines": "SELECT * FROM dlines",
+    "large_diff_files": "SELECT * FROM file_paths",
+    "large_diff_hunks": "SELECT * FROM hunk_heads",
+    "large_diff_lines": "SELECT * FROM dlines",
     "diff_errors": """
+SELECT scan_id, min(pos) AS line_no, min_by(l, pos) AS header FROM bad_headers GROUP BY scan_id""",
+    "large_diff_errors": """
 SELECT scan_id, min(pos) AS line_no, min_by(l, pos) AS header FROM bad_headers GROUP BY scan_id""",
     "filter_blocked": "SELECT * FROM kept_files",
     "added_lines": """

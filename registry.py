@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus
 from hunkledger.operators import diffs as D
-from hunkledger.operators import agents, bypass, context, filters, patches, post, report, rule_scan, scanner
+from hunkledger.operators import agents, bypass, context, filters, large_diffs, patches, post, report, rule_scan, scanner
 from hunkledger.operators.rule_table import indexed_rule_scan
 from hunkledger.plans.report import periodic_report
 from hunkledger.plans.scan import ScanInputs, ScanResult, run_scan
@@ -57,6 +57,9 @@ def diffs_of(spark, sf_dir):
     return derived(spark, sf_dir, "diffs", corpus.diffs)
 
 
+PIECE_BITS = 3
+
+
 def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_added(filters.filter_blocked(D.file_sections(diffs_of(spark, sf_dir))))
 
@@ -100,6 +103,31 @@ def diff_errors(spark, sf_dir):
     return D.diff_errors(diffs_of(spark, sf_dir))
 
 
+def cut_of(spark, sf_dir):
+    return large_diffs.cut_diffs(large_diffs.split_lines(diffs_of(spark, sf_dir)), piece_bits=PIECE_BITS)
+
+
+@query
+def large_diff_files(spark, sf_dir):
+    """The same diffs as lines, in pieces so small that most diffs are cut."""
+    return large_diffs.large_diff_files(cut_of(spark, sf_dir))
+
+
+@query
+def large_diff_hunks(spark, sf_dir):
+    return large_diffs.large_diff_hunks(cut_of(spark, sf_dir))
+
+
+@query
+def large_diff_lines(spark, sf_dir):
+    return large_diffs.large_diff_lines(cut_of(spark, sf_dir))
+
+
+@query
+def large_diff_errors(spark, sf_dir):
+    return large_diffs.large_diff_errors(cut_of(spark, sf_dir))
+
+
 @query
 def filter_blocked(spark, sf_dir):
     return filters.filter_blocked(D.diff_files(diffs_of(spark, sf_dir)))
