@@ -11,6 +11,7 @@ from ..schemas import UNDATED
 
 DIMENSIONS = ("severity", "action", "rule_id", "source")
 TREND_BUCKET = 1 << 20
+TREND_PLACE = ("repo", "part", "bucket")
 
 
 def audit_window(audit: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFrame:
@@ -77,47 +78,52 @@ def bypass_history(counts: DataFrame) -> DataFrame:
     )
 
 
-def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
-    """Blocking severities in the first half of the log against the rest.
-
-    The halves are by position, ``floor(n/2)`` rows first.  Rows with a log number come in
-    its order, then those without one by time; what remains equal differs in nothing that is counted
-    but the severity, which decides.  No window spans a whole repository: ranges of ``bucket``
-    log numbers, or of an hour, are counted first, and only the one range that holds the
-    middle is ranked row by row.
-    """
+def trend_rows(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
+    """Entries with the range they fall in: ``bucket`` log numbers, or an hour where there is no number."""
     severe = F.col("severity").isin("CRITICAL", "ERROR")
     moment = F.lit(None).cast("timestamp")
     if "timestamp" in window.columns:
         moment = parse_rfc3339(F.col("timestamp"))
     numbered = F.col("log_seq").isNotNull()
     hour = F.floor(F.unix_seconds(moment) / 3600)
-    rows = window.select(
+    return window.select(
+        *[c for c in ("log_date",) if c in window.columns],
         "repo", "log_seq", "severity", moment.alias("moment"), severe.alias("severe"),
         F.when(numbered, 0).otherwise(1).alias("part"),
         F.coalesce(
             F.when(numbered, F.floor(F.col("log_seq") / F.lit(bucket))).otherwise(hour), F.lit(0)
         ).cast("bigint").alias("bucket"),
     )
-    place = ["repo", "part", "bucket"]
-    per_bucket = rows.groupBy(*place).agg(
+
+
+def bucket_counts(rows: DataFrame, *more: str) -> DataFrame:
+    """Entries and blocking ones per range; the counts of parts of a log add up."""
+    return rows.groupBy(*more, *TREND_PLACE).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("severe").alias("s")
     )
+
+
+def middle_buckets(per_bucket: DataFrame) -> DataFrame:
+    """The one range of each repository that holds the middle of its log."""
     by_repo = Window.partitionBy("repo")
     before = by_repo.orderBy("part", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_bucket.select(
-        *place, "n",
+        *TREND_PLACE, "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_before"),
         F.sum("n").over(by_repo).alias("n_all"),
         F.sum("s").over(by_repo).alias("s_all"),
     ).withColumn("mid", F.floor(F.col("n_all") / 2).cast("bigint"))
-    middle = placed.where(
+    return placed.where(
         (F.col("mid") >= F.col("n_before")) & (F.col("mid") < F.col("n_before") + F.col("n"))
     )
-    in_bucket = Window.partitionBy(*place).orderBy("log_seq", "moment", "severity")
+
+
+def trend_of(middle: DataFrame, rows: DataFrame) -> DataFrame:
+    """The trend from the middle ranges; of ``rows`` only those in one of them count."""
+    in_bucket = Window.partitionBy(*TREND_PLACE).orderBy("log_seq", "moment", "severity")
     partly = (
-        rows.join(middle.select(*place, "mid", "n_before"), place)
+        rows.join(middle.select(*TREND_PLACE, "mid", "n_before"), list(TREND_PLACE))
         .withColumn("_at", F.row_number().over(in_bucket) + F.col("n_before"))
         .groupBy("repo")
         .agg(F.count_if(F.col("severe") & (F.col("_at") <= F.col("mid"))).alias("s_part"))
@@ -136,6 +142,19 @@ def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
     return halves.select("repo", "total", "first_half", "second_half", label.alias("trend"))
 
 
+def trend(window: DataFrame, bucket: int = TREND_BUCKET) -> DataFrame:
+    """Blocking severities in the first half of the log against the rest.
+
+    The halves are by position, ``floor(n/2)`` rows first.  Rows with a log number come in
+    its order, then those without one by time; what remains equal differs in nothing that is counted
+    but the severity, which decides.  No window spans a whole repository: ranges of ``bucket``
+    log numbers, or of an hour, are counted first, and only the one range that holds the
+    middle is ranked row by row.
+    """
+    rows = trend_rows(window, bucket)
+    return trend_of(middle_buckets(bucket_counts(rows)), rows)
+
+
 def _count_maps(breakdown: DataFrame, names: dict[str, str]) -> DataFrame:
     """A map from value to count per repository and wanted dimension, in one aggregate."""
 
@@ -149,7 +168,11 @@ def _count_maps(breakdown: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def report(window: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFrame:
     """One report row per repository with entries in the window."""
-    counts = entry_counts(window)
+    return report_of(entry_counts(window), trend(window), as_of, days)
+
+
+def report_of(counts: DataFrame, trends: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """The report from entry counts, which may be divided further, and trends."""
     maps = _count_maps(
         audit_breakdown(counts), {"severity": "severity", "action": "actions", "source": "sources"}
     )
@@ -166,7 +189,7 @@ def report(window: DataFrame, as_of: Column, days: int = REPORT_DAYS) -> DataFra
     )
     return (
         bypass_history(counts)
-        .join(trend(window).select("repo", "trend"), "repo", "left")
+        .join(trends.select("repo", "trend"), "repo", "left")
         .join(top, "repo", "left")
         .join(maps, "repo", "left")
         .select(

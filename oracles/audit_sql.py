@@ -150,6 +150,7 @@ SELECT repo, 4 - rank AS position, value AS severity, n, repeat('█', f) || rep
 FROM (SELECT b.repo, b.value, b.n, """ + sev_rank("b.value") + """ AS rank, greatest(b.n * 20 // t.n, 1)::INT AS f
       FROM r20bd b JOIN r20bd t ON b.repo = t.repo AND t.dimension = 'total' WHERE b.dimension = 'severity')""",
     "periodic_report": "SELECT * FROM r7rep",
+    "partial_report": "SELECT * FROM r7rep",
     "plain_report": "SELECT * FROM rprep",
     "tail_audit": "SELECT * FROM tailed",
     "read_plain_audit": "SELECT * FROM plainrows",
