@@ -139,20 +139,61 @@ def scan_listing(findings: DataFrame, counts: DataFrame) -> DataFrame:
     return lines.unionByName(summary)
 
 
+def _glob_key(glob: Column) -> tuple[Column, Column]:
+    """What any path that a glob matches begins with, up to its last ``/`` before the first wildcard, and
+    the file name it must have; empty texts where the glob says nothing."""
+    folder = F.regexp_extract(glob, r"(?s)\A([^*?\x00]*/)", 1)
+    return folder, F.regexp_extract(glob, r"(?s)(?:\A|/)([^/*?\x00]*)\z", 1)
+
+
+def ignored_paths(paths: DataFrame, ignores: DataFrame, salts: int = IGNORE_SALTS) -> DataFrame:
+    """The (rule_id, path) rows that a (rule_id, file_glob) pair matches, once each.
+
+    A glob is found by its literal parts, its folder and its file name, and only then tried as a pattern, so a rule may have very many
+    globs.  A path is looked up once for each combination of folder depth and name that the globs of its rule have, not
+    for every folder above it.  A rule's paths are dealt to ``salts`` keys, each with its copy of the rule's globs.
+    """
+    folder, name = _glob_key(F.col("file_glob"))
+    globs = (
+        ignores.where(F.col("rule_id").isNotNull() & F.col("file_glob").isNotNull())
+        .select(F.col("rule_id").alias("_rule"), "file_glob").distinct()
+        .select(
+            "_rule", glob_pattern(F.col("file_glob")).alias("_pattern"), folder.alias("_folder"), name.alias("_name"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        )
+    )
+    depth = F.size(F.split("_folder", "/")) - 1
+    shapes = globs.select("_rule", "_salt", depth.alias("_depth"), (F.col("_name") != "").alias("_named")).distinct()
+    pairs = paths.select(
+        "rule_id", "path", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("_at")
+    ).distinct()
+    of_rule = (F.col("rule_id") == F.col("_rule")) & (F.col("_at") == F.col("_salt"))
+    deep_enough = F.size(F.split("path", "/")) > F.col("_depth")
+    above = F.when(F.col("_depth") > 0, F.concat(F.expr("substring_index(path, '/', _depth)"), F.lit("/"))).otherwise(F.lit(""))
+    keys = pairs.join(shapes, of_rule).where(deep_enough).select(
+        "rule_id", "path", "_at", above.alias("_above"),
+        F.when(F.col("_named"), F.substring_index("path", "/", -1)).otherwise(F.lit("")).alias("_file"),
+    )
+    found = (
+        of_rule & (F.col("_above") == F.col("_folder")) & (F.col("_file") == F.col("_name"))
+        & F.rlike(F.col("path"), F.col("_pattern"))
+    )
+    return keys.join(globs, found, "left_semi").select("rule_id", "path").distinct()
+
+
 def ignore_rules(findings: DataFrame, ignores: DataFrame, salts: int = IGNORE_SALTS) -> DataFrame:
     """Drop findings that match a (rule_id, file_glob) pair.
 
-    The globs of a rule become one pattern.  There are few rules and very many findings, so
-    the findings of a rule are dealt to ``salts`` keys, each with its copy of the rule's pattern.
+    The findings are read twice, once for their paths: stage them if they are costly.  Those of one rule and
+    path are dealt to ``salts`` keys, each with its copy of the ignored path.
     """
-    globs = F.collect_set(F.concat(F.lit("(?:"), glob_pattern(F.col("file_glob")), F.lit(")")))
-    patterns = ignores.groupBy(F.col("rule_id").alias("_rule")).agg(
-        F.array_join(F.array_sort(globs), "|").alias("_pattern")
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64("scan_id"), F.lit(salts)).cast("int")
+    ignored = ignored_paths(findings, ignores, salts).select(
+        F.col("rule_id").alias("_rule"), F.col("path").alias("_path"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    )
+    salt = F.pmod(F.xxhash64(findings["scan_id"]), F.lit(salts)).cast("int")
+    # by table, as the findings may have columns of these names
     cond = (
-        (F.col("rule_id") == F.col("_rule"))
-        & (salt == F.col("_salt"))
-        & F.rlike(F.col("path"), F.col("_pattern"))
+        (findings["rule_id"] == ignored["_rule"]) & (findings["path"] == ignored["_path"]) & (salt == ignored["_salt"])
     )
-    return findings.join(patterns, cond, "left_anti")
+    return findings.join(ignored, cond, "left_anti")

@@ -165,6 +165,8 @@ def scan_of_digest(
     ).distinct()
     found = post.filter_suppressed(post.union_findings(phase1, phase2), suppressed)
     if inputs.ignores is not None:
+        found, path = stage(found, "found")
+        paths.append(path)
         found = post.ignore_rules(found, inputs.ignores)
     findings = post.dedup_findings(found)
     if keep_findings:

@@ -1,0 +1,52 @@
+"""Ignored globs: equal to trying every glob on every path, and found by their literal parts."""
+
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from hunkledger.functions.regex import glob_pattern
+from hunkledger.operators import post
+
+FINDINGS = "scan_id bigint, rule_id string, path string, _rule string"
+
+
+def test_equals_every_glob_on_every_path(spark):
+    rnd = random.Random(3)
+    parts = ["a", "b.go", "", "c d", "é", "x.y", "[z]", "src"]
+    paths = ["/".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(250)] + ["", "/", "//", "a/", None]
+    globs = ["/".join(rnd.choice([*parts, "*", "**", "?", "*.go", "**a"]) for _ in range(rnd.randint(1, 4))) for _ in range(120)]
+    globs += ["**", "*", "", "/", "a/", "**/b.go", "a\x00go", "src/**/x.y", "[z]/*", None]
+    rows = [(i, rnd.choice(["r1", "r2", None]), rnd.choice(paths), "kept") for i in range(1500)]
+    found = spark.createDataFrame(rows + rows[:20], FINDINGS)
+    ignores = spark.createDataFrame([(rnd.choice(["r1", "r2", "r3", None]), g, 1) for g in globs + globs[:9]], "rule_id string, file_glob string, path int")
+    tried = found.alias("f").join(
+        ignores.alias("i"), (F.col("f.rule_id") == F.col("i.rule_id")) & F.rlike(F.col("f.path"), glob_pattern(F.col("i.file_glob"))), "left_anti"
+    )
+    got = post.ignore_rules(found, ignores, 3)
+    assert got.columns == found.columns
+    want = sorted(map(str, tried.collect()))
+    assert sorted(map(str, got.collect())) == want and 100 < len(want) < 1400
+
+
+def test_empty_tables(spark):
+    found = spark.createDataFrame([(1, "r", "a", "")], FINDINGS)
+    none = spark.createDataFrame([], "rule_id string, file_glob string")
+    assert post.ignore_rules(found, none).count() == 1
+    assert post.ignore_rules(found.limit(0), none).count() == 0
+
+
+def test_very_many_globs_on_one_rule(spark):
+    """Each path meets the globs of its folder and name only."""
+    n = 100_000
+    globs = spark.range(n).select(
+        F.lit("r").alias("rule_id"),
+        F.when(F.col("id") % 2 == 0, F.format_string("mod%d/**", F.col("id"))).otherwise(F.format_string("**/file%d.go", F.col("id"))).alias("file_glob"),
+    )
+    found = spark.range(200_000).select(
+        F.col("id").alias("scan_id"), F.lit("r").alias("rule_id"), F.format_string("mod%d/sub/file%d.go", F.col("id") % 150_001, F.col("id") % 7919).alias("path")
+    )
+    start = time.time()
+    kept = {r.scan_id for r in post.ignore_rules(found, globs).select("scan_id").collect()}
+    assert kept == {i for i in range(200_000) if not ((i % 150_001 < n and i % 150_001 % 2 == 0) or i % 7919 % 2 == 1)}
+    assert time.time() - start < 120
