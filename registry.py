@@ -581,7 +581,7 @@ def partial_report(spark, sf_dir):
     lines = corpus.audit_lines(audit_of(spark, sf_dir))
     early = (F.col("log_date") < "2024-01-27") & (F.crc32(F.col("value").cast("binary")) % 3 != 0)
     for part in (early, ~early):
-        lines.where(part).write.mode("append").partitionBy("log_date", "repo").text(log)
+        lines.where(part).hint("rebalance", "log_date", "repo").write.mode("append").partitionBy("log_date", "repo").text(log)
         refresh_partials(spark, log, partials)
     report_from_partials(spark, log, partials, out, AS_OF)
     return report_columns(spark.read.parquet(out))
