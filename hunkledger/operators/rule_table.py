@@ -3,8 +3,8 @@
 ``rule_scan`` turns each rule into a branch of the generated code, which is right for a catalogue
 of dozens.  Here the rules stay rows.  A rule names texts of which every match holds one
 (``needs``); a piece of each such text is its key.  Lines are looked up by the pieces they
-hold, so a line meets only rules one of whose texts it may hold, then the text itself is
-looked for, and only then is the pattern tried.
+hold among the texts of all rules, then the text itself is looked for; only the texts a line does
+hold meet the rules, and only then is the pattern tried.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.findings import as_findings
 from ..functions.regex import java_pattern
 from ..functions.text import SEVERITIES, last_dot_ext, trim_space
+from ..session import stage
 
 #: Characters of a key.
 GRAM = 3
@@ -60,21 +60,20 @@ def rule_index(rules: DataFrame) -> DataFrame:
 
 
 def _grams(lowered: Column) -> Column:
-    """The distinct pieces of a line.  Characters come from one split, as cutting a long line
-    anew for each piece would take its length squared."""
-
-    def pieces(chars: Column) -> Column:
-        own = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, GRAM)]))
-        return F.array_distinct(F.array_compact(own))
-
-    return let(F.split(lowered, ""), pieces)
+    """The distinct pieces of a line that can be keys, which are plain ASCII; one pass over the line."""
+    every = rf"(?=([\x00-\x7F]{{{GRAM}}}))"
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(every), F.lit(1)))
 
 
 def indexed_rule_scan(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule of the table on every added line, all matches kept; equal to ``rule_scan``.
 
-    Spark decides by measured size whether the index travels to the lines; no side is hinted.
+    The index is staged, so that Spark knows its size and decides by it what travels to the lines; no side
+    is hinted.  A line is looked up among the texts alone, a far smaller table than the rules; where the rules are
+    too many to travel, it goes to them once for each text it holds, not once for each of its pieces.
     """
+    index, _ = stage(rule_index(rules).withColumnRenamed("pattern", "_pattern"), "rule-index")
+    key = ["gram", "folds", "need"]
     lines = files.select(
         "scan_id", "file_ord", "path", last_dot_ext(F.col("path")).alias("_ext"), F.explode("added").alias("_line")
     ).select("scan_id", "file_ord", "path", "_ext", "_line.*")
@@ -83,10 +82,10 @@ def indexed_rule_scan(files: DataFrame, rules: DataFrame) -> DataFrame:
     looked_up = lines.withColumn(
         "gram", F.explode(F.array_append(_grams(low), _open_key(part)))
     )
-    index = rule_index(rules).withColumnRenamed("pattern", "_pattern")
     holds = F.contains(F.when(F.col("folds"), low).otherwise(F.col("content")), F.col("need"))
-    fits = (F.col("exts").isNull() | F.array_contains("exts", F.col("_ext"))) & holds
-    met = looked_up.join(index, "gram").where(fits & F.rlike(F.col("content"), F.col("_pattern")))
+    held = looked_up.join(index.select(*key).distinct(), "gram").where(holds)
+    fits = F.col("exts").isNull() | F.array_contains("exts", F.col("_ext"))
+    met = held.join(index, key).where(fits & F.rlike(F.col("content"), F.col("_pattern")))
     # a line may hold several texts of one rule
     hits = met.dropDuplicates([*_LINE, "rule_ord"])
     return as_findings(

@@ -73,3 +73,9 @@ def test_empty_tables_and_rules_without_a_pattern(spark):
     assert rows(indexed_rule_scan(files, rules.withColumn("pattern", F.lit(None).cast("string")))) == []
     bare = rules.withColumn("needs", F.lit(None).cast("array<string>")).withColumn("file_exts", F.lit(None).cast("array<string>"))
     assert len(rows(indexed_rule_scan(files, bare))) == 2
+
+
+def test_lines_are_not_shuffled_for_a_small_table(spark):
+    found = indexed_rule_scan(files_of(spark, "foo", "x" * 500), line_rule_table(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
