@@ -14,7 +14,9 @@ from ..catalogue import (
     SIBLING_WORDS,
 )
 from ..functions.arrays import let, literal_array
+from ..functions.keys import may_meet
 from ..functions.text import base_name, clean_path, dir_name, path_ext, trim_space
+from ..session import stage
 
 
 def _marks_of(ext: Column, marks: dict[str, tuple[str, ...]]) -> Column:
@@ -171,7 +173,7 @@ def related_files(
 ) -> DataFrame:
     """At most ``max_files`` related files per scan (``None``: all), in the order they are found.
 
-    Contents join in last, for the chosen files only; large files never enter a shuffle.
+    Contents join in last, for the chosen files only; large files and most others never enter a shuffle.
     """
     none = F.lit(0)
 
@@ -208,7 +210,10 @@ def related_files(
     chosen = ranked.drop("order")
     if max_files is not None:
         chosen = chosen.where(F.col("slot") <= max_files)
-    return chosen.join(usable(repo_files, max_bytes).select(*keys, "content"), keys).select(
+    # names only so far; the texts of the others need not move
+    chosen, _ = stage(chosen, "chosen-files")
+    texts = may_meet(usable(repo_files, max_bytes), chosen, keys)
+    return chosen.join(texts.select(*keys, "content"), keys).select(
         "scan_id", "slot", "path", "reason",
         signature_text(F.col("content"), F.col("ext"), max_lines).alias("content"),
     )

@@ -1,6 +1,9 @@
 """Texts move only where they are needed."""
 
+from pyspark.sql import functions as F
+
 import corpus
+from hunkledger.functions.keys import may_meet
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -29,3 +32,12 @@ def test_repository_files_of_repeated_and_missing_ids(spark, tmp_path):
     assert found[0, "src/t/middleware.go"][0].endswith("\nc") and found[0, "src/s/auth_2.py"][0].endswith("\n0")
     assert found[None, "src/shared/base.py"][0] is None and found[None, "src/s/helper.js"][0].endswith("\nx")
     assert found[1, None] == ("", True, 0) or found[1, None][0].endswith("z")
+
+
+def test_rows_that_meet_nobody_are_left_behind(spark):
+    rows = spark.range(100_000).select("id", F.concat(F.lit("p"), "id").alias("path"))
+    others = rows.where("id % 100 = 7").unionByName(spark.createDataFrame([(None, "p"), (-1, None)], "id bigint, path string"))
+    left = may_meet(rows, others, ["id", "path"])
+    assert left.join(others, ["id", "path"]).count() == 1000
+    assert left.count() < 1500
+    assert may_meet(rows, others.limit(0), ["id", "path"]).count() == 0
