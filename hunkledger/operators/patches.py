@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import held, let
+from ..functions.keys import may_meet
 from ..functions.ranking import add_rank
 from ..functions.text import severity_name
 from ..functions.times import rfc3339
@@ -23,9 +24,13 @@ SWEEP_RUN = 512
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
-    """Findings with their position in the scan, ``finding_ord`` from 1."""
+    """Findings with their position in the scan, ``finding_ord`` from 1.
+
+    Counts and positions both read the findings, which are staged, so that nothing is searched twice.
+    """
+    found, _ = stage(findings, "unranked")
     return add_rank(
-        findings, ["scan_id"], ["phase", "file_ord"], ["hunk_ord", "line_ord", "rule_ord"],
+        found, ["scan_id"], ["phase", "file_ord"], ["hunk_ord", "line_ord", "rule_ord"],
         "finding_ord",
     ).withColumn("finding_ord", F.col("finding_ord").cast("bigint"))
 
@@ -35,20 +40,22 @@ def _hunks(patches: DataFrame) -> DataFrame:
     return hunk_rows(file_sections(diffs, ID), ID)
 
 
-def _files_of(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
-    """The touched files as lists of lines; a final line end starts no further line."""
-    text = F.col("content")
-    body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
-    return (
-        repo_files.where(~F.col("is_dir"))
-        .join(touched.select(*_FILE).distinct(), list(_FILE), "left_semi")
-        .select(*_FILE, F.split(body, "\n").alias("lines"))
-    )
+def _lines(content: Column) -> Column:
+    """The lines of a file; a final line end starts no further line."""
+    return F.split(F.when(F.endswith(content, F.lit("\n")), F.left(content, F.length(content) - 1)).otherwise(content), "\n")
+
+
+def _with_lines(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
+    """The files of ``touched`` (one row each, with any other columns) as lists of lines."""
+    files = may_meet(repo_files.where(~F.col("is_dir")), touched, list(_FILE))
+    own = files.select(*_FILE, "content").join(touched, list(_FILE))
+    # behind a generator the text is cut once, however many columns read the lines
+    return own.withColumn("lines", held(_lines(F.col("content")))).drop("content")
 
 
 def _file_lines(repo_files: DataFrame, touched: DataFrame) -> DataFrame:
     """Numbered lines of the touched files."""
-    return _files_of(repo_files, touched).select(
+    return _with_lines(repo_files, touched.select(*_FILE).distinct()).select(
         *_FILE, F.posexplode("lines").alias("_pos", "content")
     ).select(*_FILE, (F.col("_pos") + 1).cast("bigint").alias("old_number"), "content")
 
@@ -60,14 +67,24 @@ def patch_check(patches: DataFrame, repo_files: DataFrame) -> DataFrame:
     Old-side lines join file lines on (scan, path, line number), so the work is linear
     in the lines however many patches touch one file.
     """
-    hunks = _hunks(patches)
+    hunks, _ = stage(_hunks(patches), "patch-hunks")
     lines = lines_of_hunks(hunks, ID).select(*_HUNK, "path", "kind", "content", "old_number")
-    file_lines = _file_lines(repo_files, hunks)
-    sizes = _files_of(repo_files, hunks).select(*_FILE, F.size("lines").alias("n_lines"))
-    old = F.col("kind") != "add"
-    compared = lines.join(
-        file_lines.withColumnRenamed("content", "_have"), [*_FILE, "old_number"], "left"
+    asked = lines.where(F.col("kind") != "add").groupBy(*_FILE).agg(F.collect_set("old_number").alias("_asked"))
+    met = _with_lines(repo_files, hunks.select(*_FILE).distinct().join(asked, list(_FILE), "left"))
+    files, _ = stage(
+        met.select(
+            *_FILE, F.size("lines").alias("n_lines"),
+            F.transform(
+                F.filter("_asked", lambda n: (n > 0) & (n <= F.size("lines"))),
+                lambda n: F.struct(n.alias("old_number"), F.get("lines", (n - 1).cast("int")).alias("_have")),
+            ).alias("_old"),
+        ),
+        "asked-lines",
     )
+    sizes = files.select(*_FILE, "n_lines")
+    have = files.select(*_FILE, F.inline("_old"))
+    old = F.col("kind") != "add"
+    compared = lines.join(have, [*_FILE, "old_number"], "left")
     per_hunk = compared.groupBy(*_HUNK).agg(
         F.bool_and(~old | F.coalesce(F.col("content") == F.col("_have"), F.lit(False))).alias("same"),
         F.count_if(old).alias("n_old"),

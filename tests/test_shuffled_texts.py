@@ -1,9 +1,11 @@
 """Texts move only where they are needed."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus
 from hunkledger.functions.keys import may_meet
+from hunkledger.operators.patches import patch_check, rank_findings
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -41,3 +43,25 @@ def test_rows_that_meet_nobody_are_left_behind(spark):
     assert left.join(others, ["id", "path"]).count() == 1000
     assert left.count() < 1500
     assert may_meet(rows, others.limit(0), ["id", "path"]).count() == 0
+
+
+@pytest.mark.parametrize("asked", [1, 2, 3])
+def test_a_patch_brings_back_only_the_lines_it_names(spark, asked):
+    patch = f"diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -{asked} +{asked} @@\n-line{asked}\n+new\n"
+    patches = spark.createDataFrame([(1, 1, patch), (1, 2, patch.replace("line", "else"))], "scan_id bigint, finding_ord bigint, patch string")
+    files = spark.createDataFrame(
+        [(1, "f", False, "line1\nline2\n"), (1, "g", False, "line1\n"), (1, "d", True, "")], "scan_id bigint, path string, is_dir boolean, content string"
+    )
+    checks = patch_check(patches, files)
+    assert {r.finding_ord: r.applies for r in checks.collect()} == {1: asked < 3, 2: False}
+    assert "Generate posexplode" not in checks._jdf.queryExecution().optimizedPlan().toString().replace("posexplode_outer", "")
+
+
+def test_findings_are_searched_once_to_be_ranked(spark):
+    found = spark.range(6).select(
+        F.lit(1).alias("scan_id"), F.lit(1).alias("phase"), F.lit(1).alias("file_ord"), F.lit(1).alias("hunk_ord"),
+        F.col("id").alias("line_ord"), F.lit(1).alias("rule_ord"),
+    )
+    ranked = rank_findings(found)
+    assert sorted(r.finding_ord for r in ranked.collect()) == [1, 2, 3, 4, 5, 6]
+    assert "Range" not in ranked._jdf.queryExecution().optimizedPlan().toString()
