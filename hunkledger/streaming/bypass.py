@@ -27,7 +27,11 @@ _MATCH = "scan_id bigint, repo string, scan_us bigint, token_id string, reason s
 
 
 class OneToken(StatefulProcessor):
-    """State of one repository; times are microseconds."""
+    """State of one repository; times are microseconds.
+
+    Every call to the state is a round trip, so only the earliest waiting event has a timer: when it
+    fires, all that is due is settled and the next one gets its own.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -36,6 +40,7 @@ class OneToken(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "at bigint, side int", f"scan_id bigint, {_TOKEN}")
 
     def handleInputRows(self, key, rows, timerValues):
+        first = None
         for row in rows:
             event = (row["at"], row["side"])
             value = (row["scan_id"], row["expires"], row["id"], row["reason"])
@@ -43,7 +48,9 @@ class OneToken(StatefulProcessor):
                 other = tuple(self.waiting.getValue(event))
                 value = min(value, other) if row["side"] else max(value, other, key=lambda v: v[1:])
             self.waiting.updateValue(event, value)
-            self.handle.registerTimer(-(-row["at"] // 1000))
+            first = row["at"] if first is None else min(first, row["at"])
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -53,7 +60,15 @@ class OneToken(StatefulProcessor):
         if self.settled.exists() and self.settled.get()[0] == upto:
             return  # another timer of this batch has done it
         self.settled.update((upto,))
-        due = sorted((tuple(event), tuple(value)) for event, value in self.waiting.iterator() if event[0] <= upto)
+        due, following = [], None
+        for event, value in self.waiting.iterator():
+            if event[0] <= upto:
+                due.append((tuple(event), tuple(value)))
+            elif following is None or event[0] < following:
+                following = event[0]
+        due.sort()
+        if following is not None:
+            self.handle.registerTimer(-(-following // 1000))
         live = tuple(self.live.get()) if self.live.exists() else None
         for (at, side), (scan_id, expires, token, reason) in due:
             self.waiting.removeKey((at, side))
