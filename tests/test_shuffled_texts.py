@@ -65,3 +65,15 @@ def test_findings_are_searched_once_to_be_ranked(spark):
     ranked = rank_findings(found)
     assert sorted(r.finding_ord for r in ranked.collect()) == [1, 2, 3, 4, 5, 6]
     assert "Range" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_and_reports_share_one_cut_of_the_diffs(spark, tmp_path, monkeypatch):
+    import registry
+
+    sf = stored(spark, tmp_path, [(i, f"text {i}\n\nmore", "s") for i in range(20)])
+    spark.createDataFrame([(1, "x")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    cuts, cut = [], registry.kept_files
+    monkeypatch.setattr(registry, "kept_files", lambda *a: cuts.append(1) or cut(*a))
+    files = registry.line_counts_of(spark, sf).count()
+    assert files and registry.responses_of(spark, sf).count() and registry.reports_of(spark, sf).count() and len(cuts) == 1
+    assert files == cut(spark, sf).count()
