@@ -129,20 +129,27 @@ def _point(kind: str, at: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), at.alias("at"))
 
 
-def _footprint(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(reads, writes) of each patch as points: lines, and gaps after lines.
+def _footprint(edits: DataFrame) -> DataFrame:
+    """The points that each patch reads or writes: lines, and gaps after lines.
 
     A patch reads its old lines and the gaps between them; it writes the lines it
-    deletes and the gaps it inserts into.
+    deletes and the gaps it inserts into.  One pass over the edits gives both.
     """
     line, gap = _point("line", F.col("at")), _point("gap", F.col("at"))
-    old = edits.where(F.col("kind") != "add")
-    points = F.when(F.col("at") < F.col("_end"), F.array(line, gap)).otherwise(F.array(line))
-    reads = old.select(*ID, "path", F.explode(points).alias("point"))
-    writes = edits.where(F.col("kind") != "ctx").select(
-        *ID, "path", F.when(F.col("kind") == "add", gap).otherwise(line).alias("point")
+
+    def touch(point: Column, reads: bool, writes: Column) -> Column:
+        return F.struct(point.alias("point"), F.lit(reads).alias("reads"), writes.alias("writes"))
+
+    own = touch(line, True, F.col("kind") == "del")
+    between = touch(gap, True, F.lit(False))
+    touched = (
+        F.when(F.col("kind") == "add", F.array(touch(gap, False, F.lit(True))))
+        .when(F.col("at") < F.col("_end"), F.array(own, between))
+        .otherwise(F.array(own))
+    )
+    return edits.select(*ID, "path", F.inline(touched)).groupBy(*ID, "path", "point").agg(
+        F.bool_or("reads").alias("reads"), F.bool_or("writes").alias("writes")
     )
-    return reads.distinct(), writes.distinct()
 
 
 def _contested(points: DataFrame) -> DataFrame:
@@ -232,17 +239,7 @@ def apply_order(accepted: DataFrame) -> DataFrame:
     a patch goes in depends on all that went in before it, so the points are swept in the
     order of the patches.
     """
-    reads, writes = _footprint(_edits(_hunks(accepted)))
-    yes, no = F.lit(True), F.lit(False)
-    touched = reads.withColumn("reads", yes).withColumn("writes", no).unionByName(
-        writes.withColumn("reads", no).withColumn("writes", yes)
-    )
-    points, _ = stage(
-        touched.groupBy(*ID, "path", "point").agg(
-            F.bool_or("reads").alias("reads"), F.bool_or("writes").alias("writes")
-        ),
-        "patch-points",
-    )
+    points, _ = stage(_footprint(_edits(_hunks(accepted))), "patch-points")
     failed = failing(points).withColumn("_failed", F.lit(True))
     return accepted.select(*ID).join(failed, list(ID), "left").select(
         *ID, F.col("_failed").isNull().alias("applied")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalogue import AGENT_RULES, LINE_RULES, RULES_VERSION, AgentRule, LineRule
+from ..functions.prefilter import plain_part
 
 _SCHEMA = (
     "version string, rule_set string, rule_ord int, rule_id string, pattern string, "
@@ -43,7 +44,7 @@ def rule_catalogue(
 def line_rule_table(spark: SparkSession, line_rules: Sequence[LineRule] = LINE_RULES) -> DataFrame:
     """The line rules as the table that ``indexed_rule_scan`` reads."""
     rows = [
-        (i, r.rule_id, r.pattern, r.message, r.severity, list(r.file_exts), list(r.needs))
+        (i, r.rule_id, r.pattern, r.message, r.severity, list(r.file_exts), [plain_part(n) for n in r.needs])
         for i, r in enumerate(line_rules, 1)
     ]
     return spark.createDataFrame(rows, _LINE_RULE_SCHEMA)
